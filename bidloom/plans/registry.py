@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from bidloom.plans import data_problems
+from bidloom.plans import cleaning, data_problems
 
-MODULES = (data_problems,)
+MODULES = (data_problems, cleaning)
 FLAGSHIP = data_problems.p5_counts
 
 

@@ -208,6 +208,8 @@ def parse(tokens: list[tuple[str, bool, bool]], vocabulary: Vocabulary) -> Name:
                 common.append(w + ".")
         elif w in vocabulary.words or w.isdigit() or len(w) <= 2:
             common.append(w)
+        elif len(w) >= 6 and w in vocabulary.starts:
+            common.append(w + ".")
         else:
             other = vocabulary.corrected(w)
             if other:

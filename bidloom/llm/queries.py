@@ -8,12 +8,28 @@ from pyspark.sql import functions as F
 from bidloom.functions.notice_ids import NUMBER, canonical_notice
 from bidloom.llm.language import languages
 from bidloom.llm.leakage import leaked_items
+from bidloom.llm.matching import match_awards
 from bidloom.llm.mixing import mix_sources
 from bidloom.llm.survivors import Bundle, learned_dependency, long_form, surviving_records
 from bidloom.llm.variants import variant_classes, variant_pairs
 from bidloom.sources.tables import read_table
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The supplier of each award row that has one."""
+    return match_awards(read_table(spark, sf_dir, "can_2017"), read_table(spark, sf_dir, "supplier_dim"))[0].select("source_row_id", "supplier_entity_id")
+
+
+def p6_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the rule that matched and its confidence."""
+    return match_awards(read_table(spark, sf_dir, "can_2017"), read_table(spark, sf_dir, "supplier_dim"))[0]
+
+
+def p6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per rule its matches, the labelled among them, and its confidence."""
+    return match_awards(read_table(spark, sf_dir, "can_2017"), read_table(spark, sf_dir, "supplier_dim"))[1]
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with the evaluation items it gives away."""
     return leaked_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
@@ -136,7 +152,7 @@ def p4_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surviving_records(notices, "notice", "record_id", _trust(), bundles, (rule,)).withColumnRenamed("notice", "id_notice_cn_clean")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_classes, p4_found, p4_golden, p7_found, p7_report, p8_mix, p8_shares, p9_segments, p9_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_classes, p4_found, p4_golden, p6_found, p6_matches, p6_rules, p7_found, p7_report, p8_mix, p8_shares, p9_segments, p9_found)}
 _P4_SQL = r"""
 WITH r AS (
   SELECT c.*, coalesce(nullif(regexp_extract(id_notice_cn_clean, 'NUM'), ''), nullif(regexp_extract(ted_notice_url_clean, 'NUM'), '')) AS raw,

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from bidloom.plans import cleaning, data_problems
+from bidloom.plans import cleaning, data_problems, entities, ranking, relational
 
-MODULES = (data_problems, cleaning)
-FLAGSHIP = data_problems.p5_counts
+MODULES = (data_problems, cleaning, relational, ranking, entities)
+FLAGSHIP = ranking.QUERIES["rnk_02_frequency"]
 
 
 def queries() -> dict:

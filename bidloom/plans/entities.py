@@ -271,6 +271,6 @@ def llm_09_claim_matches(t: Tables) -> DataFrame:
     return V.match_claims(s.select(c("case_id").alias("packet"), side.alias("side"), c("idx").cast("long").alias("idx"), "quote", c("quote").alias("claim"), F.lit("a").alias("aspect")).filter("side is not null"), 0.6)
 
 
-@BOOK.query("SELECT item_id, array_to_string(list_filter(regexp_split_to_array(replace(item_text, '. ', '.' || chr(1)), chr(1)), lambda s: NOT contains(s, 'Group')), ' ') AS kept FROM eval_items")
+@BOOK.query("SELECT item_id, array_to_string(list_filter(string_split(replace(item_text, '. ', '.' || chr(1)), chr(1)), lambda s: NOT contains(s, 'Group')), ' ') AS kept FROM eval_items")
 def llm_12_drop_sentences(t: Tables) -> DataFrame:
     return t.eval_items.select("item_id", V.drop_sentences(c("item_text"), "Group").alias("kept"))

@@ -5,6 +5,8 @@ are the history, the others the target cases."""
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ c = F.col
 W = Window
 LEVELS = {"C2": "c2", "C3": "c3", "C4": "c4"}
 POOLS = [X.Pool("C2_MIN1", "C2", 1), X.Pool("C3_MIN1", "C3", 1), X.Pool("C4_MIN1", "C4", 1), X.Pool("C2_MIN2", "C2", 2)]
-CUTOFF = F.lit("2000-01-01").cast("date")
+CUTOFF = date(2000, 1, 1)
 
 
 def awards(t: Tables) -> DataFrame:
@@ -117,7 +119,7 @@ def jon_11_case_pool(t: Tables) -> DataFrame:
 
 # features
 
-_FS = """SELECT supplier, n_awards, n_buyers, round(hhi, 9) AS hhi, n_contexts, round(value_sum, 2) AS value_sum, round(value_median, 4) AS value_median, first_date, last_date FROM (
+_FS = """SELECT supplier, n_awards, n_buyers, round(hhi, 9) AS hhi, n_contexts, round(value_sum, 2) AS value_sum, round(value_median, 2) AS value_median, first_date, last_date FROM (
   SELECT s AS supplier, count(*) AS n_awards, count(DISTINCT b) AS n_buyers, count(DISTINCT c3) AS n_contexts, sum(v) AS value_sum, median(v) AS value_median, min(d) AS first_date, max(d) AS last_date FROM hist GROUP BY 1)
   JOIN (SELECT s AS supplier, sum(n * n) / pow(sum(n), 2) AS hhi FROM (SELECT s, b, count(*)::DOUBLE AS n FROM hist GROUP BY 1, 2) GROUP BY 1) USING (supplier)"""
 
@@ -126,7 +128,7 @@ _FS = """SELECT supplier, n_awards, n_buyers, round(hhi, 9) AS hhi, n_contexts,
 def fs_02_supplier_features(t: Tables) -> DataFrame:
     h = history(t).withColumnRenamed("s", "supplier")
     hhi = concentration(h, ["supplier"], "b").withColumnRenamed("n_members", "n_buyers")
-    wide = h.groupBy("supplier").agg(F.count("*").alias("n_awards"), F.count_distinct("c3").alias("n_contexts"), F.round(F.sum("v"), 2).alias("value_sum"), F.round(F.median("v"), 4).alias("value_median"), F.min("d").alias("first_date"), F.max("d").alias("last_date"))
+    wide = h.groupBy("supplier").agg(F.count("*").alias("n_awards"), F.count_distinct("c3").alias("n_contexts"), F.round(F.sum("v"), 2).alias("value_sum"), F.round(F.median("v"), 2).alias("value_median"), F.min("d").alias("first_date"), F.max("d").alias("last_date"))
     return wide.join(hhi, "supplier").select("supplier", "n_awards", "n_buyers", F.round("hhi", 9).alias("hhi"), "n_contexts", "value_sum", "value_median", "first_date", "last_date")
 
 
@@ -140,7 +142,7 @@ def context_features(t: Tables) -> DataFrame:
     """Per context and supplier the four base criteria: experience, breadth, recency, specialisation."""
     pairs = history(t).groupBy("c2", "s", "b").agg(F.count("*").alias("n"), F.max("d").alias("last"))
     per = pairs.groupBy("c2", "s").agg(F.sum("n").alias("n"), F.count("b").alias("nb"), F.max("last").alias("last"))
-    days = F.datediff(CUTOFF, "last")
+    days = F.datediff(F.lit(CUTOFF), "last")
     return per.select("c2", "s", "n", F.log1p("n").alias("exp"), F.log1p("nb").alias("breadth"), (1.0 / (1 + days)).alias("rec"), share(c("n"), F.sum("n").over(W.partitionBy("s"))).alias("spec"))
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from bidloom.plans import cleaning, data_problems, entities, ranking, relational
+from bidloom.plans import cleaning, data_problems, entities, ranking, ranking_more, relational
 
-MODULES = (data_problems, cleaning, relational, ranking, entities)
+MODULES = (data_problems, cleaning, relational, ranking, ranking_more, entities)
 FLAGSHIP = ranking.QUERIES["rnk_02_frequency"]
 
 

@@ -235,7 +235,7 @@ def agg_16_null_groups(t: Tables) -> DataFrame:
 
 @BOOK.query("SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F') AS F, count(*) FILTER (WHERE o_orderstatus = 'O') AS O, count(*) FILTER (WHERE o_orderstatus = 'P') AS P FROM orders GROUP BY 1")
 def agg_17_pivot(t: Tables) -> DataFrame:
-    return A.pivoted(t.orders, ["o_custkey"], "o_orderstatus", ["F", "O", "P"], F.count("*")).fillna(0)
+    return A.pivoted(t.orders, ["o_custkey"], "o_orderstatus", ["F", "O", "P"], F.count(F.lit(1))).fillna(0)
 
 
 @BOOK.query("""WITH s AS (SELECT count(*) AS n, count(*) FILTER (WHERE win_name IS NOT NULL) AS a, count(*) FILTER (WHERE win_name IS NOT NULL AND win_country_code IS NOT NULL) AS b,

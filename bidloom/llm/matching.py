@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidloom.llm.names import Name, Vocabulary, block_keys, is_list, parse, split_name
+from bidloom.llm.names import Name, Vocabulary, block_keys, deletions, is_list, parse, split_name
 from bidloom.llm.text import fold, mend
 from bidloom.llm.variants import parsed_names
 from bidloom.sources.tables import cut
@@ -49,49 +50,67 @@ def id_key(text: str | None) -> str | None:
     return digits if len(digits) >= 7 and len(set(digits)) > 2 else None
 
 
-def _features(name: str | None, ident: str | None, country: str | None, town: str | None, vocabulary: Vocabulary) -> tuple:
-    """(identifier, country, town, exact name, name by its words' initials, proper name, fuzzy keys, root keys)"""
+def _features(name: str | None, ident: str | None, country: str | None, town: str | None, side: int, parsed: Callable[[str], Name]) -> tuple:
+    """(identifier, country, town, exact name, name by its words' initials, proper name, initials, keys)
+
+    The keys of two names meet where the proper names are within one edit at either end, or
+    where one is a truncation of the other: each ``side`` gives its whole words to be found
+    among the other's beginnings, so that two whole words that merely begin alike do not meet."""
     place = town_key(town)
     if not name or is_list(name) or (country and "---" in country):
-        return None, None, place, None, None, None, [], []
-    n = parse(split_name(name), vocabulary)
+        return None, None, place, None, None, None, None, []
+    n = parsed(name)
     if place and len(n.rare) > 1:  # the town in the name is no part of it
         rest = tuple(w for w in n.rare if w.rstrip(".") not in place or len(w) < 4)
         n = Name(rest or n.rare, n.common, n.legal)
     short = "".join(sorted({w[0] for w in n.common}))
     proper = " ".join(w.rstrip(".") for w in n.rare)
-    fuzzy = {k + "|" + short for k in block_keys(n)} | {f"p{w.rstrip('.')}|{short}" for w in n.rare if len(w) >= 5}
-    if len(n.rare) > 1 and max(map(len, n.rare)) >= 9:
-        fuzzy |= {k + "|" + short for w in n.rare if len(w) >= 9 for k in block_keys(Name((w,), (), ()))}
-    roots = {k for w in n.rare if len(w.rstrip(".")) >= 6 for k in block_keys(Name((w,), (), ())) if k[0] == "d"} | {k for k in block_keys(n) if k[0] == "2"}
+    single = len(n.rare) == 1
+    keys = {k for k in block_keys(n) if k[0] == "2"}
+    for w in n.rare:
+        w = w.rstrip(".")
+        if len(w) >= 4 and (single or len(w) >= 9):
+            keys.update("d" + x for x in deletions(w) if len(x) >= 4)
+            if len(w) >= 5:
+                keys.add(f"{side}<{w}")
+                keys.update(f"{3 - side}<{w[:k]}" for k in range(max(5, len(w) // 2), len(w)))
     exact = proper + "|" + " ".join(w.rstrip(".") for w in n.common)
-    return id_key(ident), country_code(country), place, exact if proper or n.common else None, f"{proper}|{short}" if proper else None, proper or None, sorted(fuzzy), sorted(roots)
+    return id_key(ident), country_code(country), place, exact if proper or n.common else None, f"{proper}|{short}" if proper else None, proper or None, short, list(keys)
 
 
-FEATURES = "ident string, country string, town string, exact string, initials string, proper string, fuzzy array<string>, root array<string>"
+FEATURES = "ident string, country string, town string, exact string, initials string, proper string, short string, keys array<string>"
 
 
-def described(df: DataFrame, name: str, ident: str, country: str, town: str, vocabulary: Vocabulary) -> DataFrame:
-    """``df`` with the features on which the rules join."""
+def described(df: DataFrame, name: str, ident: str, country: str, town: str, side: int, vocabulary: Vocabulary) -> DataFrame:
+    """``df`` with the features on which the rules join; the keys as hashes."""
     held = df.sparkSession.sparkContext.broadcast(vocabulary)
     base = df.select(*[F.col(c).cast("string").alias(f"_{i}") for i, c in enumerate((name, ident, country, town))], "*")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", " + FEATURES
     names = [*df.columns, *(x.split()[0] for x in FEATURES.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, Name] = {}
+
+        def parsed(x: str) -> Name:
+            if x not in known:
+                if len(known) > 50_000:
+                    known.clear()
+                known[x] = parse(split_name(x), held.value)
+            return known[x]
+
         for batch in batches:
-            rows = [_features(*r, held.value) for r in zip(*(batch.column(i).to_pylist() for i in range(4)))]
+            rows = [_features(*r, side, parsed) for r in zip(*(batch.column(i).to_pylist() for i in range(4)))]
             columns = list(zip(*rows)) or [[]] * 8
-            kinds = [pa.string()] * 6 + [pa.list_(pa.string())] * 2
+            kinds = [pa.string()] * 7 + [pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns[4:], *(pa.array(c, k) for c, k in zip(columns, kinds))], names=names)
 
-    return base.mapInArrow(run, schema)
+    out = base.mapInArrow(run, schema)
+    return out.withColumn("keys", F.transform("keys", lambda x: F.xxhash64(x)))
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``keys``: the attributes on which both sides must agree (of ``fuzzy`` and ``root`` any
-    key). Of what is no key but known on both sides: ``town_edits`` is how many letters the
+    """``keys``: the attributes on which both sides must agree (of ``keys`` in any). Of what is no key but known on both sides: ``town_edits`` is how many letters the
     towns may differ in (None: any), ``country_apart`` whether the countries may differ."""
 
     name: str
@@ -102,16 +121,16 @@ class Rule:
 
 #: From strong to weak.
 RULES = (
-    Rule("ident+fuzzy", ("ident", "fuzzy"), town_edits=None, country_apart=True),
+    Rule("ident+fuzzy", ("ident", "keys"), town_edits=None, country_apart=True),
     Rule("exact+country+town", ("exact", "country", "town")),
     Rule("exact+town", ("exact", "town"), country_apart=True),
     Rule("exact+country", ("exact", "country")),
     Rule("initials+country+town", ("initials", "country", "town")),
     Rule("initials+town", ("initials", "town"), country_apart=True),
     Rule("initials+country", ("initials", "country")),
-    Rule("fuzzy+town", ("fuzzy", "town"), country_apart=True),
-    Rule("fuzzy+country", ("fuzzy", "country")),
-    Rule("root+town", ("root", "town"), country_apart=True),
+    Rule("fuzzy+town", ("keys", "short", "town"), country_apart=True),
+    Rule("fuzzy+country", ("keys", "short", "country")),
+    Rule("root+town", ("keys", "town"), country_apart=True),
     Rule("ident", ("ident",)),
     Rule("proper+country", ("proper", "country")),
     Rule("exact", ("exact",)),
@@ -125,7 +144,8 @@ def match_entities(left: DataFrame, right: DataFrame, left_id: str, right_id: st
     First result: ``left_id, right_id, rule, confidence``: at most one record of ``right`` for
     each of ``left``. Rules are tried from strong to weak; each is one exact join of the
     records still open with ``right``, and what it resolves is anti-joined away before the
-    next. A record that several records of ``right`` fit stays open.
+    next (the pairs of all rules are found by one join on the rules' hashed attributes; each
+    pass takes its own). A record that several records of ``right`` fit stays open.
 
     Second result: per rule its matches and its confidence, the precision on labelled records
     smoothed as if one more had been right and one wrong. Labelled are the records the first
@@ -137,26 +157,37 @@ def match_entities(left: DataFrame, right: DataFrame, left_id: str, right_id: st
     known and (nearly) agree. ``left`` has one row per distinct record, ``n`` saying how
     often it occurs; ``right_id`` must be unique. Empty tables give empty results.
     """
-    open_, found, labelled = left.withColumn("truth", F.lit(None).cast(right.schema[right_id].dataType)), [], None
-    scalar = ("ident", "country", "town", "exact", "initials", "proper")
+    found: list[DataFrame] = []
+    resolved: DataFrame | None = None
+    near: DataFrame | None = None
+    truth_type = right.schema[right_id].dataType
+
+    def still_open(df: DataFrame, key: str) -> DataFrame:
+        """Without what is resolved, but for the labelled, which get their truth."""
+        if resolved is None:
+            return df.withColumn("truth", F.lit(None).cast(truth_type))
+        return df.join(resolved.withColumnRenamed(left_id, key), key, "left").filter("_no is null or _no = 0").drop("_no")
+
+    agreeing = cut(_agreeing(left, right, left_id, right_id, rules))
     for k, rule in enumerate(rules):
-        multi = [x for x in rule.keys if x in ("fuzzy", "root")]
-        tried = open_ if labelled is None else open_.unionByName(labelled)
-        a = tried.select(F.col(left_id).alias("l_id"), "n", "truth", *[F.col(x).alias("l_" + x) for x in scalar], *[F.explode(x).alias("l_" + x) for x in multi])
-        b = right.select(F.col(right_id).alias("r_id"), *[F.col(x).alias("r_" + x) for x in scalar], *[F.explode(x).alias("r_" + x) for x in multi])
-        pairs = a.join(b, [F.col("l_" + x) == F.col("r_" + x) for x in rule.keys]).filter(_fits(rule))
-        right_one = (F.col("l_town") == F.col("r_town")) if k == 0 else (F.col("truth") == F.col("r_id"))
+        if "keys" in rule.keys and "ident" not in rule.keys:
+            if near is None:
+                near = cut(_with_attributes(_near(still_open(left.select(left_id, "keys").filter("size(keys) > 0"), left_id), right, left_id, right_id), left, right, left_id, right_id, (*COMPARED, "short")))
+            pairs = near.filter(reduce(lambda p, q: p & q, [F.col("l_" + x) == F.col("r_" + x) for x in rule.keys if x != "keys"]))
+        else:
+            pairs = agreeing.filter(F.col("rules").bitwiseAND(1 << k) != 0)
+            if "keys" in rule.keys:  # few share an identifier: their names are compared, their keys not joined
+                pairs = pairs.filter("alike")
+        pairs = still_open(pairs.filter(_fits(rule)).select("l_id", "r_id", "n", (F.col("l_town") == F.col("r_town")).alias("towns")), "l_id")
+        right_one = F.col("towns") if k == 0 else (F.col("truth") == F.col("r_id"))
         one = pairs.groupBy("l_id").agg(
             F.min("r_id").alias("lo"), F.max("r_id").alias("hi"), F.first("n").alias("n"), F.first("truth").alias("truth"), F.max(right_one.cast("int")).alias("agrees")
         ).filter("lo = hi")
         one = cut(one.select(F.col("l_id").alias(left_id), F.col("lo").alias(right_id), F.lit(k).alias("rule_no"), "n", "truth", "agrees"))
         found.append(one)
-        resolved = one.filter("truth is null").select(left_id, F.col(right_id).alias("_found"))
-        if k == 0:
-            labelled = cut(left.join(resolved, left_id).withColumnRenamed("_found", "truth"))
-        open_ = open_.join(resolved.select(left_id), left_id, "left_anti")
-        if k % 4 == 3:
-            open_ = cut(open_)
+        # resolved records with the rule that did it; those of the first keep being tried, as labels
+        new = one.filter("truth is null").select(left_id, F.col("rule_no").alias("_no"), F.when(F.col("rule_no") == 0, F.col(right_id)).alias("truth"))
+        resolved = new if resolved is None else resolved.unionByName(new)
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
@@ -171,6 +202,51 @@ def match_entities(left: DataFrame, right: DataFrame, left_id: str, right_id: st
     return matched, report
 
 
+#: Partitions over which the rows of one name are spread.
+SALTS = 8
+#: What is compared beside a rule's keys.
+COMPARED = ("ident", "country", "town")
+
+
+def _agreeing(left: DataFrame, right: DataFrame, left_id: str, right_id: str, rules: tuple[Rule, ...]) -> DataFrame:
+    """The pairs that agree in all attributes of some rule, ``rules`` being the bits of those they
+    agree in, with the attributes compared. One join serves all rules: each record is exploded
+    into one hash per rule whose attributes it has, so that only ids and hashes are shuffled."""
+    def hashed(df: DataFrame, key: str, name: str) -> DataFrame:
+        each = []
+        for k, rule in enumerate(rules):
+            plain = [x for x in rule.keys if x != "keys"]
+            if "keys" in rule.keys and "ident" not in rule.keys:
+                continue
+            known = reduce(lambda p, q: p & q, [F.col(x).isNotNull() for x in plain])
+            each.append(F.struct(F.lit(k).alias("k"), F.when(known, F.xxhash64(F.lit(k), *plain)).alias("h")))
+        return df.select(F.col(key).alias(name), F.inline(F.array(*each))).filter("h is not null")
+
+    pairs = hashed(left, left_id, "l_id").join(hashed(right, right_id, "r_id"), ["k", "h"])
+    pairs = pairs.groupBy("l_id", "r_id").agg(F.expr("bit_or(shiftleft(1, k))").alias("rules"))
+    out = _with_attributes(pairs, left, right, left_id, right_id, (*COMPARED, "proper"))
+    return out.select("l_id", "r_id", "n", "rules", _alike().alias("alike"), *[f"{m}_{x}" for m in "lr" for x in COMPARED])
+
+
+def _alike() -> Column:
+    """Whether two proper names are within two edits, or one begins the other."""
+    l, r = F.col("l_proper"), F.col("r_proper")
+    return F.coalesce((F.levenshtein(l, r) <= 2) | F.startswith(l, r) | F.startswith(r, l), F.lit(False))
+
+
+def _near(open_: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:
+    """The pairs of open records and records of ``right`` with a key in common."""
+    a = open_.select(F.col(left_id).alias("l_id"), F.explode("keys").alias("_key"))
+    b = right.select(F.col(right_id).alias("r_id"), F.explode("keys").alias("_key"))
+    return a.join(b, "_key").select("l_id", "r_id").distinct()
+
+
+def _with_attributes(pairs: DataFrame, left: DataFrame, right: DataFrame, left_id: str, right_id: str, attributes: tuple[str, ...]) -> DataFrame:
+    l = left.select(F.col(left_id).alias("l_id"), "n", *[F.col(x).alias("l_" + x) for x in attributes])
+    r = right.select(F.col(right_id).alias("r_id"), *[F.col(x).alias("r_" + x) for x in attributes])
+    return pairs.join(r, "r_id").join(l, "l_id")
+
+
 def _fits(rule: Rule) -> Column:
     """What else a pair must fulfil: nothing known on both sides may contradict the rule."""
     near = F.levenshtein("l_town", "r_town") <= 2
@@ -193,13 +269,15 @@ def match_awards(can: DataFrame, suppliers: DataFrame) -> tuple[DataFrame, DataF
     """
     attributes = ["win_name", "win_nationalid", "win_country_code", "win_town"]
     rows = can.select("source_row_id", *attributes).filter("win_name is not null or win_nationalid is not null")
-    combos = rows.groupBy(*attributes).agg(F.count("*").alias("n"))
+    # one name's rows go to few partitions, to be parsed seldom, but a hot name's not to one
+    salted = rows.withColumn("_salt", F.pmod(F.hash(*attributes[1:]), F.lit(SALTS))).repartition("_salt", "win_name")
+    combos = salted.groupBy("_salt", *attributes).agg(F.count("*").alias("n")).drop("_salt")
     combos = cut(combos.withColumn("combo", F.xxhash64(*[F.coalesce(c, F.lit("\0")) for c in attributes], F.lit(1))))
     dim = suppliers.select("supplier_entity_id", "canonical_name", "validated_national_id", "supplier_country", "supplier_town")
     spelled = combos.groupBy(F.col("win_name").alias("name")).agg(F.sum("n").alias("n")).unionByName(dim.groupBy(F.col("canonical_name").alias("name")).agg(F.count("*").alias("n")))
     _, vocabulary = parsed_names(spelled)
-    left = cut(described(combos.select("combo", "n", *attributes), *attributes, vocabulary).drop(*attributes))
-    right = cut(described(dim, "canonical_name", "validated_national_id", "supplier_country", "supplier_town", vocabulary).select("supplier_entity_id", *(x.split()[0] for x in FEATURES.split(", "))))
+    left = cut(described(combos.select("combo", "n", *attributes), *attributes, 1, vocabulary).drop(*attributes))
+    right = cut(described(dim, "canonical_name", "validated_national_id", "supplier_country", "supplier_town", 2, vocabulary).select("supplier_entity_id", *(x.split()[0] for x in FEATURES.split(", "))))
     matched, report = match_entities(left, right, "combo", "supplier_entity_id")
     keyed = rows.select("source_row_id", F.xxhash64(*[F.coalesce(c, F.lit("\0")) for c in attributes], F.lit(1)).alias("combo"))
     return keyed.join(matched, "combo").drop("combo"), report

@@ -109,10 +109,10 @@ def mix_sources(
     drawn = chosen.withColumn("repeats", F.col("base") + F.col("picked").cast("int")).filter("repeats > 0").select("doc_id", "source", "n_tokens", "repeats")
     there = sized.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("tokens_available"))
     got = drawn.groupBy("source").agg(F.count("*").alias("docs_drawn"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens_drawn"), F.max("repeats").alias("most_repeats"))
-    sums = got.agg(F.sum("tokens_drawn").alias("_all"))
+    everything = got.agg(F.sum("tokens_drawn")).scalar()
     zero = {k: 0 for k in ("n_docs", "tokens_available", "docs_drawn", "tokens_drawn", "most_repeats")}
-    report = wanted.join(there, "source", "left").join(got, "source", "left").fillna(zero).join(sums)
-    report = report.select("source", "target_share", "max_repeats", "n_docs", "tokens_available", "docs_drawn", "tokens_drawn", "most_repeats", F.coalesce(F.col("tokens_drawn") / F.col("_all"), F.lit(0.0)).alias("share_reached"))
+    report = wanted.join(there, "source", "left").join(got, "source", "left").fillna(zero)
+    report = report.select("source", "target_share", "max_repeats", "n_docs", "tokens_available", "docs_drawn", "tokens_drawn", "most_repeats", F.coalesce(F.try_divide(F.col("tokens_drawn"), everything), F.lit(0.0)).alias("share_reached"))
     return drawn, report
 
 

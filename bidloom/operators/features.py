@@ -80,15 +80,14 @@ def descriptors(awards: DataFrame, context: str, numbers: dict[str, Column], fla
 
 def temporal_firewall(history: DataFrame, targets: DataFrame, date: str) -> DataFrame:
     """One row: the last date of the history, the first of the targets, and whether the history lies strictly before."""
-    a = history.agg(F.max(date).alias("last_history"))
-    b = targets.agg(F.min(date).alias("first_target"))
-    return a.join(F.broadcast(b)).withColumn("strict", F.col("last_history") < F.col("first_target"))  # one row each
+    first = targets.agg(F.min(date)).scalar()
+    return history.agg(F.max(date).alias("last_history")).withColumn("first_target", first).withColumn("strict", F.col("last_history") < F.col("first_target"))
 
 
 def bins(df: DataFrame, c: str, quantiles: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
     """``bin``: which quantile bin of the whole column a row falls in (right-closed, from 1)."""
-    edges = df.agg(F.array_distinct(F.percentile(c, list(quantiles))).alias("_e"))
-    return df.join(F.broadcast(edges)).withColumn("bin", (F.size(F.filter("_e", lambda e: e < F.col(c))) + 1)).drop("_e")  # one row
+    edges = df.agg(F.array_distinct(F.percentile(c, list(quantiles)))).scalar()
+    return df.withColumn("_e", edges).withColumn("bin", F.size(F.filter("_e", lambda e: e < F.col(c))) + 1).drop("_e")
 
 
 def splits(df: DataFrame, date: str, shares: tuple[float, float] = (0.6, 0.8)) -> DataFrame:

@@ -195,7 +195,7 @@ def prf_05_delimiters(t: Tables) -> DataFrame:
 @BOOK.query("SELECT cae_type, type_of_contract, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM cn_2017 GROUP BY 1, 2")
 def prf_06_distributions(t: Tables) -> DataFrame:
     per = t.cn_2017.groupBy("cae_type", "type_of_contract").agg(F.count("*").alias("n"))
-    return per.join(F.broadcast(per.agg(F.sum("n").alias("_a")))).select("cae_type", "type_of_contract", "n", F.round(100.0 * c("n") / c("_a"), 6).alias("pct"))  # one row
+    return per.select("cae_type", "type_of_contract", "n", F.round(100.0 * c("n") / per.agg(F.sum("n")).scalar(), 6).alias("pct"))
 
 
 @BOOK.query("SELECT column_name, n_rows, n_values, share FROM (" + " UNION ALL ".join(f"SELECT '{x}' AS column_name, count(*) AS n_rows, count({'nullif(trim(' + x + '), ' + chr(39) * 2 + ')' if x not in ('doc_id', 'n_chars') else x}) AS n_values, round(count({'nullif(trim(' + x + '), ' + chr(39) * 2 + ')' if x not in ('doc_id', 'n_chars') else x}) / count(*), 6) AS share FROM documents" for x in ("doc_id", "text", "lang", "source", "n_chars")) + ")")
@@ -271,6 +271,6 @@ def llm_09_claim_matches(t: Tables) -> DataFrame:
     return V.match_claims(s.select(c("case_id").alias("packet"), side.alias("side"), c("idx").cast("long").alias("idx"), "quote", c("quote").alias("claim"), F.lit("a").alias("aspect")).filter("side is not null"), 0.6)
 
 
-@BOOK.query("SELECT item_id, array_to_string(list_filter(string_split(replace(item_text, '. ', '.' || chr(1)), chr(1)), lambda s: NOT contains(s, 'Group')), ' ') AS kept FROM eval_items")
+@BOOK.query("SELECT item_id, array_to_string(list_filter(string_split(replace(replace(replace(item_text, '. ', '.' || chr(1)), '? ', '?' || chr(1)), '! ', '!' || chr(1)), chr(1)), lambda s: NOT contains(s, 'Group')), ' ') AS kept FROM eval_items")
 def llm_12_drop_sentences(t: Tables) -> DataFrame:
     return t.eval_items.select("item_id", V.drop_sentences(c("item_text"), "Group").alias("kept"))

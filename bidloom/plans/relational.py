@@ -138,8 +138,8 @@ def jon_10_reconcile(t: Tables) -> DataFrame:
 
 @BOOK.query("SELECT o_orderkey, (SELECT round(avg(o_totalprice), 4) FROM orders) AS mean_price FROM orders WHERE o_totalprice > 1.5 * (SELECT avg(o_totalprice) FROM orders)")
 def jon_13_scalar_subquery(t: Tables) -> DataFrame:
-    mean = t.orders.agg(F.avg("o_totalprice").alias("m"))
-    return t.orders.join(F.broadcast(mean)).filter("o_totalprice > 1.5 * m").select("o_orderkey", F.round("m", 4).alias("mean_price"))  # one row
+    mean = t.orders.agg(F.avg("o_totalprice")).scalar()
+    return t.orders.filter(c("o_totalprice") > 1.5 * mean).select("o_orderkey", F.round(mean, 4).alias("mean_price"))
 
 
 # aggregates
@@ -272,7 +272,7 @@ def win_01_canonical(t: Tables) -> DataFrame:
 @BOOK.query("SELECT event_type, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM events GROUP BY 1")
 def win_02_share_of_all(t: Tables) -> DataFrame:
     per = t.events.groupBy("event_type").agg(F.count("*").alias("n"))
-    return per.join(F.broadcast(per.agg(F.sum("n").alias("_all")))).select("event_type", "n", F.round(c("n") / c("_all"), 9).alias("share"))  # one row
+    return per.select("event_type", "n", F.round(c("n") / per.agg(F.sum("n")).scalar(), 9).alias("share"))
 
 
 @BOOK.query("SELECT user_id, event_type, round(count(*) / sum(count(*)) OVER (PARTITION BY user_id), 9) AS share FROM events GROUP BY 1, 2")
@@ -322,8 +322,8 @@ def srt_03_top_k(t: Tables) -> DataFrame:
   WHERE l_suppkey <> (SELECT min(l_suppkey) FROM lineitem) GROUP BY 1, 2)) WHERE r <= 5""")
 def srt_05_hard_negatives(t: Tables) -> DataFrame:
     """The best that are not the winner (here the supplier with the least key)."""
-    winner = t.lineitem.agg(F.min("l_suppkey").alias("_w"))
-    per = t.lineitem.join(t.part, c("l_partkey") == c("p_partkey")).join(F.broadcast(winner)).filter("l_suppkey <> _w").groupBy("p_type", "l_suppkey").agg(F.count("*").alias("n"))  # one row
+    winner = t.lineitem.agg(F.min("l_suppkey")).scalar()
+    per = t.lineitem.filter(c("l_suppkey") != winner).join(t.part, c("l_partkey") == c("p_partkey")).groupBy("p_type", "l_suppkey").agg(F.count("*").alias("n"))
     return per.withColumn("r", F.row_number().over(W.partitionBy("p_type").orderBy(F.desc("n"), "l_suppkey"))).filter("r <= 5").drop("r")
 
 

@@ -161,12 +161,12 @@ def random_expectation(records: DataFrame, by: list[str]) -> DataFrame:
     """What a random order would reach on the same pools: hits min(1, k / n) and the mean reciprocal rank H_n / n.
 
     Pools are grouped by size first, so a harmonic number is computed once per size."""
-    sizes = records.groupBy(*by, "pool_size").agg(F.count("*").alias("m"))
+    sizes = records.groupBy(*by, "pool_size").agg(F.count("*").alias("_m"))
     n = F.col("pool_size").cast("double")
     harmonic = F.aggregate(F.sequence(F.lit(1), F.col("pool_size").cast("int")), F.lit(0.0), lambda a, i: a + 1.0 / i)
-    rated = sizes.withColumn("h", harmonic / n)
-    hits = [F.round(100 * F.sum(F.col("m") * F.least(F.lit(1.0), k / n)) / F.sum("m"), 6).alias(f"random_at_{k}") for k in CUTS]
-    return rated.groupBy(*by).agg(F.sum("m").alias("n_cases"), *hits, F.round(F.sum(F.col("m") * F.col("h")) / F.sum("m"), 9).alias("random_mrr"))
+    rated = sizes.withColumn("_h", harmonic / n)
+    hits = [F.round(100 * F.sum(F.col("_m") * F.least(F.lit(1.0), k / n)) / F.sum("_m"), 6).alias(f"random_at_{k}") for k in CUTS]
+    return rated.groupBy(*by).agg(F.sum("_m").alias("n_cases"), *hits, F.round(F.sum(F.col("_m") * F.col("_h")) / F.sum("_m"), 9).alias("random_mrr"))
 
 
 def movement(a: DataFrame, b: DataFrame, case: list[str]) -> DataFrame:
@@ -200,19 +200,19 @@ def bootstrap(records: DataFrame, by: list[str], resamples: int = 300, seed: int
     weighted aggregate with map-side combining and no case is ever moved. Records are first
     reduced to (by, mid): equal ranks share one row, whose weight is a Poisson of its count,
     approximated by a normal above 50 (the sum of that many Poisson(1) draws)."""
-    hist = records.groupBy(*by, "mid").agg(F.count("*").alias("m"), F.max("reciprocal_rank").alias("rr"), F.max(F.col("at_10").cast("int")).alias("hit"))
-    draws = hist.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
+    hist = records.groupBy(*by, "mid").agg(F.count("*").alias("_m"), F.max("reciprocal_rank").alias("_rr"), F.max(F.col("at_10").cast("int")).alias("_hit"))
+    draws = hist.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
 
     def uniform(salt: int) -> Column:
-        return (F.pmod(F.xxhash64(*[F.col(x).cast("string") for x in by], F.col("mid"), F.col("b"), F.lit(seed + salt)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+        return (F.pmod(F.xxhash64(*[F.col(x).cast("string") for x in by], F.col("mid"), F.col("_b"), F.lit(seed + salt)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
 
     u = uniform(0)
-    lam = F.col("m").cast("double")
+    lam = F.col("_m").cast("double")
     normal = F.sqrt(-2 * F.log(u)) * F.cos(2 * F.lit(3.141592653589793) * uniform(1))
     small = F.aggregate(F.sequence(F.lit(0), F.lit(120)), F.struct(F.exp(-lam).alias("p"), F.exp(-lam).alias("cum"), F.lit(0.0).alias("k")),
                         lambda a, i: F.struct((a["p"] * lam / (i + 1)).alias("p"), (a["cum"] + a["p"] * lam / (i + 1)).alias("cum"), (a["k"] + F.when(a["cum"] < u, 1.0).otherwise(0.0)).alias("k")), lambda a: a["k"])
-    w = F.when(F.col("m") <= 50, small).otherwise(F.greatest(F.lit(0.0), F.round(lam + F.sqrt(lam) * normal)))
-    per = draws.withColumn("w", w).groupBy(*by, "b").agg((100 * F.sum(F.col("w") * F.col("hit")) / F.nullif(F.sum("w"), F.lit(0.0))).alias("hit"), (F.sum(F.col("w") * F.col("rr")) / F.nullif(F.sum("w"), F.lit(0.0))).alias("mrr"))
+    w = F.when(F.col("_m") <= 50, small).otherwise(F.greatest(F.lit(0.0), F.round(lam + F.sqrt(lam) * normal)))
+    per = draws.withColumn("_w", w).groupBy(*by, "_b").agg((100 * F.sum(F.col("_w") * F.col("_hit")) / F.nullif(F.sum("_w"), F.lit(0.0))).alias("hit"), (F.sum(F.col("_w") * F.col("_rr")) / F.nullif(F.sum("_w"), F.lit(0.0))).alias("mrr"))
     bounds = [F.percentile(m, q).alias(f"{m}_{label}") for m in ("hit", "mrr") for q, label in ((0.025, "lo"), (0.975, "hi"))]
     return per.groupBy(*by).agg(F.count("*").alias("resamples"), *bounds)
 

@@ -59,7 +59,7 @@ def test_odd_names():
 
 
 def test_classes_against_all_pairs(spark):
-    names = [(a, 20) for a, _ in SAME] + [(b, 3) for _, b in SAME] + [(b, 5) for _, b in DIFFERENT]
+    names = [(a, 20) for a, _ in SAME] + [(b, 3) for _, b in SAME] + [(x, 5) for pair in DIFFERENT for x in pair]
     names = list({n: (n, c) for n, c in names}.values()) + [(f"Filler{chr(97 + i)}mo {w.capitalize()} AG", 1) for i in range(15) for w in WORDS] + [("A---B", 4), (None, 2), ("", 1)]
     df = spark.createDataFrame([(*n, "x") for n in names], "name string, n long, class_id string")
     classes = variant_classes(df)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from bidloom.plans import cleaning, data_problems, entities, ranking, ranking_more, relational
+from bidloom.plans import cleaning, data_problems, entities, ranking, ranking_more, relational, storage
 
-MODULES = (data_problems, cleaning, relational, ranking, ranking_more, entities)
+MODULES = (data_problems, cleaning, relational, ranking, ranking_more, entities, storage)
 FLAGSHIP = ranking.QUERIES["rnk_02_frequency"]
 
 

@@ -68,8 +68,9 @@ FORM = {tuple(s.split()): k for k, v in LEGAL_FORMS.items() for s in v.split("|"
 LONGEST = max(map(len, FORM))
 SEPARATOR = re.compile(r"\s*[/;|]\s*|\s+[-–]\s+|\s*,\s*|\s*[()]\s*")
 INITIALS = re.compile(r"(?<![^\W_])(?:[^\W\d_]\.){2,}(?:[^\W\d_](?![^\W_]))?")
-#: Words shortened inside: "Str.bau", "Med.-Technik", "E-Technik".
-GLUED = re.compile(r"(?<![^\W_])(?!(?:inh|fa|dipl|dr|mag|st|sp|co)\.)([^\W_]{2,4})\.-?([^\W_]{3,})\.?")
+#: Words shortened inside: "Str.bau", "Med.-Technik", "E-Technik" (the heads of compounds are fixed values).
+GLUED = re.compile(r"(?<![^\W_])([^\W_]{2,4})\.-?((?:bau|technik|techniek|buro|buero|reinigung|werke|dienst|diensten|bedrijf|verwaltung|service|haus|handel))(?![^\W_])\.?")
+DEGREE = re.compile(r"(?<![^\W_])dipl\.?[- ]*(?:ing|kfm|kff|inf|phys|chem)?\.?(?:-(?=[^\W_])|(?![^\W_]))")
 ONE_LETTER = re.compile(r"(?<![^\W_])([^\W\d_])-([^\W_]{3,})")
 TOKEN = re.compile(r"([^\W_]+)(\.?)(\x00?)")
 OCR = str.maketrans("05", "os")
@@ -83,6 +84,7 @@ def is_list(name: str) -> bool:
 def split_name(name: str) -> list[tuple[str, bool, bool]]:
     """The folded words of a name as (word, abbreviated by a point, behind a separator)."""
     text = fold(mend(name)).replace("co.kg", "co kg").replace("&", " ").replace("+", " ")
+    text = DEGREE.sub(" ", text)
     out: list[tuple[str, bool, bool]] = []
     for k, segment in enumerate(s for s in SEPARATOR.split(text) if s.strip(" .")):
         segment = INITIALS.sub(lambda m: " " + m.group().replace(".", "").replace(" ", "") + " ", segment)
@@ -108,7 +110,7 @@ class Vocabulary:
         self.counts = dict(words)
         self.words = set(words) | KNOWN
         self.near: dict[str, list[str]] = {}
-        for w in sorted(self.words):
+        for w in sorted(self.counts):
             if len(w) >= 5:
                 for d in deletions(w):
                     self.near.setdefault(d, []).append(w)
@@ -224,7 +226,7 @@ def parse(tokens: list[tuple[str, bool, bool]], vocabulary: Vocabulary) -> Name:
 def block_keys(name: Name) -> list[str]:
     """Keys of which two spellings of one name share at least one: the proper name within one
     edit at either, a truncation of it, or a pair of short proper names."""
-    full = [w for w in name.rare if not w.endswith(".")]
+    full = [w.rstrip(".") for w in name.rare]
     out: set[str] = set()
     single = len(name.rare) == 1
     for w in name.rare:
@@ -238,8 +240,8 @@ def block_keys(name: Name) -> list[str]:
                 out.add("d" + w.replace("rn", "m"))
     for i, a in enumerate(full):
         for b in full[i + 1 :]:
-            out.update(f"2{x} {b}" for x in deletions(a))
-            out.update(f"2{a} {x}" for x in deletions(b))
+            out.update("2" + " ".join(sorted((x, b))) for x in deletions(a))
+            out.update("2" + " ".join(sorted((a, x))) for x in deletions(b))
     if not name.rare and name.common:
         out.add("c" + " ".join(name.common))
         if len(name.common) > 1:

@@ -161,13 +161,15 @@ def fit(texts: list[str], labels: list[str], landmarks: int = 256, ridge: float
         for k in range(len(LANGUAGES)):
             own = np.flatnonzero(keep & (y == k))
             chosen += list(rng.choice(own, min(len(own), landmarks // len(LANGUAGES)), replace=False)) if len(own) else []
-        marks = np.zeros((BUCKETS, len(chosen)), dtype=np.float32)
+        # only the landmarks' own n-grams can be shared with them: rows for these, and one of zeros for all others
+        held = np.unique(np.concatenate([ids[starts[i] : starts[i + 1]] for i in chosen]))
+        row = np.full(BUCKETS, len(held), dtype=np.int32)
+        row[held] = np.arange(len(held))
+        marks = np.zeros((len(held) + 1, len(chosen)), dtype=np.float32)
         for j, i in enumerate(chosen):
-            marks[ids[starts[i] : starts[i + 1]], j] = 1 / np.sqrt(n[i])
+            marks[row[ids[starts[i] : starts[i + 1]]], j] = 1 / np.sqrt(n[i])
         use = np.flatnonzero(keep)
-        kernel = np.vstack([
-            np.vstack([marks[ids[starts[i] : starts[i + 1]]].sum(axis=0) / np.sqrt(n[i]) for i in use[a : a + 500]]) for a in range(0, len(use), 500)
-        ])
+        kernel = np.vstack([marks[row[ids[starts[i] : starts[i + 1]]]].sum(axis=0) / np.sqrt(n[i]) for i in use])
         place = {i: k for k, i in enumerate(use)}
         among = kernel[[place[i] for i in chosen]]
         values, vectors = np.linalg.eigh((among + among.T) / 2)
@@ -178,7 +180,8 @@ def fit(texts: list[str], labels: list[str], landmarks: int = 256, ridge: float
         size = np.bincount(y[use], minlength=len(LANGUAGES)).clip(1)
         weight = (len(use) / (len(LANGUAGES) * size))[y[use]][:, None]
         solved = np.linalg.solve(phi.T @ (weight * phi) + ridge * np.eye(phi.shape[1]), phi.T @ (weight * target))
-        model.table = (marks @ (root @ solved)).astype(np.float32)
+        model.table = np.zeros((BUCKETS, len(LANGUAGES)), dtype=np.float32)
+        model.table[held] = marks[:-1] @ (root @ solved)
         if r < rounds - 1:
             guess = model.scores(texts)[0].argmax(axis=1)
             keep = (n >= 20) & (guess == y)

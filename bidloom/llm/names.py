@@ -271,8 +271,9 @@ def _spelled(a: str, b: str) -> float | None:
     return None if d > most else COST["typo"] * d
 
 
-def _abbreviates(short: str, long_: str) -> bool:
-    """Whether ``short`` (perhaps with a point) can abbreviate ``long_``."""
+def _abbreviates(short: str, long_: str, vocabulary: Vocabulary | None) -> bool:
+    """Whether ``short`` (perhaps with a point) can abbreviate ``long_``: as its beginning, or by
+    letters from within, unless ``short`` is the beginning of another established word."""
     dotted, s, t = short.endswith("."), short.rstrip("."), long_.rstrip(".")
     if not s or len(s) >= len(t) or s[0] != t[0]:
         return False
@@ -282,7 +283,7 @@ def _abbreviates(short: str, long_: str) -> bool:
         return False
     if t.startswith(s):
         return dotted or len(s) >= 3
-    return len(s) >= 3 and _inside(s, t)
+    return len(s) >= 3 and _inside(s, t) and not (vocabulary and s in vocabulary.starts)
 
 
 def _inside(short: str, long_: str) -> bool:
@@ -320,7 +321,7 @@ def cost(variant: Name, canonical: Name, vocabulary: Vocabulary | None = None) -
     matched = len(variant.common) > len(a)
     for x, y in ((a, b), (b, a)):  # abbreviations on either side
         for w in list(x):
-            hit = next((v for v in y if {w, v} in EQUAL_WORDS or _abbreviates(w, v) and not (vocabulary and vocabulary.both(w, v))), None)
+            hit = next((v for v in y if {w, v} in EQUAL_WORDS or _abbreviates(w, v, vocabulary) and not (vocabulary and vocabulary.both(w, v))), None)
             if hit is not None:
                 x.remove(w)
                 y.remove(hit)

@@ -255,11 +255,10 @@ def languages(docs: DataFrame, model: Model | None = None, doc_id: str = "doc_id
     if model is None:
         model = train(docs, doc_id=doc_id, text=text, label=label)
     id_type = docs.schema[doc_id].dataType.simpleString()
-    held = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: BUCKETS x languages
     schema = f"doc_id {id_type}, seg_no int, lang_found string, confidence double, label_ok boolean, n_sentences int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
+        m = model  # of fixed size (BUCKETS x languages), shipped with the code
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

@@ -83,7 +83,6 @@ FEATURES = "ident string, country string, town string, exact string, initials st
 
 def described(df: DataFrame, name: str, ident: str, country: str, town: str, side: int, vocabulary: Vocabulary) -> DataFrame:
     """``df`` with the features on which the rules join; the keys as hashes."""
-    held = df.sparkSession.sparkContext.broadcast(vocabulary)
     base = df.select(*[F.col(c).cast("string").alias(f"_{i}") for i, c in enumerate((name, ident, country, town))], "*")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", " + FEATURES
     names = [*df.columns, *(x.split()[0] for x in FEATURES.split(", "))]
@@ -95,7 +94,7 @@ def described(df: DataFrame, name: str, ident: str, country: str, town: str, sid
             if x not in known:
                 if len(known) > 50_000:
                     known.clear()
-                known[x] = parse(split_name(x), held.value)
+                known[x] = parse(split_name(x), vocabulary)
             return known[x]
 
         for batch in batches:

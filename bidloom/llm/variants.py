@@ -34,13 +34,12 @@ def parsed_names(names: DataFrame, name: str = "name") -> tuple[DataFrame, "Voca
     least = max(LEAST, math.ceil(SHARE * total))
     counts = known.select(name).mapInArrow(words, "w string").groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     vocabulary = Vocabulary({r.w: r.n for r in counts.collect()})
-    held = names.sparkSession.sparkContext.broadcast(vocabulary)
 
     def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).to_pylist()
             some = [k for k, x in enumerate(texts) if not is_list(x)]
-            keys = [parse(split_name(texts[k]), held.value).key() for k in some]
+            keys = [parse(split_name(texts[k]), vocabulary).key() for k in some]
             yield pa.RecordBatch.from_arrays([*batch.take(pa.array(some, pa.int64())).columns, pa.array(keys, pa.string())], names=[name, "n", "form"])
 
     return known.select(name, "n").mapInArrow(forms, f"{name} string, n bigint, form string"), vocabulary
@@ -66,7 +65,6 @@ def variant_classes(names: DataFrame) -> DataFrame:
     """
     parsed, vocabulary = parsed_names(names)
     parsed = cut(parsed)
-    held = names.sparkSession.sparkContext.broadcast(vocabulary)
     forms = parsed.groupBy("form").agg(F.sum("n").alias("n"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +93,7 @@ def variant_classes(names: DataFrame) -> DataFrame:
                 for f in (v, c):
                     if f not in seen:
                         seen[f] = Name.of(f)
-                x = cost(seen[v], seen[c], held.value)
+                x = cost(seen[v], seen[c], vocabulary)
                 if x is not None:
                     take.append(k)
                     scores.append(math.log(n) - x)

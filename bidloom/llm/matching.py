@@ -50,12 +50,18 @@ def id_key(text: str | None) -> str | None:
     return digits if len(digits) >= 7 and len(set(digits)) > 2 else None
 
 
+#: The keys that rules can ask for, of which one in common is enough, with the bit of each.
+KINDS = {"fuzzy": 1, "root": 2}
+#: The bit of keys made of a long or only word, a pair or all words; of two names that meet in others the rest is compared.
+NAME = 4
+
+
 def _features(name: str | None, ident: str | None, country: str | None, town: str | None, side: int, parsed: Callable[[str], Name]) -> tuple:
     """(identifier, country, town, exact name, name by its words' initials, proper name, initials, keys)
 
-    The keys of two names meet where the proper names are within one edit at either end, or
-    where one is a truncation of the other: each ``side`` gives its whole words to be found
-    among the other's beginnings, so that two whole words that merely begin alike do not meet."""
+    The keys are those of ``block_keys``, led by the bits of the ``KINDS`` they serve. Only the
+    truncations are one-sided: each ``side`` gives its whole words to be found among the
+    other's beginnings, so that two whole words that merely begin alike do not meet."""
     place = town_key(town)
     if not name or is_list(name) or (country and "---" in country):
         return None, None, place, None, None, None, None, []
@@ -65,24 +71,34 @@ def _features(name: str | None, ident: str | None, country: str | None, town: st
         n = Name(rest or n.rare, n.common, n.legal)
     short = "".join(sorted({w[0] for w in n.common}))
     proper = " ".join(w.rstrip(".") for w in n.rare)
-    single = len(n.rare) == 1
-    keys = {k for k in block_keys(n) if k[0] == "2"}
+    every, fuzzy, root = {k for k in block_keys(n) if k[0] in "2d"}, set(), set()
+    common = {f"{k}|{short}" for k in block_keys(n) if k[0] == "c"}
     for w in n.rare:
+        alone = {k for k in block_keys(Name((w,), (), ())) if k[0] == "d"} | {"d" + x for x in deletions(w.rstrip(".")) if len(x) >= 4}
         w = w.rstrip(".")
-        if len(w) >= 4 and (single or len(w) >= 9):
-            keys.update("d" + x for x in deletions(w) if len(x) >= 4)
+        if len(w) >= 4 and (len(n.rare) == 1 or len(w) >= 9):
+            every |= alone
             if len(w) >= 5:
-                keys.add(f"{side}<{w}")
-                keys.update(f"{3 - side}<{w[:k]}" for k in range(max(5, len(w) // 2), len(w)))
+                every.add(f"{side}<{w}")
+                every.update(f"{3 - side}<{w[:k]}" for k in range(max(5, len(w) // 2), len(w)))
+        if len(w) >= 5:
+            fuzzy.update((f"={w}", f"{side}<{w}"))
+        if len(w) >= 6:
+            root |= alone
+    bits: dict[str, int] = {}
+    for found, bit in ((every, sum(KINDS.values()) | NAME), (common, KINDS["fuzzy"] | NAME), (fuzzy, KINDS["fuzzy"]), (root, KINDS["root"])):
+        for k in found:
+            bits[k] = bits.get(k, 0) | bit
+    keys = [f"{bit}{k}" for k, bit in bits.items()]
     exact = proper + "|" + " ".join(w.rstrip(".") for w in n.common)
-    return id_key(ident), country_code(country), place, exact if proper or n.common else None, f"{proper}|{short}" if proper else None, proper or None, short, list(keys)
+    return id_key(ident), country_code(country), place, exact if proper or n.common else None, f"{proper}|{short}" if proper else None, proper or None, short, keys
 
 
 FEATURES = "ident string, country string, town string, exact string, initials string, proper string, short string, keys array<string>"
 
 
 def described(df: DataFrame, name: str, ident: str, country: str, town: str, side: int, vocabulary: Vocabulary) -> DataFrame:
-    """``df`` with the features on which the rules join; the keys as hashes."""
+    """``df`` with the features on which the rules join; the keys as hashes with their kinds."""
     base = df.select(*[F.col(c).cast("string").alias(f"_{i}") for i, c in enumerate((name, ident, country, town))], "*")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", " + FEATURES
     names = [*df.columns, *(x.split()[0] for x in FEATURES.split(", "))]
@@ -104,12 +120,12 @@ def described(df: DataFrame, name: str, ident: str, country: str, town: str, sid
             yield pa.RecordBatch.from_arrays([*batch.columns[4:], *(pa.array(c, k) for c, k in zip(columns, kinds))], names=names)
 
     out = base.mapInArrow(run, schema)
-    return out.withColumn("keys", F.transform("keys", lambda x: F.xxhash64(x)))
+    return out.withColumn("keys", F.transform("keys", lambda x: F.struct(F.xxhash64(F.substr(x, F.lit(2))).alias("_key"), F.substr(x, F.lit(1), F.lit(1)).cast("int").alias("_kinds"))))
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``keys``: the attributes on which both sides must agree (of ``keys`` in any). Of what is no key but known on both sides: ``town_edits`` is how many letters the
+    """``keys``: the attributes on which both sides must agree (of ``KINDS`` in any key). Of what is no key but known on both sides: ``town_edits`` is how many letters the
     towns may differ in (None: any), ``country_apart`` whether the countries may differ."""
 
     name: str
@@ -117,19 +133,22 @@ class Rule:
     town_edits: int | None = 2
     country_apart: bool = False
 
+    def kinds(self) -> int:
+        return sum(bit for kind, bit in KINDS.items() if kind in self.keys)
+
 
 #: From strong to weak.
 RULES = (
-    Rule("ident+fuzzy", ("ident", "keys"), town_edits=None, country_apart=True),
+    Rule("ident+fuzzy", ("ident", "fuzzy"), town_edits=None, country_apart=True),
     Rule("exact+country+town", ("exact", "country", "town")),
     Rule("exact+town", ("exact", "town"), country_apart=True),
     Rule("exact+country", ("exact", "country")),
     Rule("initials+country+town", ("initials", "country", "town")),
     Rule("initials+town", ("initials", "town"), country_apart=True),
     Rule("initials+country", ("initials", "country")),
-    Rule("fuzzy+town", ("keys", "short", "town"), country_apart=True),
-    Rule("fuzzy+country", ("keys", "short", "country")),
-    Rule("root+town", ("keys", "town"), country_apart=True),
+    Rule("fuzzy+town", ("fuzzy", "short", "town"), country_apart=True),
+    Rule("fuzzy+country", ("fuzzy", "short", "country")),
+    Rule("root+town", ("root", "town"), country_apart=True),
     Rule("ident", ("ident",)),
     Rule("proper+country", ("proper", "country")),
     Rule("exact", ("exact",)),
@@ -169,13 +188,14 @@ def match_entities(left: DataFrame, right: DataFrame, left_id: str, right_id: st
 
     agreeing = cut(_agreeing(left, right, left_id, right_id, rules))
     for k, rule in enumerate(rules):
-        if "keys" in rule.keys and "ident" not in rule.keys:
+        if rule.kinds() and "ident" not in rule.keys:
             if near is None:
-                near = cut(_with_attributes(_near(still_open(left.select(left_id, "keys").filter("size(keys) > 0"), left_id), right, left_id, right_id), left, right, left_id, right_id, (*COMPARED, "short")))
-            pairs = near.filter(reduce(lambda p, q: p & q, [F.col("l_" + x) == F.col("r_" + x) for x in rule.keys if x != "keys"]))
+                near = cut(_with_attributes(_near(still_open(left.select(left_id, "keys").filter("size(keys) > 0"), left_id), right, left_id, right_id), left, right, left_id, right_id, (*COMPARED, "short", "proper")).filter(_counterparts()).drop("l_proper", "r_proper"))
+            plain = [F.col("l_" + x) == F.col("r_" + x) for x in rule.keys if x not in KINDS]
+            pairs = near.filter(reduce(lambda p, q: p & q, plain, F.col("kinds").bitwiseAND(rule.kinds()) != 0))
         else:
             pairs = agreeing.filter(F.col("rules").bitwiseAND(1 << k) != 0)
-            if "keys" in rule.keys:  # few share an identifier: their names are compared, their keys not joined
+            if rule.kinds():  # few share an identifier: their names are compared, their keys not joined
                 pairs = pairs.filter("alike")
         pairs = still_open(pairs.filter(_fits(rule)).select("l_id", "r_id", "n", (F.col("l_town") == F.col("r_town")).alias("towns")), "l_id")
         right_one = F.col("towns") if k == 0 else (F.col("truth") == F.col("r_id"))
@@ -214,8 +234,8 @@ def _agreeing(left: DataFrame, right: DataFrame, left_id: str, right_id: str, ru
     def hashed(df: DataFrame, key: str, name: str) -> DataFrame:
         each = []
         for k, rule in enumerate(rules):
-            plain = [x for x in rule.keys if x != "keys"]
-            if "keys" in rule.keys and "ident" not in rule.keys:
+            plain = [x for x in rule.keys if x not in KINDS]
+            if rule.kinds() and "ident" not in rule.keys:
                 continue
             known = reduce(lambda p, q: p & q, [F.col(x).isNotNull() for x in plain])
             each.append(F.struct(F.lit(k).alias("k"), F.when(known, F.xxhash64(F.lit(k), *plain)).alias("h")))
@@ -223,21 +243,42 @@ def _agreeing(left: DataFrame, right: DataFrame, left_id: str, right_id: str, ru
 
     pairs = hashed(left, left_id, "l_id").join(hashed(right, right_id, "r_id"), ["k", "h"])
     pairs = pairs.groupBy("l_id", "r_id").agg(F.expr("bit_or(shiftleft(1, k))").alias("rules"))
-    out = _with_attributes(pairs, left, right, left_id, right_id, (*COMPARED, "proper"))
+    out = _with_attributes(pairs, left, right, left_id, right_id, (*COMPARED, "exact"))
     return out.select("l_id", "r_id", "n", "rules", _alike().alias("alike"), *[f"{m}_{x}" for m in "lr" for x in COMPARED])
 
 
 def _alike() -> Column:
-    """Whether two proper names are within two edits, or one begins the other."""
-    l, r = F.col("l_proper"), F.col("r_proper")
-    return F.coalesce((F.levenshtein(l, r) <= 2) | F.startswith(l, r) | F.startswith(r, l), F.lit(False))
+    """Whether two names of one identifier can share a fuzzy key: the proper names are within two
+    edits or one begins the other, or, the other words having the same initials, a word of
+    either has its counterpart so, or no more than one of the established words is dropped on a side."""
+    words: dict[str, tuple[Column, Column]] = {}
+    for m in "lr":
+        parts = F.split(f"{m}_exact", r"\|")
+        words[m] = tuple(F.filter(F.split(p, " "), lambda w: w != "") for p in (parts[0], parts[1]))
+    close = lambda x, y: (F.levenshtein(x, y) <= 2) | F.startswith(x, y) | F.startswith(y, x)
+    (lp, lc), (rp, rc) = words["l"], words["r"]
+    l, r = F.array_join(lp, " "), F.array_join(rp, " ")
+    short = [F.array_sort(F.array_distinct(F.transform(x, lambda w: F.substring(w, 1, 1)))) for x in (lc, rc)]
+    known = (l != "") & (r != "")
+    partly = F.exists(lp, lambda x: F.exists(rp, lambda y: (F.length(x) >= 5) & (F.length(y) >= 5) & ((x == y) | (F.greatest(F.length(x), F.length(y)) >= 9) & close(x, y))))
+    common = (l == "") & (r == "") & F.arrays_overlap(lc, rc) & (F.size(F.array_except(lc, rc)) <= 1) & (F.size(F.array_except(rc, lc)) <= 1)
+    return F.coalesce(known & close(l, r) | (short[0] == short[1]) & (known & partly | common), F.lit(False))
 
 
 def _near(open_: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:
-    """The pairs of open records and records of ``right`` with a key in common."""
-    a = open_.select(F.col(left_id).alias("l_id"), F.explode("keys").alias("_key"))
-    b = right.select(F.col(right_id).alias("r_id"), F.explode("keys").alias("_key"))
-    return a.join(b, "_key").select("l_id", "r_id").distinct()
+    """The pairs of open records and records of ``right`` with a key in common, and its kinds."""
+    a = open_.select(F.col(left_id).alias("l_id"), F.inline("keys"))
+    b = right.select(F.col(right_id).alias("r_id"), F.inline("keys").alias("_key", "_right"))
+    both = a.join(b, "_key").select("l_id", "r_id", F.col("_kinds").bitwiseAND(F.col("_right")).alias("kinds")).filter(F.col("kinds").bitwiseAND(sum(KINDS.values())) != 0)
+    return both.groupBy("l_id", "r_id").agg(F.expr("bit_or(kinds)").alias("kinds"))
+
+
+def _counterparts() -> Column:
+    """Whether the pair meets in a key of ``NAME``, or every proper word of one name has its like in the other."""
+    l, r = F.split("l_proper", " "), F.split("r_proper", " ")
+    like = lambda x, y: (F.levenshtein(x, y) <= F.when(F.greatest(F.length(x), F.length(y)) >= 6, 2).otherwise(1)) | F.startswith(x, y) | F.startswith(y, x)
+    held = lambda p, q: F.forall(p, lambda x: F.exists(q, lambda y: like(x, y)))
+    return (F.col("kinds").bitwiseAND(NAME) != 0) | F.coalesce(held(l, r) | held(r, l), F.lit(False))
 
 
 def _with_attributes(pairs: DataFrame, left: DataFrame, right: DataFrame, left_id: str, right_id: str, attributes: tuple[str, ...]) -> DataFrame:

@@ -95,3 +95,21 @@ def test_cascade(spark):
     assert got == [(1, "s1"), (1, "s1"), (2, "s1"), (8, "s3")]
     assert all(0 < r.confidence < 1 for r in matched.collect()) and report.count() >= 1
     assert match_awards(c.limit(0), s)[0].count() == 0 and match_awards(c, s.limit(0))[0].count() == 0
+
+
+def test_cascade_keys(spark):
+    """Spellings that meet in one kind of key only: rn for m, established words only, one word of several."""
+    supplier = [
+        ("s1", "Tigitrifomi Forniture SPA", "IT", "Aville", None), ("s2", "Bagemopoga Travaux Publics SARL", "FR", "Bville", None), ("s3", "Strassenbau Medical Supplies GmbH", "DE", "Cdorf", None),
+        ("s4", "Sitraf & Brtriga BV", "NL", "Ddam", None), ("s5", "Daze & Kolrio AG", "DE", "Edorf", None), ("s6", "Hospital Medical AG", "DE", "Fdorf", "987654321"),
+    ]
+    award = [
+        (1, "Tigitriforni Forniture SPA", None, "IT", "Aville"), (2, "Bagernopoga Travaux Publics SARL", None, "FR", "Bville"), (3, "Strassenbau Medical Suplies Stadt GmbH", None, "DE", "Cdorf"),
+        (4, "Sotraf & Bratriga BV", None, "NL", "Ddam"), (5, "Fina & Kolero AG", None, "DE", "Edorf"), (6, "Hospital Medical Mobel AG", "987654321", "DE", "Gross Adorf"),
+    ]
+    words = [(f"{w} Filler{chr(97 + i)}mo", "x") for i in range(15) for w in ("Strassenbau", "Medical", "Supplies", "Stadt", "Hospital", "Mobel")]
+    award += [(100 + i, name, None, "PL", f"Nowhere{i}") for i, (name, _) in enumerate(words)]
+    c = spark.createDataFrame(award, "source_row_id long, win_name string, win_nationalid string, win_country_code string, win_town string")
+    s = spark.createDataFrame(supplier, "supplier_entity_id string, canonical_name string, supplier_country string, supplier_town string, validated_national_id string")
+    got = {r.source_row_id: (r.supplier_entity_id, r.rule) for r in match_awards(c, s)[0].collect()}
+    assert got == {1: ("s1", "fuzzy+town"), 2: ("s2", "fuzzy+town"), 3: ("s3", "fuzzy+town"), 4: ("s4", "root+town"), 6: ("s6", "ident+fuzzy")}

@@ -117,6 +117,13 @@ def jon_11_case_pool(t: Tables) -> DataFrame:
     return pairs.groupBy("case_id").agg(F.count("*").alias("n_pairs"), F.sum("n_awards").alias("n_awards"))
 
 
+@BOOK.query(_ACT + "SELECT a.case_id, pool, count(*) AS n_pairs, sum(e.n_awards) AS n_awards FROM asg a JOIN elig e USING (pool, context) GROUP BY 1, 2")
+def jon_11_all_pools(t: Tables) -> DataFrame:
+    """The same over all pools, the primary one among them: every pair is formed."""
+    pairs = X.assignments(targets(t), "case_id", LEVELS, POOLS).join(X.eligibility(activity(t), POOLS), ["pool", "context"])
+    return pairs.groupBy("case_id", "pool").agg(F.count("*").alias("n_pairs"), F.sum("n_awards").alias("n_awards"))
+
+
 # features
 
 _FS = """SELECT supplier, n_awards, n_buyers, round(hhi, 9) AS hhi, n_contexts, round(value_sum, 2) AS value_sum, round(value_median, 2) AS value_median, first_date, last_date FROM (

@@ -7,10 +7,11 @@ outside quotes, at the depth of the list itself, end a slot.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
+from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,7 +21,6 @@ OPEN, CLOSE = "([{", ")]}"
 EVENT = re.compile(r'["\\()\[\]{};|,\n\r\t/ ]|---+')
 NEXT_QUOTE = re.compile(r'\s*"')
 PURE = re.compile(r"\d+(?:,\d+)+")
-MAX_SUBSETS = 4096
 
 
 @dataclass(frozen=True)
@@ -184,17 +184,7 @@ def tokenize_weights(text: str | None, n_values: int) -> list[str]:
         if pairs and need == sum(len(g) // 2 for g in groups if len(g) > 1):
             chosen = {(g, k) for g, k in marks if k % 2 == 0}
         else:
-            best = None
-            for tried, some in enumerate(combinations(marks, need)):
-                if tried >= MAX_SUBSETS:
-                    break
-                s = set(some)
-                if any((g, k + 1) in s for g, k in s):
-                    continue
-                off = abs(sum(_number(v) for v in _join(groups, s)) - 100)
-                if best is None or off < best[0]:
-                    best = (off, s)
-            chosen = best[1] if best else None
+            chosen = _nearest(groups, need)
     if chosen is None:
         chosen = {(g, 0) for g, x in enumerate(groups) if len(x) == 2}
     return _join(groups, chosen)
@@ -214,6 +204,48 @@ def _join(groups: list[list[str]], decimal: set[tuple[int, int]]) -> list[str]:
     return out
 
 
+def _nearest(groups: list[list[str]], need: int) -> set[tuple[int, int]] | None:
+    """The ``need`` marks, no two of them adjacent, that as decimal commas bring the sum nearest
+    to 100; of several such the first in order. None where there are not so many.
+
+    From left to right each value takes one part or two. Of the readings of a beginning with
+    equal decimals and sum the first is kept, and of those whose sums reach 100 the smallest."""
+    parts = [(g, k) for g, x in enumerate(groups) for k in range(len(x))]
+    one = [_exact(groups[g][k]) for g, k in parts]
+    two = [_exact(f"{groups[g][k]},{groups[g][k + 1]}") if k + 1 < len(groups[g]) else None for g, k in parts]
+    grows = all(v is None or v >= 0 for v in one + two)
+    room = [0] * (len(parts) + 2)  # so many marks at most can still be decimal
+    for i in reversed(range(len(parts))):
+        room[i] = max(room[i + 1], 1 + room[i + 2]) if two[i] is not None else room[i + 1]
+    states: list[dict[tuple[int, Fraction], tuple[int, ...]]] = [{} for _ in range(len(parts) + 2)]
+    states[0][0, Fraction(0)] = ()
+    for i in range(len(parts)):
+        over: dict[int, Fraction] = {}
+        for used, total in states[i]:
+            if total >= 100:
+                over[used] = min(total, over.get(used, total))
+        for (used, total), some in states[i].items():
+            if used + room[i] < need or grows and total >= 100 and total > over[used]:
+                continue
+            steps = [(i + 1, used, total + one[i], some)]
+            if two[i] is not None and used < need:
+                steps.append((i + 2, used + 1, total + two[i], (*some, i)))
+            for at, n, x, t in steps:
+                if (n, x) not in states[at] or t < states[at][n, x]:
+                    states[at][n, x] = t
+        states[i] = {}
+    ends = [(abs(total - 100), some) for (used, total), some in states[len(parts)].items() if used == need]
+    return {parts[i] for i in min(ends)[1]} if ends else None
+
+
+def _exact(v: str) -> Fraction:
+    v = v.replace("%", "").replace(",", ".").strip()
+    if re.fullmatch(r"[0-9]+(\.[0-9]*)?", v):
+        return Fraction(v)
+    x = _number(v)
+    return Fraction(x) if math.isfinite(x) else Fraction(0)
+
+
 def _number(v: str) -> float:
     try:
         return float(v.replace("%", "").replace(",", ".").strip() or 0)

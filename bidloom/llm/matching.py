@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidloom.llm.names import Name, Vocabulary, block_keys, deletions, is_list, parse, split_name
+from bidloom.llm.names import Name, block_keys, deletions
 from bidloom.llm.text import fold, mend
-from bidloom.llm.variants import parsed_names
+from bidloom.llm.variants import LIST, parsed_names
 from bidloom.sources.tables import cut
 
 #: Notations of countries, and words beside a town's name.
@@ -26,9 +26,17 @@ BESIDE_TOWN = set("nord sud est ouest ost west north south east centre center ce
 NO_TOWN = {"na", "nn", "town", "city", "ort", "unknown", "keineangabe", "seedocuments"}
 
 
-def country_code(text: str | None) -> str | None:
-    c = fold(text).strip() if text else ""
-    return COUNTRIES.get(c, c) if c.isalpha() and (len(c) == 2 or c in COUNTRIES) or c in COUNTRIES else None
+def country_code(c: Column) -> Column:
+    """The two-letter code of a country in any notation; null for anything else."""
+    c = F.translate(F.trim(F.lower(c)), "ñöéèëçáà", "noeeecaa")
+    known = F.create_map(*[F.lit(x) for pair in COUNTRIES.items() for x in pair])
+    return F.coalesce(F.element_at(known, c), F.when(c.rlike("^[a-z]{2}$"), c))
+
+
+def id_key(c: Column) -> Column:
+    """The digits of an identifier, whatever its country prefix and punctuation; null for fillers."""
+    digits = F.regexp_replace(c, r"\D", "")
+    return F.when((F.length(digits) >= 7) & ~digits.rlike(r"^(.)\1*(.)(\1|\2)*$"), digits)
 
 
 def town_key(text: str | None) -> str | None:
@@ -44,35 +52,22 @@ def town_key(text: str | None) -> str | None:
     return key if len(key) >= 2 and key not in NO_TOWN else None
 
 
-def id_key(text: str | None) -> str | None:
-    """The digits of an identifier, whatever its country prefix and punctuation; None for fillers."""
-    digits = re.sub(r"\D", "", text) if text else ""
-    return digits if len(digits) >= 7 and len(set(digits)) > 2 else None
-
-
 #: The keys that rules can ask for, of which one in common is enough, with the bit of each.
 KINDS = {"fuzzy": 1, "root": 2}
 #: The bit of keys made of a long or only word, a pair or all words; of two names that meet in others the rest is compared.
 NAME = 4
 
 
-def _features(name: str | None, ident: str | None, country: str | None, town: str | None, side: int, parsed: Callable[[str], Name]) -> tuple:
-    """(identifier, country, town, exact name, name by its words' initials, proper name, initials, keys)
-
-    The keys are those of ``block_keys``, led by the bits of the ``KINDS`` they serve. Only the
-    truncations are one-sided: each ``side`` gives its whole words to be found among the
-    other's beginnings, so that two whole words that merely begin alike do not meet."""
-    place = town_key(town)
-    if not name or is_list(name) or (country and "---" in country):
-        return None, None, place, None, None, None, None, []
-    n = parsed(name)
-    if place and len(n.rare) > 1:  # the town in the name is no part of it
-        rest = tuple(w for w in n.rare if w.rstrip(".") not in place or len(w) < 4)
-        n = Name(rest or n.rare, n.common, n.legal)
-    short = "".join(sorted({w[0] for w in n.common}))
-    proper = " ".join(w.rstrip(".") for w in n.rare)
+def name_keys(proper: str, common: str, side: int) -> dict[str, int]:
+    """The keys under which a name may meet its spellings, with the bits of the ``KINDS`` they serve.
+
+    They are those of ``block_keys``. Only the truncations are one-sided: each ``side`` gives
+    its whole words to be found among the other's beginnings, so that two whole words that
+    merely begin alike do not meet."""
+    n = Name(tuple(proper.split()), tuple(common.split()), ())
+    short = initials(n.common)
     every, fuzzy, root = {k for k in block_keys(n) if k[0] in "2d"}, set(), set()
-    common = {f"{k}|{short}" for k in block_keys(n) if k[0] == "c"}
+    whole = {f"{k}|{short}" for k in block_keys(n) if k[0] == "c"}
     for w in n.rare:
         alone = {k for k in block_keys(Name((w,), (), ())) if k[0] == "d"} | {"d" + x for x in deletions(w.rstrip(".")) if len(x) >= 4}
         w = w.rstrip(".")
@@ -86,64 +81,33 @@ def _features(name: str | None, ident: str | None, country: str | None, town: st
         if len(w) >= 6:
             root |= alone
     bits: dict[str, int] = {}
-    for found, bit in ((every, sum(KINDS.values()) | NAME), (common, KINDS["fuzzy"] | NAME), (fuzzy, KINDS["fuzzy"]), (root, KINDS["root"])):
+    for found, bit in ((every, sum(KINDS.values()) | NAME), (whole, KINDS["fuzzy"] | NAME), (fuzzy, KINDS["fuzzy"]), (root, KINDS["root"])):
         for k in found:
             bits[k] = bits.get(k, 0) | bit
-    keys = [f"{bit}{k}" for k, bit in bits.items()]
-    exact = proper + "|" + " ".join(w.rstrip(".") for w in n.common)
-    return id_key(ident), country_code(country), place, exact if proper or n.common else None, f"{proper}|{short}" if proper else None, proper or None, short, keys
-
-
-FEATURES = "ident string, country string, town string, exact string, initials string, proper string, short string, keys array<string>"
-
-
-def described(df: DataFrame, name: str, ident: str, country: str, town: str, side: int, vocabulary: Vocabulary) -> DataFrame:
-    """``df`` with the features on which the rules join; the keys as hashes with their kinds."""
-    base = df.select(*[F.col(c).cast("string").alias(f"_{i}") for i, c in enumerate((name, ident, country, town))], "*")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", " + FEATURES
-    names = [*df.columns, *(x.split()[0] for x in FEATURES.split(", "))]
+    return bits
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, Name] = {}
-
-        def parsed(x: str) -> Name:
-            if x not in known:
-                if len(known) > 50_000:
-                    known.clear()
-                known[x] = parse(split_name(x), vocabulary)
-            return known[x]
 
-        for batch in batches:
-            rows = [_features(*r, side, parsed) for r in zip(*(batch.column(i).to_pylist() for i in range(4)))]
-            columns = list(zip(*rows)) or [[]] * 8
-            kinds = [pa.string()] * 7 + [pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[4:], *(pa.array(c, k) for c, k in zip(columns, kinds))], names=names)
-
-    out = base.mapInArrow(run, schema)
-    return out.withColumn("keys", F.transform("keys", lambda x: F.struct(F.xxhash64(F.substr(x, F.lit(2))).alias("_key"), F.substr(x, F.lit(1), F.lit(1)).cast("int").alias("_kinds"))))
+def initials(words: tuple[str, ...]) -> str:
+    return "".join(sorted({w[0] for w in words}))
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``keys``: the attributes on which both sides must agree (of ``KINDS`` in any key). Of what is no key but known on both sides: ``town_edits`` is how many letters the
-    towns may differ in (None: any), ``country_apart`` whether the countries may differ."""
+    """``keys``: the attributes on which both sides must agree (``fuzzy`` and ``root``: the names must be linked so). Of what is no key but known on both sides: ``towns`` is how many
+    letters the towns may differ in (None: any), ``country_apart`` whether the countries may differ. ``alike`` asks for similar names beside the keys."""
 
     name: str
     keys: tuple[str, ...]
-    town_edits: int | None = 2
+    towns: int | None = 2
     country_apart: bool = False
-
-    def kinds(self) -> int:
-        return sum(bit for kind, bit in KINDS.items() if kind in self.keys)
+    alike: bool = False
 
 
 #: From strong to weak.
 RULES = (
-    Rule("ident+fuzzy", ("ident", "fuzzy"), town_edits=None, country_apart=True),
-    Rule("exact+country+town", ("exact", "country", "town")),
+    Rule("ident+name", ("ident",), towns=None, country_apart=True, alike=True),
     Rule("exact+town", ("exact", "town"), country_apart=True),
     Rule("exact+country", ("exact", "country")),
-    Rule("initials+country+town", ("initials", "country", "town")),
     Rule("initials+town", ("initials", "town"), country_apart=True),
     Rule("initials+country", ("initials", "country")),
     Rule("fuzzy+town", ("fuzzy", "short", "town"), country_apart=True),
@@ -157,106 +121,131 @@ RULES = (
 
 
 def match_entities(left: DataFrame, right: DataFrame, left_id: str, right_id: str, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
-    """Matches of ``left`` to ``right``, both with the features of ``described``.
+    """Matches of ``left`` to ``right``, both with the columns of ``attributes``.
 
     First result: ``left_id, right_id, rule, confidence``: at most one record of ``right`` for
-    each of ``left``. Rules are tried from strong to weak; each is one exact join of the
-    records still open with ``right``, and what it resolves is anti-joined away before the
-    next (the pairs of all rules are found by one join on the rules' hashed attributes; each
-    pass takes its own). A record that several records of ``right`` fit stays open.
-
-    Second result: per rule its matches and its confidence, the precision on labelled records
-    smoothed as if one more had been right and one wrong. Labelled are the records the first
-    rule resolved: every later rule is tried on them too, and is right where it finds the
-    same record. The first rule itself is labelled by the towns, where both are known.
+    each of ``left``. Rules are tried from strong to weak. Each is one exact join on its
+    attributes of the records still open with ``right``; what it resolves is anti-joined away
+    before the next. Of several records of ``right`` that a rule gives, the one is taken that
+    agrees with most of identifier, country and town; where that leaves several, the record
+    stays open for the next rule and is counted as tied. Names are linked (``fuzzy``,
+    ``root``) once for the names still open, one row per pair of names, so a rule on them is
+    a join through that table.
+
+    Second result: per rule ``n_matched``, ``n_tied``, its labelled records, how many of them
+    it got right, and its confidence. A record is labelled by its identifier where exactly
+    one record of ``right`` has it: such records pass through the rules on names, which never
+    look at it, until one resolves them (they are then matched by the rule that would match
+    them anyway). The rule of identifier and name is labelled by the rule of exact name and
+    town, that of identifiers alone by the towns. Precision is smoothed as if one more had
+    been right and one wrong, and then made not to rise from a stronger rule to a weaker one
+    (pooling adjacent rules that violate that, weighted by their labelled records).
 
     A null attribute never agrees; a record without any stays unmatched. Identifiers that
     are known and differ by more than two characters rule a pair out, unless the towns are
     known and (nearly) agree. ``left`` has one row per distinct record, ``n`` saying how
     often it occurs; ``right_id`` must be unique. Empty tables give empty results.
     """
+    spark = left.sparkSession
+    open_ = left.select(F.col(left_id).alias("l_id"), "n", *PASSED, "form", "name").withColumn("truth", F.lit(None).cast(right.schema[right_id].dataType)).withColumn("done", F.lit(False))
     found: list[DataFrame] = []
-    resolved: DataFrame | None = None
-    near: DataFrame | None = None
-    truth_type = right.schema[right_id].dataType
-
-    def still_open(df: DataFrame, key: str) -> DataFrame:
-        """Without what is resolved, but for the labelled, which get their truth."""
-        if resolved is None:
-            return df.withColumn("truth", F.lit(None).cast(truth_type))
-        return df.join(resolved.withColumnRenamed(left_id, key), key, "left").filter("_no is null or _no = 0").drop("_no")
-
-    agreeing = cut(_agreeing(left, right, left_id, right_id, rules))
+    links: DataFrame | None = None
     for k, rule in enumerate(rules):
-        if rule.kinds() and "ident" not in rule.keys:
-            if near is None:
-                near = cut(_with_attributes(_near(still_open(left.select(left_id, "keys").filter("size(keys) > 0"), left_id), right, left_id, right_id), left, right, left_id, right_id, (*COMPARED, "short", "proper")).filter(_counterparts()).drop("l_proper", "r_proper"))
-            plain = [F.col("l_" + x) == F.col("r_" + x) for x in rule.keys if x not in KINDS]
-            pairs = near.filter(reduce(lambda p, q: p & q, plain, F.col("kinds").bitwiseAND(rule.kinds()) != 0))
-        else:
-            pairs = agreeing.filter(F.col("rules").bitwiseAND(1 << k) != 0)
-            if rule.kinds():  # few share an identifier: their names are compared, their keys not joined
-                pairs = pairs.filter("alike")
-        pairs = still_open(pairs.filter(_fits(rule)).select("l_id", "r_id", "n", (F.col("l_town") == F.col("r_town")).alias("towns")), "l_id")
-        right_one = F.col("towns") if k == 0 else (F.col("truth") == F.col("r_id"))
+        kind = next((x for x in rule.keys if x in KINDS), None)
+        plain = [x for x in rule.keys if x not in KINDS]
+        a = open_.filter(reduce(lambda p, q: p & q, [F.col(x).isNotNull() for x in plain]))
+        b = right.select(F.col(right_id).alias("r_id"), *[F.col(x).alias("r_" + x) for x in dict.fromkeys([*COMPARED, *plain, *(["form"] if kind else []), *(["name"] if rule.alike else [])])])
+        same = [F.col(x) == F.col("r_" + x) for x in plain]
+        if kind:
+            if links is None:
+                links = cut(_links(left.join(open_.select("form"), "form", "left_semi"), right))
+            a = a.join(links.filter(F.col("kinds").bitwiseAND(KINDS[kind]) != 0).hint("merge"), "form")
+            same.append(F.col("to_form") == F.col("r_form"))
+        pairs = a.join(b.hint("merge"), reduce(lambda p, q: p & q, same))
+        towns = F.levenshtein("town", "r_town") <= 2
+        fits = _fits(rule)
+        score = F.coalesce((F.col("ident") == F.col("r_ident")).cast("int"), F.lit(0)) + F.coalesce((F.col("country") == F.col("r_country")).cast("int"), F.lit(0)) + F.coalesce(2 * towns.cast("int"), F.lit(0))
+        best = F.when(fits, F.struct(score.alias("s"), F.col("r_id").alias("r")))
+        last = F.when(fits, F.struct((-score).alias("s"), F.col("r_id").alias("r")))
+        # per open record the best of its pairs; by the way, who alone has its identifier
         one = pairs.groupBy("l_id").agg(
-            F.min("r_id").alias("lo"), F.max("r_id").alias("hi"), F.first("n").alias("n"), F.first("truth").alias("truth"), F.max(right_one.cast("int")).alias("agrees")
-        ).filter("lo = hi")
-        one = cut(one.select(F.col("l_id").alias(left_id), F.col("lo").alias(right_id), F.lit(k).alias("rule_no"), "n", "truth", "agrees"))
+            F.first("n").alias("n"), F.first("truth").alias("truth"), F.first("done").alias("done"), F.max(best).alias("hi"), F.min(last).alias("lo"), F.min("r_id").alias("any_lo"), F.max("r_id").alias("any_hi"), F.max(towns.cast("int")).alias("near")
+        )
+        unique = F.col("hi.r") == F.col("lo.r")
+        only = F.when(F.col("any_lo") == F.col("any_hi"), F.col("any_lo")) if k == 0 else F.lit(None).cast(right.schema[right_id].dataType)
+        one = cut(one.select("l_id", F.lit(k).alias("rule_no"), "n", "truth", "done", F.when(unique, F.col("hi.r")).alias("r_id"), (F.col("hi").isNotNull() & ~unique).alias("tied"), only.alias("only"), "near"))
         found.append(one)
-        # resolved records with the rule that did it; those of the first keep being tried, as labels
-        new = one.filter("truth is null").select(left_id, F.col("rule_no").alias("_no"), F.when(F.col("rule_no") == 0, F.col(right_id)).alias("truth"))
-        resolved = new if resolved is None else resolved.unionByName(new)
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
-    every = every.withColumn("rule", F.element_at(F.array(*[F.lit(x.name) for x in rules]), F.col("rule_no") + 1))
-    new = F.col("truth").isNull()
-    label = F.col("agrees").isNotNull() & ((F.col("rule_no") == 0) | ~new)
-    report = every.groupBy("rule").agg(
-        F.coalesce(F.sum(F.when(new, F.col("n"))), F.lit(0)).alias("n_matched"), F.coalesce(F.sum(F.when(label, F.col("n"))), F.lit(0)).alias("n_labelled"), F.coalesce(F.sum(F.when(label & (F.col("agrees") == 1), F.col("n"))), F.lit(0)).alias("n_agree")
-    ).withColumn("confidence", (F.col("n_agree") + 1.0) / (F.col("n_labelled") + 2.0))
-    # one row per rule, so its size is bounded
-    matched = every.filter(new).join(F.broadcast(report.select("rule", "confidence")), "rule").select(left_id, right_id, "rule", "confidence")
-    return matched, report
-
-
-#: Partitions over which the rows of one name are spread.
-SALTS = 8
-#: What is compared beside a rule's keys.
+        if k == 0:
+            # those with a label stay for the rules on names, as labels; the others it resolved are done with
+            new = one.select("l_id", F.col("only").alias("_only"), F.col("r_id").isNotNull().alias("_done")).filter("_only is not null or _done")
+            open_ = open_.join(new.hint("merge"), "l_id", "left").filter("_done is null or not _done or _only is not null")
+            open_ = open_.withColumn("truth", F.col("_only")).withColumn("done", F.coalesce("_done", F.lit(False))).drop("_only", "_done", "name")
+        elif k + 1 < len(rules):
+            open_ = open_.join(one.filter("r_id is not null").select("l_id").hint("merge"), "l_id", "left_anti")
+        if k + 1 < len(rules):
+            open_ = cut(open_)
+    every = reduce(DataFrame.unionByName, found)
+    report, confidence = _report(spark, every, rules)
+    matched = every.filter("r_id is not null and not done").withColumn("rule", F.element_at(F.array(*[F.lit(x.name) for x in rules]), F.col("rule_no") + 1))
+    matched = matched.withColumn("confidence", F.element_at(F.array(*[F.lit(c) for c in confidence]), F.col("rule_no") + 1))
+    return matched.select(F.col("l_id").alias(left_id), F.col("r_id").alias(right_id), "rule", "confidence"), report
+
+
+#: What an open record carries from rule to rule, and what of it is compared beside a rule's keys.
+PASSED = ("ident", "country", "town", "exact", "initials", "proper", "short")
 COMPARED = ("ident", "country", "town")
 
 
-def _agreeing(left: DataFrame, right: DataFrame, left_id: str, right_id: str, rules: tuple[Rule, ...]) -> DataFrame:
-    """The pairs that agree in all attributes of some rule, ``rules`` being the bits of those they
-    agree in, with the attributes compared. One join serves all rules: each record is exploded
-    into one hash per rule whose attributes it has, so that only ids and hashes are shuffled."""
-    def hashed(df: DataFrame, key: str, name: str) -> DataFrame:
-        each = []
-        for k, rule in enumerate(rules):
-            plain = [x for x in rule.keys if x not in KINDS]
-            if rule.kinds() and "ident" not in rule.keys:
-                continue
-            known = reduce(lambda p, q: p & q, [F.col(x).isNotNull() for x in plain])
-            each.append(F.struct(F.lit(k).alias("k"), F.when(known, F.xxhash64(F.lit(k), *plain)).alias("h")))
-        return df.select(F.col(key).alias(name), F.inline(F.array(*each))).filter("h is not null")
+def _report(spark, every: DataFrame, rules: tuple[Rule, ...]) -> tuple[DataFrame, list[float]]:
+    ident = [k for k, r in enumerate(rules) if "ident" in r.keys]
+    named = F.col("truth").isNotNull() & F.col("r_id").isNotNull()
+    agrees = F.col("truth") == F.col("r_id")
+    labelled = F.when(F.col("rule_no").isin(ident), F.col("near").isNotNull()).otherwise(named)
+    right = F.when(F.col("rule_no").isin(ident), F.col("near") == 1).otherwise(agrees)
+    count = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    rows = every.groupBy("rule_no").agg(
+        count(F.col("r_id").isNotNull() & ~F.col("done")).alias("n_matched"), count(F.col("tied") & ~F.col("done")).alias("n_tied"), count(labelled).alias("n_labelled"), count(labelled & right).alias("n_agree"),
+        count(named & F.col("done")).alias("first_labelled"), count(named & F.col("done") & agrees).alias("first_agree"),
+    ).collect()  # one row per rule
+    by = {r.rule_no: r.asDict() for r in rows}
+    zero = {"n_matched": 0, "n_tied": 0, "n_labelled": 0, "n_agree": 0, "first_labelled": 0, "first_agree": 0}
+    stats = [zero | by.get(k, {}) for k in range(len(rules))]
+    if rules[0].alike and len(rules) > 1:  # labelled by the strongest rule on names
+        stats[0] |= {"n_labelled": stats[1]["first_labelled"], "n_agree": stats[1]["first_agree"]}
+    pools: list[list[float]] = []  # right, all, rules
+    for s in stats:
+        pools.append([s["n_agree"] + 1.0, s["n_labelled"] + 2.0, 1])
+        while len(pools) > 1 and pools[-2][0] / pools[-2][1] < pools[-1][0] / pools[-1][1]:
+            a, b = pools.pop(), pools.pop()
+            pools.append([x + y for x, y in zip(a, b)])
+    confidence = [p[0] / p[1] for p in pools for _ in range(int(p[2]))]
+    table = [(r.name, int(s["n_matched"]), int(s["n_tied"]), int(s["n_labelled"]), int(s["n_agree"]), c) for r, s, c in zip(rules, stats, confidence)]
+    return spark.createDataFrame(table, "rule string, n_matched bigint, n_tied bigint, n_labelled bigint, n_agree bigint, confidence double"), confidence
 
-    pairs = hashed(left, left_id, "l_id").join(hashed(right, right_id, "r_id"), ["k", "h"])
-    pairs = pairs.groupBy("l_id", "r_id").agg(F.expr("bit_or(shiftleft(1, k))").alias("rules"))
-    out = _with_attributes(pairs, left, right, left_id, right_id, (*COMPARED, "exact"))
-    return out.select("l_id", "r_id", "n", "rules", _alike().alias("alike"), *[f"{m}_{x}" for m in "lr" for x in COMPARED])
+
+def _fits(rule: Rule) -> Column:
+    """What else a pair must fulfil: nothing known on both sides may contradict the rule."""
+    near = F.levenshtein("town", "r_town") <= 2
+    ok = F.lit(True)
+    if "town" not in rule.keys and rule.towns is not None:
+        ok = ok & F.coalesce(F.levenshtein("town", "r_town") <= rule.towns, F.lit(True))
+    if "country" not in rule.keys and not rule.country_apart:
+        ok = ok & F.coalesce(F.col("country") == F.col("r_country"), F.lit(True))
+    if "ident" not in rule.keys:
+        ok = ok & (F.coalesce(F.levenshtein("ident", "r_ident") <= 2, F.lit(True)) | F.coalesce(near, F.lit(False)))
+    return ok & _alike() if rule.alike else ok
 
 
 def _alike() -> Column:
-    """Whether two names of one identifier can share a fuzzy key: the proper names are within two
+    """Whether two names of one identifier are similar: the proper names are within two
     edits or one begins the other, or, the other words having the same initials, a word of
     either has its counterpart so, or no more than one of the established words is dropped on a side."""
-    words: dict[str, tuple[Column, Column]] = {}
-    for m in "lr":
-        parts = F.split(f"{m}_exact", r"\|")
-        words[m] = tuple(F.filter(F.split(p, " "), lambda w: w != "") for p in (parts[0], parts[1]))
+    words: list[tuple[Column, Column]] = []
+    for m in ("", "r_"):
+        parts = F.split(F.replace(F.col(f"{m}name"), F.lit("."), F.lit("")), r"\|")
+        words.append(tuple(F.filter(F.split(p, " "), lambda w: w != "") for p in (parts[0], parts[1])))
     close = lambda x, y: (F.levenshtein(x, y) <= 2) | F.startswith(x, y) | F.startswith(y, x)
-    (lp, lc), (rp, rc) = words["l"], words["r"]
+    (lp, lc), (rp, rc) = words
     l, r = F.array_join(lp, " "), F.array_join(rp, " ")
     short = [F.array_sort(F.array_distinct(F.transform(x, lambda w: F.substring(w, 1, 1)))) for x in (lc, rc)]
     known = (l != "") & (r != "")
@@ -265,59 +254,82 @@ def _alike() -> Column:
     return F.coalesce(known & close(l, r) | (short[0] == short[1]) & (known & partly | common), F.lit(False))
 
 
-def _near(open_: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:
-    """The pairs of open records and records of ``right`` with a key in common, and its kinds."""
-    a = open_.select(F.col(left_id).alias("l_id"), F.inline("keys"))
-    b = right.select(F.col(right_id).alias("r_id"), F.inline("keys").alias("_key", "_right"))
-    both = a.join(b, "_key").select("l_id", "r_id", F.col("_kinds").bitwiseAND(F.col("_right")).alias("kinds")).filter(F.col("kinds").bitwiseAND(sum(KINDS.values())) != 0)
-    return both.groupBy("l_id", "r_id").agg(F.expr("bit_or(kinds)").alias("kinds"))
-
-
-def _counterparts() -> Column:
-    """Whether the pair meets in a key of ``NAME``, or every proper word of one name has its like in the other."""
-    l, r = F.split("l_proper", " "), F.split("r_proper", " ")
+def _links(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``form, to_form, kinds``: the pairs of names of ``left`` and ``right`` that have a key in
+    common, with the kinds of these keys. Names are joined, each once, not records. Where
+    none of the keys is of ``NAME``, every proper word of one must have its like in the other."""
+    l, r = left.select("form", "name").distinct(), right.select("form", "name").distinct().toDF("to_form", "to_name")
+    kinds = F.col("bits").bitwiseAND(F.col("r_bits"))
+    keys = _keyed(l, 1).join(_keyed(r, 2).toDF("to_form", "key", "r_bits").hint("merge"), "key").select("form", "to_form", kinds.alias("kinds"))
+    pairs = cut(keys.filter(F.col("kinds").bitwiseAND(sum(KINDS.values())) != 0).groupBy("form", "to_form").agg(F.bit_or("kinds").alias("kinds")))
+    sure = F.col("kinds").bitwiseAND(NAME) != 0
+    words = [F.split(F.replace(F.substring_index(c, "|", 1), F.lit("."), F.lit("")), " ") for c in ("name", "to_name")]
     like = lambda x, y: (F.levenshtein(x, y) <= F.when(F.greatest(F.length(x), F.length(y)) >= 6, 2).otherwise(1)) | F.startswith(x, y) | F.startswith(y, x)
     held = lambda p, q: F.forall(p, lambda x: F.exists(q, lambda y: like(x, y)))
-    return (F.col("kinds").bitwiseAND(NAME) != 0) | F.coalesce(held(l, r) | held(r, l), F.lit(False))
+    rest = pairs.filter(~sure).join(l.hint("merge"), "form").join(r.hint("merge"), "to_form").filter(held(*words) | held(*words[::-1]))
+    return pairs.filter(sure).unionByName(rest.select("form", "to_form", "kinds"))
 
 
-def _with_attributes(pairs: DataFrame, left: DataFrame, right: DataFrame, left_id: str, right_id: str, attributes: tuple[str, ...]) -> DataFrame:
-    l = left.select(F.col(left_id).alias("l_id"), "n", *[F.col(x).alias("l_" + x) for x in attributes])
-    r = right.select(F.col(right_id).alias("r_id"), *[F.col(x).alias("r_" + x) for x in attributes])
-    return pairs.join(r, "r_id").join(l, "l_id")
-
+def _keyed(forms: DataFrame, side: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            take, keys, bits = [], [], []
+            for row, spelt in enumerate(batch.column(1).to_pylist()):
+                some = name_keys(*spelt.split("|"), side)
+                take += [row] * len(some)
+                keys += some
+                bits += some.values()
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), pa.array(keys, pa.string()), pa.array(bits, pa.int32())], names=["form", "key", "bits"])
+
+    return forms.mapInArrow(run, "form bigint, key string, bits int").select("form", F.xxhash64("key").alias("key"), "bits")
+
+
+def attributes(df: DataFrame, named: DataFrame, towns: DataFrame) -> DataFrame:
+    """``df`` (``name, ident, country, town``) with the attributes on which the rules join."""
+    out = df.join(named.select("name", "proper", "common").hint("merge"), "name").join(towns.hint("merge"), "town", "left").drop("name", "town").withColumnRenamed("place", "town")
+    bare = lambda c: F.replace(F.col(c), F.lit("."), F.lit(""))
+    words = F.split("proper", " ")
+    rest = F.filter(words, lambda w: (F.instr(F.col("town"), F.replace(w, F.lit("."), F.lit(""))) == 0) | (F.length(F.replace(w, F.lit("."), F.lit(""))) < 4))
+    # the town in a name is no part of it
+    out = out.withColumn("proper", F.when(F.col("town").isNotNull() & (F.size(words) > 1) & (F.size(rest) > 0), F.array_join(rest, " ")).otherwise(F.col("proper")))
+    short = F.array_join(F.array_sort(F.array_distinct(F.transform(F.split("common", " "), lambda w: F.substring(w, 1, 1)))), "")
+    some = F.col("proper") != ""
+    out = out.select("*", short.alias("short"), F.concat("proper", F.lit("|"), "common").alias("name"), F.xxhash64("proper", "common").alias("form"), F.when(some | (F.col("common") != ""), F.xxhash64(bare("proper"), bare("common"))).alias("exact"))
+    return out.withColumn("initials", F.when(some, F.xxhash64(bare("proper"), F.col("short")))).withColumn("proper", F.when(some, F.xxhash64(bare("proper")))).drop("common")
+
+
+def town_keys(towns: DataFrame) -> DataFrame:
+    """``town, place``: the key of each distinct town."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([town_key(x) for x in batch.column(0).to_pylist()], pa.string())], names=["town", "place"])
 
-def _fits(rule: Rule) -> Column:
-    """What else a pair must fulfil: nothing known on both sides may contradict the rule."""
-    near = F.levenshtein("l_town", "r_town") <= 2
-    ok = F.lit(True)
-    if "town" not in rule.keys and rule.town_edits is not None:
-        ok = ok & F.coalesce(F.levenshtein("l_town", "r_town") <= rule.town_edits, F.lit(True))
-    if "country" not in rule.keys and not rule.country_apart:
-        ok = ok & F.coalesce(F.col("l_country") == F.col("r_country"), F.lit(True))
-    if "ident" not in rule.keys:
-        ok = ok & (F.coalesce(F.levenshtein("l_ident", "r_ident") <= 2, F.lit(True)) | F.coalesce(near, F.lit(False)))
-    return ok
+    return towns.filter("town is not null").distinct().mapInArrow(run, "town string, place string")
 
 
 def match_awards(can: DataFrame, suppliers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Award rows with a single winner matched to suppliers: ``source_row_id,
     supplier_entity_id, rule, confidence``, and the report per rule.
 
-    The rows' distinct combinations of winner attributes are matched and joined back, so a
-    hot winner costs one match; rows with a null winner or several winners match nothing.
+    Each distinct name and town is read once, and the rows' distinct combinations of what was
+    read are matched and joined back, so a hot winner costs one match. Rows with a null name
+    or several winners match nothing.
     """
-    attributes = ["win_name", "win_nationalid", "win_country_code", "win_town"]
-    rows = can.select("source_row_id", *attributes).filter("win_name is not null or win_nationalid is not null")
-    # one name's rows go to few partitions, to be parsed seldom, but a hot name's not to one
-    salted = rows.withColumn("_salt", F.pmod(F.hash(*attributes[1:]), F.lit(SALTS))).repartition("_salt", "win_name")
-    combos = salted.groupBy("_salt", *attributes).agg(F.count("*").alias("n")).drop("_salt")
-    combos = cut(combos.withColumn("combo", F.xxhash64(*[F.coalesce(c, F.lit("\0")) for c in attributes], F.lit(1))))
-    dim = suppliers.select("supplier_entity_id", "canonical_name", "validated_national_id", "supplier_country", "supplier_town")
-    spelled = combos.groupBy(F.col("win_name").alias("name")).agg(F.sum("n").alias("n")).unionByName(dim.groupBy(F.col("canonical_name").alias("name")).agg(F.count("*").alias("n")))
-    _, vocabulary = parsed_names(spelled)
-    left = cut(described(combos.select("combo", "n", *attributes), *attributes, 1, vocabulary).drop(*attributes))
-    right = cut(described(dim, "canonical_name", "validated_national_id", "supplier_country", "supplier_town", 2, vocabulary).select("supplier_entity_id", *(x.split()[0] for x in FEATURES.split(", "))))
-    matched, report = match_entities(left, right, "combo", "supplier_entity_id")
-    keyed = rows.select("source_row_id", F.xxhash64(*[F.coalesce(c, F.lit("\0")) for c in attributes], F.lit(1)).alias("combo"))
-    return keyed.join(matched, "combo").drop("combo"), report
+    held = ["name", "ident", "country", "town"]
+    read = lambda df, *c: df.select(df.columns[0], F.col(c[0]).cast("string").alias("name"), id_key(F.col(c[1]).cast("string")).alias("ident"), country_code(F.col(c[2]).cast("string")).alias("country"), F.col(c[3]).cast("string").alias("town"), F.coalesce(F.instr(c[2], "---") > 0, F.lit(False)).alias("several"))
+    one = lambda df: df.filter(F.col("name").isNotNull() & ~F.col("name").rlike(LIST) & ~F.col("several")).drop("several")
+    rows = one(read(can.select("source_row_id", "win_name", "win_nationalid", "win_country_code", "win_town"), "win_name", "win_nationalid", "win_country_code", "win_town"))
+    rows = rows.withColumn("combo", F.xxhash64(*[F.coalesce(c, F.lit("\0")) for c in held]))
+    dim = one(read(suppliers.select("supplier_entity_id", "canonical_name", "validated_national_id", "supplier_country", "supplier_town"), "canonical_name", "validated_national_id", "supplier_country", "supplier_town"))
+    combos = cut(rows.groupBy("combo", *held).agg(F.count("*").alias("n")))
+    spelled = combos.groupBy("name").agg(F.sum("n").alias("n")).unionByName(dim.groupBy("name").agg(F.count("*").alias("n"))).groupBy("name").agg(F.sum("n").alias("n"))
+    named, _ = parsed_names(spelled, "proper string, common string", lambda x: (" ".join(x.rare), " ".join(x.common)))
+    named = cut(named.drop("n"))
+    towns = cut(town_keys(combos.select("town").unionByName(dim.select("town"))))
+    what = [*PASSED, "form", "name"]
+    left = cut(attributes(combos, named, towns).withColumn("record", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in ("form", "ident", "country", "town")])))
+    right = cut(attributes(dim, named, towns))
+    records = cut(left.groupBy("record", *what).agg(F.sum("n").alias("n")))
+    matched, report = match_entities(records, right, "record", "supplier_entity_id")
+    matched = left.select("combo", "record").join(matched.hint("merge"), "record").drop("record")
+    return rows.select("source_row_id", "combo").join(matched.hint("merge"), "combo").drop("combo"), report

@@ -3,46 +3,68 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
-from bidloom.llm.names import LINKS, Name, Vocabulary, block_keys, cost, is_list, parse, split_name
+from bidloom.llm.names import LINKS, Name, Vocabulary, block_keys, cost, parse, split_name
 from bidloom.sources.tables import cut
 
-#: A word is established if this share of the distinct names, and LEAST of them, hold it.
-SHARE, LEAST = 0.0002, 12
+#: A word is established if this share of the distinct names hold it, and in so many of these a rarer word stands beside it.
+SHARE, MOST = 0.001, 0.8
+#: Strings that list several names.
+LIST = r"---|[\n;|]"
 
 
-def parsed_names(names: DataFrame, name: str = "name") -> tuple[DataFrame, "Vocabulary"]:
-    """``names`` (distinct ``name``, ``n``) with the parts of each as ``form``, and the
-    vocabulary they were parsed with. Null names and lists of several names are left out.
+def parsed_names(names: DataFrame, schema: str, parts: Callable[[Name], tuple], name: str = "name") -> tuple[DataFrame, Vocabulary]:
+    """``names`` (distinct ``name``, ``n``) with the columns of ``schema``, which ``parts`` makes
+    of each parsed name, and the vocabulary they were parsed with. Null names and lists of
+    several names are left out.
 
-    The words' frequencies are counted over all names; of those kept for the vocabulary there
-    are at most (words per name) / SHARE, whatever the number of names, so it is collected.
+    A word is established by one rule at every size: at least ``SHARE`` of the names hold it
+    and in at least ``MOST`` of these a rarer word (the proper name) stands beside it. So a
+    table and the same table repeated with other proper names have the same established
+    words. The words are counted over all names; those that ``SHARE`` lets through are at most
+    (words per name) / SHARE, whatever the number of names, so they are collected.
     """
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [w for x in batch.column(0).to_pylist() if not is_list(x) for w in {w for w, short, _ in split_name(x) if len(w) > 1 and not short and w not in LINKS}]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["w"])
+            split = [split_name(x) for x in batch.column(0).to_pylist()]
+            own = [list({w for w, short, _ in s if len(w) > 1 and not short and w not in LINKS}) for s in split]
+            tokens = [" ".join(w + "." * dotted + "/" * behind for w, dotted, behind in s) for s in split]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tokens, pa.string()), pa.array(own, pa.list_(pa.string()))], names=[*batch.schema.names, "tokens", "words"])
 
-    known = names.filter(F.col(name).isNotNull())
-    total = known.count()
-    least = max(LEAST, math.ceil(SHARE * total))
-    counts = known.select(name).mapInArrow(words, "w string").groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    vocabulary = Vocabulary({r.w: r.n for r in counts.collect()})
+    split = cut(names.filter(F.col(name).isNotNull() & ~F.col(name).rlike(LIST)).select(name, "n").mapInArrow(words, f"`{name}` string, n bigint, tokens string, words array<string>"))
+    counts = split.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    counts = {r.w: r.n for r in counts.filter(F.col("n") >= split.select(F.count("*") * SHARE).scalar()).collect()}
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[str, int] = {}
+            for own in batch.column(0).to_pylist():
+                known = [counts.get(w, 0) for w in own]
+                least = min(known, default=0)
+                for w, k in zip(own, known):
+                    if k > least:
+                        found[w] = found.get(w, 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["w", "n"])
+
+    led = split.select("words").mapInArrow(beside, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")).collect()
+    vocabulary = Vocabulary({r.w: counts[r.w] for r in led if r.n >= MOST * counts[r.w]})
+    made = _parse_datatype_string(schema)
+    fields, types = made.names, [to_arrow_type(f.dataType) for f in made]
 
     def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            some = [k for k, x in enumerate(texts) if not is_list(x)]
-            keys = [parse(split_name(texts[k]), vocabulary).key() for k in some]
-            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(some, pa.int64())).columns, pa.array(keys, pa.string())], names=[name, "n", "form"])
+            rows = [parts(parse([(t.rstrip("./"), "." in t, t[-1] == "/") for t in x.split()], vocabulary)) for x in batch.column(2).to_pylist()]
+            columns = list(zip(*rows)) or [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, types))], names=[name, "n", *fields])
 
-    return known.select(name, "n").mapInArrow(forms, f"{name} string, n bigint, form string"), vocabulary
+    return split.select(name, "n", "tokens").mapInArrow(forms, f"`{name}` string, n bigint, {schema}"), vocabulary
 
 
 def variant_classes(names: DataFrame) -> DataFrame:
@@ -63,7 +85,7 @@ def variant_classes(names: DataFrame) -> DataFrame:
     entities and forms are joined, never gathered; a hot entity's rows have been aggregated
     to its distinct spellings before. An empty table gives an empty result.
     """
-    parsed, vocabulary = parsed_names(names)
+    parsed, vocabulary = parsed_names(names, "form string", lambda parts: (parts.key(),))
     parsed = cut(parsed)
     forms = parsed.groupBy("form").agg(F.sum("n").alias("n"))
 
@@ -78,10 +100,10 @@ def variant_classes(names: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *rows.columns], names=["key", "form", "n"])
 
     blocks = forms.mapInArrow(keys, "key string, form string, n bigint").select(F.xxhash64("key").alias("key"), "form", "n")
-    blocks = blocks.persist(StorageLevel.DISK_ONLY)
+    blocks = cut(blocks)
     other = blocks.select("key", F.col("form").alias("of"), F.col("n").alias("of_n"))
     higher = (F.col("of_n") > F.col("n")) | ((F.col("of_n") == F.col("n")) & (F.col("of") > F.col("form")))
-    pairs = blocks.join(other, "key").filter(higher).select("form", "of", "of_n").distinct()
+    pairs = blocks.join(other.hint("merge"), "key").filter(higher).select("form", "of", "of_n").distinct()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Name] = {}
@@ -102,8 +124,7 @@ def variant_classes(names: DataFrame) -> DataFrame:
 
     links = pairs.mapInArrow(score, "form string, of string, score double").groupBy("form").agg(F.max(F.struct("score", "of")).alias("b")).select("form", F.col("b.of").alias("of"))
     ends = _ends(cut(links))
-    blocks.unpersist()
-    return parsed.join(ends, "form", "left").select("name", F.coalesce("of", "form").alias("class_id"))
+    return parsed.join(ends.hint("merge"), "form", "left").select("name", F.coalesce("of", "form").alias("class_id"))
 
 
 def _ends(links: DataFrame) -> DataFrame:
@@ -111,7 +132,7 @@ def _ends(links: DataFrame) -> DataFrame:
     rounds grow with the logarithm of the longest."""
     while True:
         onward = links.select(F.col("form").alias("of"), F.col("of").alias("further"))
-        links = cut(links.join(onward, "of", "left").select("form", F.coalesce("further", "of").alias("of"), F.col("further").isNotNull().alias("moved")))
+        links = cut(links.join(onward.hint("merge"), "of", "left").select("form", F.coalesce("further", "of").alias("of"), F.col("further").isNotNull().alias("moved")))
         if links.filter("moved").isEmpty():
             return links.select("form", "of")
         links = links.select("form", "of")

@@ -1,10 +1,11 @@
 import itertools
 
 import pytest
+from pyspark.sql import functions as F
 
 from bidloom.llm.matching import country_code, id_key, match_awards, town_key
 from bidloom.llm.names import Name, Vocabulary, block_keys, cost, is_list, parse, split_name
-from bidloom.llm.variants import variant_classes, variant_pairs
+from bidloom.llm.variants import parsed_names, variant_classes, variant_pairs
 
 WORDS = {w: 100 for w in "strassenbau medizintechnik elektrotechnik construcciones servicios integrales stadt stadtwerke universitat hospital universitario katarzyna medical supplies bau".split()}
 V = Vocabulary(WORDS)
@@ -75,10 +76,26 @@ def test_classes_against_all_pairs(spark):
     assert variant_classes(df.limit(0)).count() == 0
 
 
-def test_attributes():
-    assert [country_code(x) for x in ("GB", "fr", "DEU", "Germany", "DE---FR", "", None)] == ["uk", "fr", "de", "de", None, None, None]
+def test_attributes(spark):
+    texts = [("GB", "DE 928 279 049"), ("fr ", "249.286.083"), ("DEU", "000000000"), ("Germany", "N/A"), ("España", "121212121"), ("DE---FR", "1212312"), ("", ""), (None, None)]
+    got = spark.createDataFrame(texts, "c string, i string").select(country_code(F.col("c")).alias("c"), id_key(F.col("i")).alias("i")).collect()
+    assert [r.c for r in got] == ["uk", "fr", "de", "de", "es", None, None, None]
+    assert [r.i for r in got] == ["928279049", "249286083", None, None, None, "1212312", None, None]
     assert [town_key(x) for x in ("93324 Galidorf", "Zegostätten CEDEX", "R1court", "-", "TOWN", None)] == ["galidorf", "zegostatten", "ricourt", None, None, None]
-    assert [id_key(x) for x in ("DE 928 279 049", "249.286.083", "000000000", "N/A", None)] == ["928279049", "249286083", None, None, None]
+
+
+def test_established_words_do_not_depend_on_size(spark):
+    """A table and the table repeated with other proper names establish the same words."""
+    trades = ["Strassenbau", "Medizintechnik", "Elektrotechnik"]
+
+    def names(k):
+        return [(f"{a}{b}{e} {trades[(i + j) % 3]} GmbH", 1) for e in ("sa", "ke", "ti", "mo", "ru", "li")[:k] for i, a in enumerate("Gokesa Lirasa Pikipa Tratizi Nanomo".split()) for j, b in enumerate("rike fefa fito foza".split())]
+
+    found = []
+    for k in (1, 3, 6):
+        df = spark.createDataFrame(names(k), "name string, n long")
+        found.append(set(parsed_names(df, "x string", lambda n: ("",))[1].counts))
+    assert found[0] == found[1] == found[2] == {"gmbh", *(t.lower() for t in trades)}
 
 
 def test_cascade(spark):
@@ -93,7 +110,10 @@ def test_cascade(spark):
     matched, report = match_awards(c, s)
     got = sorted((r.source_row_id, r.supplier_entity_id) for r in matched.collect())
     assert got == [(1, "s1"), (1, "s1"), (2, "s1"), (8, "s3")]
-    assert all(0 < r.confidence < 1 for r in matched.collect()) and report.count() >= 1
+    assert all(0 < r.confidence < 1 for r in matched.collect())
+    stats = report.collect()
+    assert [r.confidence for r in stats] == sorted((r.confidence for r in stats), reverse=True)
+    assert sum(r.n_tied for r in stats if r.rule == "exact+country") == 1  # row 4: two suppliers of one name, no town to tell
     assert match_awards(c.limit(0), s)[0].count() == 0 and match_awards(c, s.limit(0))[0].count() == 0
 
 
@@ -112,4 +132,4 @@ def test_cascade_keys(spark):
     c = spark.createDataFrame(award, "source_row_id long, win_name string, win_nationalid string, win_country_code string, win_town string")
     s = spark.createDataFrame(supplier, "supplier_entity_id string, canonical_name string, supplier_country string, supplier_town string, validated_national_id string")
     got = {r.source_row_id: (r.supplier_entity_id, r.rule) for r in match_awards(c, s)[0].collect()}
-    assert got == {1: ("s1", "fuzzy+town"), 2: ("s2", "fuzzy+town"), 3: ("s3", "fuzzy+town"), 4: ("s4", "root+town"), 6: ("s6", "ident+fuzzy")}
+    assert got == {1: ("s1", "fuzzy+town"), 2: ("s2", "fuzzy+town"), 3: ("s3", "fuzzy+town"), 4: ("s4", "root+town"), 6: ("s6", "ident+name")}

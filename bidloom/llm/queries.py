@@ -153,33 +153,75 @@ def p4_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_classes, p4_found, p4_golden, p6_found, p6_matches, p6_rules, p7_found, p7_report, p8_mix, p8_shares, p9_segments, p9_found)}
-_P4_SQL = r"""
+_NOTICES_SQL = r"""
 WITH r AS (
   SELECT c.*, coalesce(nullif(regexp_extract(id_notice_cn_clean, 'NUM'), ''), nullif(regexp_extract(ted_notice_url_clean, 'NUM'), '')) AS raw,
          coalesce(has_core_notice_conflict, false) AS conflict, trust_rank
   FROM cn_notice c LEFT JOIN notice_feed USING (feed_name)
 ), n AS (
   SELECT *, CASE WHEN instr(raw, '-') = 9 THEN substr(raw, 10, 4) || substr(raw, 1, 8) ELSE replace(raw, '-', '') END AS notice FROM r WHERE raw IS NOT NULL
-), m AS (SELECT *, count(*) OVER (PARTITION BY notice) AS n_records FROM n),
-v AS (
-  SELECT notice, record_id, conflict, trust_rank, received_at, 'dt_dispatch_clean' AS field_name FROM m WHERE n_records > 1 AND dt_dispatch_clean >= DATE '1993-01-01' AND dt_dispatch_clean <= coalesce(received_at::DATE, DATE '2090-01-01') + 731
-  UNION ALL SELECT notice, record_id, conflict, trust_rank, received_at, 'cae_name_clean' FROM m WHERE n_records > 1 AND lower(trim(cae_name_clean)) NOT IN (FILL) AND regexp_matches(cae_name_clean, '\p{L}{2}')
-  UNION ALL SELECT notice, record_id, conflict, trust_rank, received_at, 'cae_nationalid_clean' FROM m WHERE n_records > 1 AND lower(trim(cae_nationalid_clean)) NOT IN (FILL) AND regexp_matches(cae_nationalid_clean, '\d')
-    AND length(replace(regexp_replace(cae_nationalid_clean, '\D', '', 'g'), substr(regexp_replace(cae_nationalid_clean, '\D', '', 'g'), 1, 1), '')) > 0
-  UNION ALL SELECT notice, record_id, conflict, trust_rank, received_at, 'cae_town_clean' FROM m WHERE n_records > 1 AND lower(trim(cae_town_clean)) NOT IN (FILL) AND regexp_matches(cae_town_clean, '\p{L}{2}')
-  UNION ALL SELECT notice, record_id, conflict, trust_rank, received_at, 'cpv_clean' FROM m WHERE n_records > 1 AND regexp_matches(cpv_clean, '^\d{8}(-\d)?$') AND substr(cpv_clean, 1, 2) IN (DIVISIONS)
-  UNION ALL SELECT notice, record_id, conflict, trust_rank, received_at, 'value_euro_max' FROM m WHERE n_records > 1 AND value_euro_max > 1 AND NOT isnan(value_euro_max) AND NOT regexp_matches(replace(printf('%.2f', value_euro_max), '.', ''), '^9{5,}$')
-)
+), m AS (SELECT *, count(*) OVER (PARTITION BY notice) AS n_records FROM n)
+"""
+_VALID_SQL = {
+    "dt_dispatch_clean": "dt_dispatch_clean >= DATE '1993-01-01' AND dt_dispatch_clean <= coalesce(received_at::DATE, DATE '2090-01-01') + 731",
+    "cae_name_clean": r"lower(trim(cae_name_clean)) NOT IN (FILL) AND regexp_matches(cae_name_clean, '\p{L}{2}')",
+    "cae_nationalid_clean": r"lower(trim(cae_nationalid_clean)) NOT IN (FILL) AND regexp_matches(cae_nationalid_clean, '\d') AND length(replace(regexp_replace(cae_nationalid_clean, '\D', '', 'g'), substr(regexp_replace(cae_nationalid_clean, '\D', '', 'g'), 1, 1), '')) > 0",
+    "cae_town_clean": r"lower(trim(cae_town_clean)) NOT IN (FILL) AND regexp_matches(cae_town_clean, '\p{L}{2}')",
+    "iso_country_code_clean": "lower(trim(iso_country_code_clean)) NOT IN (FILL)",
+    "cpv_clean": r"regexp_matches(cpv_clean, '^\d{8}(-\d)?$') AND substr(cpv_clean, 1, 2) IN (DIVISIONS)",
+    "value_euro_max": "value_euro_max > 1 AND NOT isnan(value_euro_max) AND NOT regexp_matches(replace(printf('%.2f', value_euro_max), '.', ''), '^9{5,}$')",
+}
+_P4_SQL = (
+    _NOTICES_SQL
+    + ", v AS ("
+    + " UNION ALL ".join(f"SELECT notice, record_id, conflict, trust_rank, received_at, '{f}' AS field_name FROM m WHERE n_records > 1 AND {_VALID_SQL[f]}" for f in P4_FIELDS)
+    + """)
 SELECT notice AS id_notice_cn_clean, field_name, record_id FROM (
   SELECT *, row_number() OVER (PARTITION BY notice, field_name ORDER BY conflict, trust_rank DESC NULLS LAST, received_at DESC NULLS LAST, record_id DESC) AS k FROM v
 ) WHERE k = 1
 """
+)
+
+
+def _golden_sql() -> str:
+    """Every choice of a record or none for buyer and place, those that break the rule left out,
+    the best by the sums of trust; the other two bundles by themselves."""
+    trust = ("one", "free", "ranked", "rank", "timed", "seen")
+
+    def candidates(prefix: str, *fields: str) -> str:
+        held = " + ".join(f"({f} IS NOT NULL)::INT" for f in fields)
+        some = f"SELECT notice, record_id AS {prefix}_rec, {held} AS {prefix}_n, {', '.join(f'{t} AS {prefix}_{t}' for t in trust)}, {', '.join(fields)} FROM t WHERE {held} > 0"
+        none = f"SELECT DISTINCT notice, NULL, 0, {', '.join('0' for _ in trust)}, {', '.join('NULL' for _ in fields)} FROM t"
+        return f"{prefix} AS ({some} UNION ALL {none})"
+
+    def best(prefix: str) -> str:
+        order = ", ".join(f"{prefix}_{t} DESC" for t in ("n", *trust))
+        return f"{prefix}_best AS (SELECT * FROM {prefix} QUALIFY row_number() OVER (PARTITION BY notice ORDER BY {order}, {prefix}_rec DESC NULLS LAST) = 1)"
+
+    values = ", ".join(f"CASE WHEN {_VALID_SQL[f]} THEN {f} END AS {f}" for f in _VALID_SQL)
+    sums = ", ".join(f"b_{t} + p_{t} DESC" for t in ("n", *trust))
+    return _NOTICES_SQL + f"""
+, t AS (SELECT notice, record_id, n_records, 1 AS one, (NOT conflict)::INT AS free, (trust_rank IS NOT NULL)::INT AS ranked, coalesce(trust_rank, 0) AS rank, (received_at IS NOT NULL)::INT AS timed,
+   coalesce(epoch_us(received_at), 0)::HUGEINT AS seen, {values} FROM m)
+, shown AS (SELECT cae_nationalid_clean AS k, iso_country_code_clean AS v, count(*) AS c FROM m WHERE cae_nationalid_clean IS NOT NULL AND iso_country_code_clean IS NOT NULL AND {_VALID_SQL["cae_nationalid_clean"]} GROUP BY 1, 2)
+, fixed AS (SELECT k, v FROM (SELECT *, sum(c) OVER (PARTITION BY k) AS total, row_number() OVER (PARTITION BY k ORDER BY c DESC, v DESC) AS r FROM shown) WHERE r = 1 AND c >= 0.8 * total AND c >= 2)
+, {candidates("b", "cae_name_clean", "cae_nationalid_clean")}, {candidates("p", "cae_town_clean", "iso_country_code_clean")}
+, {candidates("d", "dt_dispatch_clean")}, {candidates("o", "cpv_clean", "value_euro_max")}, {best("d")}, {best("o")}
+, pick AS (
+  SELECT * FROM b JOIN p USING (notice) LEFT JOIN fixed ON k = cae_nationalid_clean
+  WHERE v IS NULL OR iso_country_code_clean IS NULL OR v = iso_country_code_clean
+  QUALIFY row_number() OVER (PARTITION BY notice ORDER BY {sums}, b_rec DESC NULLS LAST, p_rec DESC NULLS LAST) = 1)
+SELECT notice AS id_notice_cn_clean, n_records, d_rec AS dispatch__record, dt_dispatch_clean, b_rec AS buyer__record, cae_name_clean, cae_nationalid_clean,
+  p_rec AS place__record, cae_town_clean, iso_country_code_clean, o_rec AS object__record, cpv_clean, value_euro_max
+FROM (SELECT DISTINCT notice, n_records FROM m) JOIN d_best USING (notice) JOIN pick USING (notice) JOIN o_best USING (notice)"""
 
 
 def _quoted(values) -> str:
     return ", ".join("'" + v + "'" for v in values)
 
 
-ORACLE: dict[str, str] = {
-    "p4_found": _P4_SQL.replace("NUM", NUMBER.replace(r"(?<!\d)(", "(?:").replace(r"(?!\d)", "")).replace("FILL", _quoted(FILLERS)).replace("DIVISIONS", _quoted(CPV_DIVISIONS)),
-}
+def _filled(sql: str) -> str:
+    return sql.replace("NUM", NUMBER.replace(r"(?<!\d)(", "(?:").replace(r"(?!\d)", "")).replace("FILL", _quoted(FILLERS)).replace("DIVISIONS", _quoted(CPV_DIVISIONS))
+
+
+ORACLE: dict[str, str] = {"p4_found": _filled(_P4_SQL), "p4_golden": _filled(_golden_sql())}

@@ -38,8 +38,17 @@ def test_against_brute_force(spark):
     got = {(r.doc_id, r.item_id) for r in leaked_items(d, items).collect()}
     want = {(i, 7) for i, t in docs if i is not None and t and (i == 502 or brute(t, ITEM))}
     assert got == want
-    small_blocks = {(r.doc_id, r.item_id) for r in leaked_items(d, items, block_shingles=50).collect()}
-    assert small_blocks == want
+
+
+def test_repeated_shingles(spark):
+    """A passage whose shingles repeat, one whose changed words leave four, and one id with two texts."""
+    echo = "one two three four five six one two three four five six one two three four five six".split()
+    changed = ITEM[10:30]
+    changed[5] = changed[10] = "other"
+    docs = [(1, "so: " + " ".join(echo[:15])), (2, " ".join(changed[1:16])), (3, " ".join(ITEM[40:58])), (4, " ".join(ITEM[:14]))]
+    items = [(1, " ".join(echo)), (2, " ".join(ITEM[:40])), (2, " ".join(ITEM[40:])), (3, " ".join(ITEM[:40]))]
+    got = leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string")).collect()
+    assert {(r.doc_id, r.item_id, r.n_words, r.n_changed) for r in got} == {(1, 1, 15, 0), (2, 2, 15, 2), (2, 3, 15, 2), (3, 2, 18, 0)}
 
 
 def test_empty(spark):

@@ -10,12 +10,13 @@ matrix (n-gram buckets x languages), and scoring a batch is a product with it.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidloom.llm.text import plain
@@ -44,8 +45,9 @@ PARAGRAPH = re.compile(r"\s*\n\s*\n\s*")
 GAP = re.compile(r"[.!?…][\"'»”)\]]*(\s+)|\s*\n\s*")
 #: Abbreviations after which no sentence ends; initials such as "S.A." likewise.
 ABBREVIATION = re.compile(r"(?:^|[\s(&])(?:(?:[^\W\d_]\.)+|co\.|sp\.|nr\.|no\.|dr\.|ing\.|st\.|ref\.|tel\.|art\.|inh\.|fa\.)$", re.I)
-REFERENCE = re.compile(r"https?://\S+|www\.\S+|\S+@\S+|\b\S*\d\S*|\b(?:cpv|ref|nuts|ted|id|lot|nr|no|art)\b\.?", re.I)
-SPACE = re.compile(r"[\W\d_]+")
+REFERENCE = set("cpv ref nuts ted id lot nr no art".split())
+MARKED = re.compile(r"(?<!\S)[^\s\d@]*+[\d@]\S*|https?://\S+|www\.\S+")
+WORD = re.compile(r"[^\W\d_]+")
 
 
 def language_code(label: str | None) -> str | None:
@@ -77,7 +79,7 @@ def sentences(text: str) -> list[str]:
 
 def letters(sentence: str) -> str:
     """What of a sentence can show its language: its words, lower case, without numbers and references."""
-    return SPACE.sub(" ", REFERENCE.sub(" ", sentence).lower()).strip()
+    return " ".join([w for w in WORD.findall(MARKED.sub(" ", sentence.lower())) if w not in REFERENCE])
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +115,7 @@ def _sums(table: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     out = np.zeros((len(starts) - 1, table.shape[1]), dtype=np.float64)
     some = np.flatnonzero(np.diff(starts))
     if len(some):
-        out[some] = np.add.reduceat(table[ids], starts[some], axis=0)
+        out[some] = np.add.reduceat(table.take(ids, axis=0), starts[some], axis=0)
     return out
 
 
@@ -142,7 +144,7 @@ class Model:
         return out, sizes
 
 
-def fit(texts: list[str], labels: list[str], landmarks: int = 256, ridge: float = 0.1, rounds: int = 3, seed: int = 7) -> Model:
+def fit(texts: list[str], labels: list[str], landmarks: int = 512, ridge: float = 0.1, rounds: int = 3, seed: int = 7) -> Model:
     """Kernel ridge regression on sentences whose labels may be wrong.
 
     Each round drops the sentences whose label the last model contradicts, draws
@@ -188,11 +190,13 @@ def fit(texts: list[str], labels: list[str], landmarks: int = 256, ridge: float
     return model
 
 
-def train(docs: DataFrame, sample: int = 3000, per_language: int = 1200, per_document: int = 40, doc_id: str = "doc_id", text: str = "text", label: str = "lang", **kw) -> Model:
-    """A model fitted on a bounded sample: the ``sample`` documents with a known label whose
-    hashed id is smallest, and of their sentences at most ``per_language`` per label.
+def train(docs: DataFrame, sample: int = 3000, per_document: int = 40, per_language: int = 2500, longest: int = 2000, doc_id: str = "doc_id", text: str = "text", label: str = "lang", **kw) -> Model:
+    """A model fitted on a bounded sample of labelled sentences, drawn by hash from anywhere in
+    the texts: of the ``sample`` documents with a known label whose hashed id is smallest, at
+    most ``per_document`` sentences each (pieces of ``longest`` characters, where one is
+    longer), and of all these at most ``per_language`` per label.
 
-    The bound is ``sample``; everything scored later is the whole corpus. The labels are
+    These four are the bounds; everything scored later is the whole corpus. The labels are
     those delivered, wrong ones among them.
     """
     first = F.lower(F.trim(F.regexp_extract(F.col("l"), r"^\s*([^-_ (]+)", 1)))
@@ -204,27 +208,30 @@ def train(docs: DataFrame, sample: int = 3000, per_language: int = 1200, per_doc
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(x[:2000], language_code(l)) for t, l in zip(*(c.to_pylist() for c in batch.columns)) for s in sentences(t)[:per_document] if len(x := letters(s)) >= 20]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([l for _, l in found], pa.string())], names=["x", "l"])
-
-    texts, labels, seen = [], [], dict.fromkeys(LANGUAGES, 0)
-    for x, code in drawn.mapInArrow(split, "x string, l string").collect():  # at most sample x per_document short sentences
-        if seen[code] < per_language:
-            seen[code] += 1
-            texts.append(x)
-            labels.append(code)
-    return fit(texts, labels, **kw)
-
-
-def decode(scores: np.ndarray, sizes: np.ndarray, sharpness: float, switch: float = 2.5, enough: int = 40) -> tuple[np.ndarray, np.ndarray]:
-    """The likeliest language of each sentence of one document, and how sure it is.
-
-    A Viterbi path over the sentences: a change of language costs ``switch``; a sentence of
-    few n-grams says little, one of none nothing.
-    """
-    weight = np.minimum(sizes / enough, 1.0) * sharpness
-    logits = scores * weight[:, None]
-    logits = logits - np.logaddexp.reduce(logits, axis=1, keepdims=True)
+            found = []
+            for t, l in zip(*(c.to_pylist() for c in batch.columns)):
+                pieces = [x[k : k + longest] for s in sentences(t) for x in [letters(s)] for k in range(0, len(x), longest)]
+                ranked = sorted((zlib.crc32(f"{k} {x}".encode()), x) for k, x in enumerate(pieces) if len(x) >= 20)
+                found += [(h, x, language_code(l)) for h, x in ranked[:per_document]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*found)) or [[]] * 3, (pa.int64(), pa.string(), pa.string()))], names=["h", "x", "l"])
+
+    rank = F.row_number().over(Window.partitionBy("l").orderBy("h", "x"))  # of sample x per_document rows at most
+    rows = drawn.mapInArrow(split, "h bigint, x string, l string").withColumn("k", rank).filter(F.col("k") <= per_language).orderBy("h", "x").collect()
+    return fit([r.x for r in rows], [r.l for r in rows], **kw)
+
+
+def posteriors(scores: np.ndarray, sizes: np.ndarray, sharpness: float, enough: int = 40) -> np.ndarray:
+    """Log probabilities per sentence and language; a sentence of few n-grams says little, one of none nothing."""
+    logits = scores * (np.minimum(sizes / enough, 1.0) * sharpness)[:, None]
+    return logits - np.logaddexp.reduce(logits, axis=1, keepdims=True)
+
+
+def decode(logits: np.ndarray, switch: float = 2.5) -> np.ndarray:
+    """The likeliest language of each sentence of one document: a Viterbi path over the
+    sentences, on which a change of language costs ``switch``."""
+    likeliest = logits.argmax(axis=1)
+    if (likeliest == likeliest[0]).all():  # each is the best and no change is needed
+        return likeliest
     best, back = logits[0].copy(), []
     for row in logits[1:]:
         stay, move = best, best.max() - switch
@@ -234,9 +241,7 @@ def decode(scores: np.ndarray, sizes: np.ndarray, sharpness: float, switch: floa
     path = [int(best.argmax())]
     for came in reversed(back):
         path.append(int(came[path[-1]]))
-    path.reverse()
-    path = np.array(path)
-    return path, logits[np.arange(len(path)), path]
+    return np.array(path[::-1])
 
 
 def languages(docs: DataFrame, model: Model | None = None, doc_id: str = "doc_id", text: str = "text", label: str = "lang", switch: float = 2.5) -> DataFrame:
@@ -268,6 +273,8 @@ def languages(docs: DataFrame, model: Model | None = None, doc_id: str = "doc_id
                     flat += [letters(s) for s in sentences(t)] if t else []
                     bounds.append(len(flat))
                 scores, sizes = m.scores(flat)
+                logits = posteriors(scores, sizes, m.sharpness)
+                lengths = np.array([len(x) for x in flat], dtype=float)
                 out: dict[str, list] = {k: [] for k in ("row", "seg", "lang", "conf", "ok", "n")}
 
                 def add(*values) -> None:
@@ -280,8 +287,8 @@ def languages(docs: DataFrame, model: Model | None = None, doc_id: str = "doc_id
                     if a == z or not sizes[a:z].any():
                         add(row, 0, None, 0.0, said is None, z - a)
                         continue
-                    path, sure = decode(scores[a:z], sizes[a:z], m.sharpness, switch)
-                    length = np.array([len(x) for x in flat[a:z]], dtype=float)
+                    path, length = decode(logits[a:z], switch), lengths[a:z]
+                    sure = logits[np.arange(a, z), path]
                     share = np.bincount(path, weights=length, minlength=len(m.languages))
                     main = m.languages[int(share.argmax())]
                     weight = np.maximum(length, 1e-9)

@@ -249,26 +249,27 @@ def block_keys(name: Name) -> list[str]:
     return sorted(out)
 
 
-#: The channel: what each step from the intended name to the written one costs (minus log probabilities).
-COST = {"same": 0.0, "typo": 2.5, "truncated": 2.5, "short": 1.5, "acronym": 2.0, "dropped": 2.5, "added": 3.0, "form": 3.5, "form lost": 1.0}
+#: The channel: the steps from the intended name to the written one, and what each costs before
+#: their probabilities are estimated (minus log probabilities); a pair beyond ``LIMIT`` is no pair.
+COST = {"typo": 2.5, "truncated": 2.5, "short": 1.5, "acronym": 2.0, "dropped": 2.5, "added": 3.0, "form": 3.5, "form lost": 1.0, "proper only": 4.0}
 LIMIT = 9.0
 
 
-def _spelled(a: str, b: str) -> float | None:
-    """Cost of writing the proper name ``b`` as ``a``."""
+def _spelled(a: str, b: str) -> tuple[str, ...] | None:
+    """The steps of writing the proper name ``b`` as ``a``."""
     if a == b:
-        return 0.0
+        return ()
     if a.endswith(".") or b.endswith("."):
         x, y = a.rstrip("."), b.rstrip(".")
         short, long_ = (x, y) if len(x) <= len(y) else (y, x)
         if len(short) >= 4 and (long_.startswith(short) or edits(long_[: len(short)], short, 1) <= 1):
-            return COST["truncated"]
+            return ("truncated",)
         return None
     if "rn" in a + b and a.replace("rn", "m") == b.replace("rn", "m"):
-        return COST["typo"]
+        return ("typo",)
     most = 1 if min(len(a), len(b)) < 8 else 2
     d = edits(a, b, most)
-    return None if d > most else COST["typo"] * d
+    return None if d > most else ("typo",) * d
 
 
 def _abbreviates(short: str, long_: str, vocabulary: Vocabulary | None) -> bool:
@@ -293,26 +294,32 @@ def _inside(short: str, long_: str) -> bool:
 
 
 def cost(variant: Name, canonical: Name, vocabulary: Vocabulary | None = None) -> float | None:
-    """Cost of writing ``canonical`` as ``variant``; None where they cannot be one name.
+    """Cost of writing ``canonical`` as ``variant`` before estimation; None where they cannot be one name."""
+    steps = channel(variant, canonical, vocabulary)
+    return None if steps is None else sum(COST[x] for x in steps)
+
+
+def channel(variant: Name, canonical: Name, vocabulary: Vocabulary | None = None) -> list[str] | None:
+    """The steps by which ``canonical`` was written as ``variant``; None where they cannot be one name.
 
     Every proper name of either must have its counterpart. Of the other words either side
     may hold more, but not both: different trades or kinds of body are different entities.
     """
+    steps: list[str] = []
+    short = True
     if variant.rare or canonical.rare:
         if len(variant.rare) != len(canonical.rare):
             return None
-        total, left = 0.0, list(canonical.rare)
+        left = list(canonical.rare)
         for a in variant.rare:
-            best = min(((c, b) for b in left if (c := _spelled(a, b)) is not None), default=None)
+            best = min(((len(c), c, b) for b in left if (c := _spelled(a, b)) is not None), default=None)
             if best is None:
                 return None
-            total += best[0]
-            left.remove(best[1])
+            steps += best[1]
+            left.remove(best[2])
         short = len(variant.rare) > 1 and max(map(len, variant.rare)) < 9
-        if short and total > COST["typo"]:
+        if short and len(steps) > 1:
             return None
-    else:
-        total, short = 0.0, True
     a, b = list(variant.common), list(canonical.common)
     for w in list(a):
         if w in b:
@@ -325,7 +332,7 @@ def cost(variant: Name, canonical: Name, vocabulary: Vocabulary | None = None) -
             if hit is not None:
                 x.remove(w)
                 y.remove(hit)
-                total += COST["short"]
+                steps.append("short")
                 matched = True
                 continue
             s = w.rstrip(".")
@@ -334,26 +341,25 @@ def cost(variant: Name, canonical: Name, vocabulary: Vocabulary | None = None) -
                 x.remove(w)
                 for v in some:
                     y.remove(v)
-                total += COST["acronym"]
+                steps.append("acronym")
                 matched = True
     for w in list(a):  # misspelt words
         hit = next((v for v in b if len(v) >= 4 and edits(w, v, 1) <= 1 and not (vocabulary and vocabulary.both(w, v))), None)
         if hit is not None:
             a.remove(w)
             b.remove(hit)
-            total += COST["typo"]
+            steps.append("typo")
             matched = True
     if a and b:
         return None
-    if not matched and (variant.common or canonical.common):
-        if not (variant.legal and variant.legal == canonical.legal):
-            total += 4.0  # only the proper name agrees
-    total += COST["dropped"] * len(b) + COST["added"] * len(a)
+    if not matched and (variant.common or canonical.common) and not (variant.legal and variant.legal == canonical.legal):
+        steps.append("proper only")
+    steps += ["dropped"] * len(b) + ["added"] * len(a)
     f, g = set(variant.legal), set(canonical.legal)
     if f and g and not (f <= g or g <= f) and not any(f | g <= same for same in EQUAL_FORMS):
         if short:
             return None
-        total += COST["form"]
+        steps.append("form")
     elif f != g:
-        total += COST["form lost"]
-    return total if total <= LIMIT else None
+        steps.append("form lost")
+    return steps if sum(COST[x] for x in steps) <= LIMIT else None

@@ -123,8 +123,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every spelling with the class of the winner or buyer it names."""
-    parts = [variant_classes(_spellings(spark, sf_dir, t, f)).select(F.lit(f).alias("field_name"), "name", "class_id") for t, f in P3_FIELDS]
+    """Every spelling with the class of the winner or buyer it names and its number of links."""
+    parts = [variant_classes(_spellings(spark, sf_dir, t, f), count_links=True).select(F.lit(f).alias("field_name"), "name", "class_id", "n_links") for t, f in P3_FIELDS]
     return parts[0].unionByName(parts[1])
 
 

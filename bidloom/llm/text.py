@@ -7,7 +7,9 @@ import re
 import unicodedata
 
 #: Letters that have no decomposition, and block-level tags.
-LETTERS = str.maketrans({"ß": "ss", "ł": "l", "ø": "o", "æ": "ae", "œ": "oe", "đ": "d", "ð": "d", "þ": "th", "ı": "i"})
+LETTERS = {"ß": "ss", "ł": "l", "ø": "o", "æ": "ae", "œ": "oe", "đ": "d", "ð": "d", "þ": "th", "ı": "i"}
+LETTER = re.compile("[" + "".join(LETTERS) + "]")
+ACCENT = re.compile("[\u0300-\u036f]+")
 BLOCK_TAG = re.compile(r"</?(?:p|br|div|li|ul|ol|td|th|tr|table|h[1-6]|hr|section|article|blockquote|pre)\b[^<>]*>", re.I)
 ANY_TAG = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->", re.S)
 #: UTF-8 read as Windows-1252 or Latin-1: a lead byte followed by continuation bytes.
@@ -58,8 +60,11 @@ def fold(text: str) -> str:
     """Lower case without accents."""
     if text.isascii():
         return text.lower()
-    text = unicodedata.normalize("NFKD", text.casefold().translate(LETTERS))
-    return "".join(c for c in text if not unicodedata.combining(c)).translate(LETTERS)
+    text = ACCENT.sub("", unicodedata.normalize("NFKD", LETTER.sub(lambda m: LETTERS[m.group()], text.casefold())))
+    if not text.isascii():
+        other = [ord(c) for c in set(text) if unicodedata.combining(c)]
+        text = LETTER.sub(lambda m: LETTERS[m.group()], text.translate(dict.fromkeys(other)) if other else text)
+    return text
 
 
 def words(text: str) -> list[str]:

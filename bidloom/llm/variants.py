@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
-from bidloom.llm.names import LINKS, Name, Vocabulary, block_keys, cost, parse, split_name
+from bidloom.llm.names import COST, LINKS, Name, Vocabulary, block_keys, channel, parse, split_name
 from bidloom.sources.tables import cut
 
 #: A word is established if this share of the distinct names hold it, and in so many of these a rarer word stands beside it.
@@ -67,16 +67,22 @@ def parsed_names(names: DataFrame, schema: str, parts: Callable[[Name], tuple],
     return split.select(name, "n", "tokens").mapInArrow(forms, f"`{name}` string, n bigint, {schema}"), vocabulary
 
 
-def variant_classes(names: DataFrame) -> DataFrame:
+#: Rounds in which the channel's probabilities are estimated from the attachments.
+ROUNDS = 3
+
+
+def variant_classes(names: DataFrame, count_links: bool = False) -> DataFrame:
     """``name, class_id``: the spellings in ``names`` (``name``, ``n``: how often each occurs),
-    each with its class; one class per entity named.
+    each with its class; one class per entity named. With ``count_links`` also ``n_links``:
+    the forms its form is attached to or that are attached to it.
 
     Spellings that parse alike are one form. A form's candidates are the more frequent forms
     with which it shares a blocking key (ties of frequency go by text). Its posterior for
-    each is the candidate's log frequency (the prior) minus the channel's cost of writing the
-    candidate this way (typos, abbreviations, reordering, added or lost words); it is
-    attached to the greatest, or to none if all are impossible. ``class_id`` is the form at
-    the end of its chain of attachments.
+    each is the candidate's log frequency (the prior) plus the log probability of the
+    channel's steps from the candidate to what is written (typos, abbreviations, reordering,
+    added or lost words); it is attached to the greatest, or to none if none is possible.
+    The steps' probabilities are estimated from all attachments, ``ROUNDS`` times, beginning
+    with ``COST``. ``class_id`` is the form at the end of its chain of attachments.
 
     Null names and strings that list several names get no row; an empty string or one
     without a letter is a name of its own; repeated names should come aggregated (they count
@@ -99,32 +105,46 @@ def variant_classes(names: DataFrame) -> DataFrame:
             rows = batch.take(pa.array(take, pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *rows.columns], names=["key", "form", "n"])
 
-    blocks = forms.mapInArrow(keys, "key string, form string, n bigint").select(F.xxhash64("key").alias("key"), "form", "n")
-    blocks = cut(blocks)
+    blocks = cut(forms.mapInArrow(keys, "key string, form string, n bigint").select(F.xxhash64("key").alias("key"), "form", "n"))
     other = blocks.select("key", F.col("form").alias("of"), F.col("n").alias("of_n"))
     higher = (F.col("of_n") > F.col("n")) | ((F.col("of_n") == F.col("n")) & (F.col("of") > F.col("form")))
     pairs = blocks.join(other.hint("merge"), "key").filter(higher).select("form", "of", "of_n").distinct()
+    steps = list(COST)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Name] = {}
         for batch in batches:
             if len(seen) > 100_000:
                 seen.clear()
-            take, scores = [], []
-            for k, (v, c, n) in enumerate(zip(*(x.to_pylist() for x in batch.columns))):
+            take, found = [], []
+            for k, (v, c) in enumerate(zip(*(x.to_pylist() for x in batch.columns[:2]))):
                 for f in (v, c):
                     if f not in seen:
                         seen[f] = Name.of(f)
-                x = cost(seen[v], seen[c], vocabulary)
+                x = channel(seen[v], seen[c], vocabulary)
                 if x is not None:
                     take.append(k)
-                    scores.append(math.log(n) - x)
+                    found.append([steps.index(y) for y in x])
             rows = batch.take(pa.array(take, pa.int64()))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(scores, pa.float64())], names=["form", "of", "score"])
-
-    links = pairs.mapInArrow(score, "form string, of string, score double").groupBy("form").agg(F.max(F.struct("score", "of")).alias("b")).select("form", F.col("b.of").alias("of"))
-    ends = _ends(cut(links))
-    return parsed.join(ends.hint("merge"), "form", "left").select("name", F.coalesce("of", "form").alias("class_id"))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(found, pa.list_(pa.int32()))], names=["form", "of", "of_n", "steps"])
+
+    possible = cut(pairs.mapInArrow(written, "form string, of string, of_n bigint, steps array<int>"))
+    costs = [COST[x] for x in steps]
+    for left in range(ROUNDS, -1, -1):
+        each = F.array(*[F.lit(float(x)) for x in costs])
+        score = F.log("of_n") - F.aggregate("steps", F.lit(0.0), lambda a, x: a + F.element_at(each, x + 1))
+        links = possible.groupBy("form").agg(F.max(F.struct(score.alias("score"), "of", "steps")).alias("b")).select("form", "b.of", "b.steps")
+        if not left:
+            break
+        counts = {r.x: r.n for r in links.select(F.explode("steps").alias("x")).groupBy("x").agg(F.count("*").alias("n")).collect()}  # one row per kind of step
+        total = sum(counts.values()) + len(steps)
+        costs = [-math.log((counts.get(k, 0) + 1) / total) for k in range(len(steps))]
+    links = cut(links.select("form", "of"))
+    out = parsed.join(_ends(links).hint("merge"), "form", "left")
+    if count_links:
+        n = links.select(F.explode(F.array("form", "of")).alias("form")).groupBy("form").agg(F.count("*").alias("n_links"))
+        return out.join(n.hint("merge"), "form", "left").select("name", F.coalesce("of", "form").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("name", F.coalesce("of", "form").alias("class_id"))
 
 
 def _ends(links: DataFrame) -> DataFrame:

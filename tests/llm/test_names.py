@@ -73,6 +73,10 @@ def test_classes_against_all_pairs(spark):
     pairs = {(r.name_a, r.name_b) for r in variant_pairs(classes).collect()}
     want = {(a, b) for a, b in itertools.permutations(got, 2) if got[a] == got[b] and a.encode() < b.encode()}
     assert pairs == want
+    links = {r.name: (r.class_id, r.n_links) for r in variant_classes(df, count_links=True).collect()}
+    assert {k: v[0] for k, v in links.items()} == got
+    alone = [k for k in got if list(got.values()).count(got[k]) == 1]
+    assert all(links[k][1] == 0 for k in alone) and links[SAME[1][1]][1] >= 1
     assert variant_classes(df.limit(0)).count() == 0
 
 

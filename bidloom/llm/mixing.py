@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from bidloom.sources.tables import cut
 
+#: Where the vocabulary is found, unless ``bidloom.tokenizer`` of the session says otherwise.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-tokenisation pattern of that public vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -47,7 +48,7 @@ def source_name(c: Column) -> Column:
 
 def mix_sources(
     docs: DataFrame, targets: DataFrame, total_tokens: float | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source",
-    weight: Column | None = None, share_copies: bool = True, seed: int = 1, tokenizer: str = TOKENIZER,
+    weight: Column | None = None, share_copies: bool = False, seed: int = 1, tokenizer: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The drawn documents with their repeats, and the share reached per source.
 
@@ -59,10 +60,12 @@ def mix_sources(
     has documents can reach its share within its ``max_repeats``. A source without documents
     gets nothing and the others keep their proportions; a source that cannot reach its share
     of a larger ``total_tokens`` gives all it may. A document of weight w is wanted c*w times
-    (c is solved per source for the tokens wanted), never more than max_repeats; by default
-    exact copies of a text share one document's weight (``share_copies``). Whole copies are
-    certain; the rest is the inclusion probability of a fixed-size Pareto sample: the n
-    documents with the smallest ratio of random odds to inclusion odds.
+    (c is solved per source for the tokens wanted), never more than max_repeats; with
+    ``share_copies`` exact copies of a text share one document's weight. Whole copies are
+    certain; the rest is the inclusion probability of a fixed-size Pareto sample: the
+    documents with the smallest ratio of random odds to inclusion odds, as many as make up
+    the tokens still wanted. The size is fixed in tokens, so a source misses its share by
+    less than one document.
 
     Names are compared as ``source_name``. Documents of other or null sources, with a null id
     or without a token are never drawn; negative, null and not finite weights count 0, 1 and
@@ -79,9 +82,9 @@ def mix_sources(
     wanted = wanted.groupBy("source").agg(F.max(F.struct("target_share", "max_repeats")).alias("t")).select("source", "t.*")
     goals = {r.source: r for r in wanted.collect()}  # one row per target
     own = F.lit(1.0) if weight is None else F.when(F.isnan(weight) | (weight == float("inf")) | (weight < 0), 0.0).otherwise(F.coalesce(weight.cast("double"), F.lit(1.0)))
-    keep = [F.col(doc_id).alias("doc_id"), source_name(F.col(source)).alias("source"), own.alias("w"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("h")]
+    keep = [F.col(doc_id).alias("doc_id"), source_name(F.col(source)).alias("source"), own.alias("w"), *([F.md5(F.coalesce(F.col(text), F.lit(""))).alias("h")] if share_copies else [])]
     listed = docs.filter(F.col(doc_id).isNotNull() & source_name(F.col(source)).isin(list(goals) or [""]))
-    sized = count_tokens(listed, text, keep, tokenizer)
+    sized = count_tokens(listed, text, keep, tokenizer or spark.conf.get("bidloom.tokenizer", TOKENIZER))
     if share_copies:
         sized = cut(sized)
         copies = sized.groupBy("source", "h").agg(F.count("*").alias("m")).filter("m > 1")
@@ -104,7 +107,7 @@ def mix_sources(
     u = (F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     # q / (1 + q) of the Pareto ratio q = (u / (1 - u)) / (pi / (1 - pi)), in (0, 1) and of the same order
     drawn = cut(drawn.withColumn("q", F.when(F.col("pi") > 0, u * (1 - F.col("pi")) / (u * (1 - F.col("pi")) + (1 - u) * F.col("pi")))))
-    sizes = {r.source: int(r.x + 0.5) for r in drawn.groupBy("source").agg(F.sum("pi").alias("x")).collect()}
+    sizes = {r.source: r.x for r in drawn.groupBy("source").agg(F.sum(F.col("pi") * F.col("n_tokens")).alias("x")).collect()}
     chosen = _smallest(drawn, sizes)
     drawn = chosen.withColumn("repeats", F.col("base") + F.col("picked").cast("int")).filter("repeats > 0").select("doc_id", "source", "n_tokens", "repeats")
     there = sized.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("tokens_available"))
@@ -130,12 +133,13 @@ def _factor(bins: list, want: float, cap: int) -> float:
     return hi if math.isfinite(hi) else 0.0
 
 
-def _smallest(drawn: DataFrame, sizes: dict[str, int]) -> DataFrame:
-    """``drawn`` with ``picked``: whether ``q`` is among the ``sizes[source]`` smallest of its source."""
+def _smallest(drawn: DataFrame, sizes: dict[str, float]) -> DataFrame:
+    """``drawn`` with ``picked``: whether a document is among those of smallest ``q`` of its source
+    that come nearest to ``sizes[source]`` tokens together."""
     lo = {s: 0.0 for s in sizes}
     width = {s: 1.0 for s in sizes}
     below = {s: 0 for s in sizes}
-    open_: dict[str, int] = {}
+    open_: dict[str, float] = {}
     live = {s for s in sizes if sizes[s] > 0}
     spark = drawn.sparkSession
 
@@ -147,30 +151,30 @@ def _smallest(drawn: DataFrame, sizes: dict[str, int]) -> DataFrame:
             break
         inside = drawn.filter("q is not null").join(F.broadcast(border()), "source").filter("q >= lo and q < lo + width")
         bin_ = F.least(F.floor((F.col("q") - F.col("lo")) / F.col("width") * BINS), F.lit(BINS - 1)).cast("int")
-        counts: dict[str, dict[int, int]] = {}
-        for r in inside.groupBy("source", bin_.alias("bin")).agg(F.count("*").alias("n")).toLocalIterator():  # sources x BINS rows at most
-            counts.setdefault(r.source, {})[r.bin] = r.n
+        counts: dict[str, dict[int, tuple[int, int]]] = {}
+        for r in inside.groupBy("source", bin_.alias("bin")).agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).toLocalIterator():  # sources x BINS rows at most
+            counts.setdefault(r.source, {})[r.bin] = (r.n, r.t)
         for s in list(live):
             run = below[s]
             for b in sorted(counts.get(s, {})):
-                n = counts[s][b]
-                if run + n >= sizes[s]:
+                n, tokens = counts[s][b]
+                if run + tokens >= sizes[s]:
                     lo[s], width[s], below[s] = lo[s] + width[s] * b / BINS, width[s] / BINS, run
                     if n <= SETTLE or width[s] < 1e-15:
                         live.discard(s)
                         open_[s] = sizes[s] - run
                     break
-                run += n
+                run += tokens
             else:
-                lo[s], width[s] = lo[s] + width[s], 0.0  # fewer rows than wanted: all are taken
+                lo[s], width[s] = lo[s] + width[s], 0.0  # fewer tokens than wanted: all are taken
                 live.discard(s)
                 open_[s] = 0
     edges = spark.createDataFrame([(s, lo[s], lo[s] + width[s]) for s in open_] or [("", 0.0, 0.0)], "source string, lo double, hi double")
     marked = drawn.join(F.broadcast(edges), "source", "left")
     sure = marked.filter("coalesce(not (q >= lo and q < hi), true)").withColumn("picked", F.coalesce(F.col("q") < F.col("lo"), F.lit(False)))
     out = sure.drop("lo", "hi")
-    for s, n in open_.items():
+    for s, tokens in open_.items():
         rest = marked.filter((F.col("source") == s) & (F.col("q") >= F.col("lo")) & (F.col("q") < F.col("hi"))).drop("lo", "hi")
-        k = F.row_number().over(Window.orderBy("q", F.col("doc_id")))  # at most SETTLE rows
-        out = out.unionByName(rest.withColumn("picked", k <= n))
+        run = F.sum("n_tokens").over(Window.orderBy("q", F.col("doc_id")).rowsBetween(Window.unboundedPreceding, 0))  # at most SETTLE rows
+        out = out.unionByName(rest.withColumn("picked", run - F.col("n_tokens") / 2 <= tokens))
     return out

@@ -5,11 +5,12 @@ from __future__ import annotations
 import csv
 import io
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from datetime import date
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidloom.functions.can_schema import CAN_COLUMNS
@@ -57,15 +58,56 @@ def award_date(text: str) -> date | None:
     raise FieldError("bad_date")
 
 
+def assemble(lines: Iterable[str], delimiter: str) -> Iterator[tuple[list[str], bool]]:
+    """The records of which physical ``lines`` are the parts, quote-aware: each as its lines and
+    whether its quotes are closed (only the last can be left open).
+
+    A quote opens at the start of a field and closes where none follows it; a line that ends
+    inside quotes is continued by the next."""
+    held: list[str] = []
+    inside = False
+    for line in lines:
+        held.append(line)
+        inside = _open_after(line, delimiter, inside)
+        if not inside:
+            yield held, True
+            held = []
+    if held:
+        yield held, False
+
+
+def _open_after(line: str, delimiter: str, inside: bool) -> bool:
+    """Whether a quoted field is open at the end of a line that began so."""
+    if '"' not in line:
+        return inside
+    at, n = 0, len(line)
+    while at < n:
+        if not inside:
+            if line[at] == '"':
+                inside, at = True, at + 1
+            else:
+                at = line.find(delimiter, at) + 1 or n
+            continue
+        at = line.find('"', at)
+        if at < 0:
+            return True
+        if line[at + 1 : at + 2] == '"':
+            at += 2
+        else:  # closed: what follows up to the delimiter is for the strict reader to judge
+            inside, at = False, line.find(delimiter, at) + 1 or n
+    return inside
+
+
 def parse_record(raw: str, delimiter: str, width: int) -> list[str]:
-    """The fields of one record, read by the strict csv reader.
+    """The fields of one record, assembled from its physical lines and read by the strict csv reader.
 
     Raises ``FieldError("quoting")`` where the quotes break RFC 4180 (left open, text after
     the closing quote, a quote inside an unquoted field), ``FieldError("column_count")``
-    where there are not ``width`` fields.
+    where there are not ``width`` fields or the lines hold several records.
     """
+    found = [raw] if "\n" not in raw else ["\n".join(x) for x, _ in assemble(raw.split("\n"), delimiter)]
     try:
-        records = list(csv.reader(io.StringIO(raw, newline=""), delimiter=delimiter, strict=True))
+        records = [r for x in found for r in csv.reader(io.StringIO(x, newline=""), delimiter=delimiter, strict=True)]
     except csv.Error:
         raise FieldError("quoting") from None
     if '"' in raw and not _quotes_start_fields(raw, delimiter):
@@ -75,6 +117,69 @@ def parse_record(raw: str, delimiter: str, width: int) -> list[str]:
     return records[0]
 
 
+#: Lines of a file that are looked at together.
+CHUNK = 10_000
+
+
+def assemble_lines(lines: DataFrame, columns: tuple[str, ...] | list[str] = tuple(CAN_COLUMNS), chunk: int = CHUNK) -> DataFrame:
+    """``source_file, line_no, raw_line, n_lines``: the records of files given as physical lines
+    (``source_file, line_no, raw_line``), each at its first line.
+
+    A line that is a whole record of ``len(columns)`` fields by itself is one. The lines
+    between two such are assembled quote-aware from the first on; where that leaves a record
+    open or of another width, its first line stands alone, to be rejected, and assembly goes
+    on with the next line, so a broken quote costs no other record. Line 1 is the header. A
+    null ``raw_line`` is an empty line; lines with a null file or number get no row; repeated
+    lines count each; other columns are ignored; an empty table gives an empty result.
+
+    Lines never meet by file: a file is looked at in chunks of ``chunk`` lines, one row per
+    chunk says where its last whole record is, and only the lines that are none are grouped.
+    A stretch of more than ``chunk`` lines without any whole record is assembled in pieces of
+    that length.
+    """
+    width = len(columns)
+    base = lines.select("source_file", "line_no", F.coalesce("raw_line", F.lit("")).alias("raw_line")).filter("source_file is not null and line_no is not null")
+    named = base.join(file_layouts(base).select(F.col("source_file").alias("_file"), "_delimiter"), F.col("source_file") == F.col("_file")).drop("_file")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flags = []
+            for n, raw, d in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+                try:
+                    flags.append(n == 1 or len(parse_record(raw, d, width)) == width)
+                except FieldError:
+                    flags.append(False)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flags, pa.bool_())], names=[*batch.schema.names, "whole"])
+
+    flagged = named.mapInArrow(whole, "source_file string, line_no bigint, raw_line string, _delimiter string, whole boolean").withColumn("_chunk", F.floor(F.col("line_no") / chunk))
+    last = flagged.groupBy("source_file", "_chunk").agg(F.max(F.when(F.col("whole"), F.col("line_no"))).alias("_at"))
+    before = last.withColumn("_before", F.last("_at", True).over(Window.partitionBy("source_file").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))).drop("_at")
+    own = F.last(F.when(F.col("whole"), F.col("line_no")), True).over(Window.partitionBy("source_file", "_chunk").orderBy("line_no"))
+    rest = flagged.withColumn("_own", own).filter("not whole").join(before, ["source_file", "_chunk"])
+    start = F.coalesce("_own", "_before", F.lit(0))
+    rest = rest.withColumn("_run", start).withColumn("_piece", F.floor((F.col("line_no") - F.col("_run")) / chunk))
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("line_no")
+        raws, numbers, d = pdf["raw_line"].tolist(), pdf["line_no"].tolist(), pdf["_delimiter"].iloc[0]
+        out, at = [], 0
+        while at < len(raws):
+            held, closed = next(assemble(raws[at:], d))
+            text = "\n".join(held)
+            try:
+                if len(held) > 1:
+                    parse_record(text, d, width)
+            except FieldError:
+                held, text = held[:1], raws[at]
+            out.append((pdf["source_file"].iloc[0], numbers[at], text, len(held)))
+            at += len(held)
+        return pd.DataFrame(out, columns=["source_file", "line_no", "raw_line", "n_lines"])
+
+    schema = "source_file string, line_no bigint, raw_line string, n_lines int"
+    joined = rest.select("source_file", "line_no", "raw_line", "_delimiter", "_run", "_piece").groupBy("source_file", "_run", "_piece").applyInPandas(join, schema)
+    return flagged.filter("whole").select("source_file", "line_no", "raw_line", F.lit(1).alias("n_lines")).unionByName(joined)
+
+
 def _quotes_start_fields(raw: str, delimiter: str) -> bool:
     """Whether no unquoted field holds a quote. ``raw`` is well formed otherwise."""
     at, n = 0, len(raw)

@@ -12,9 +12,11 @@ TRUE_TOKENS = ("Y", "YES", "1", "TRUE", "T")
 FALSE_TOKENS = ("N", "NO", "0", "FALSE", "F")
 DATE_FORMATS = ("d-MMM-yy", "d/M/yy", "yyyy-M-d", "d/M/yyyy", "yyyyMMdd", "d-M-yyyy")
 DATE_SHAPES = (r"^\d{1,2}-[A-Za-z]{3}-\d{2}$", r"^\d{1,2}/\d{1,2}/\d{2}$", r"^\d{4}-\d{1,2}-\d{1,2}$", r"^\d{1,2}/\d{1,2}/\d{4}$", r"^\d{8}$", r"^\d{1,2}-\d{1,2}-\d{4}$")
+#: Identifiers that name nobody: those of suppliers, and those of buyers.
 PLACEHOLDER_IDS = (
-    "0", "00", "000", "0000", "00000000", "000000000", "1", "123", "1234", "12345", "123456", "123456789", "NA", "NONE", "UNKNOWN", "XXXX", "NOTREGISTERED", "NOTAPPLICABLE",
+    "0", "1", "00", "000", "0000", "NA", "NAN", "NONE", "NULL", "UNKNOWN", "NOTAVAILABLE", "NOTAPPLICABLE", "VAT", "VATNO", "NIL", "NOID", "NATIONALID", "REGISTRATIONNUMBER",
 )
+BUYER_PLACEHOLDERS = ("0000", "000000", "00000000", "NA", "NONE", "UNKNOWN", "NULL")
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -90,9 +92,9 @@ def cpv_digits(c: Column) -> Column:
 
 
 def cpv_valid(c: Column) -> Column:
-    """The eight-digit code, null where there are fewer digits."""
+    """The code of exactly eight digits; null where there are fewer or more."""
     d = cpv_digits(c)
-    return F.when(F.length(d) >= 8, F.substring(d, 1, 8))
+    return F.when(F.length(d) == 8, d)
 
 
 def cpv_prefix(c: Column, n: int) -> Column:
@@ -101,9 +103,9 @@ def cpv_prefix(c: Column, n: int) -> Column:
 
 
 def nuts_code(c: Column) -> Column:
-    """A region code of two to five characters, upper case without blanks; null where malformed."""
+    """A region code of three to five characters (a bare country is none), upper case without blanks; null where malformed."""
     t = F.upper(F.regexp_replace(F.trim(c), r"\s+", ""))
-    return F.when(t.rlike("^[A-Z]{2}[A-Z0-9]{0,3}$"), t)
+    return F.when(t.rlike("^[A-Z]{2}[A-Z0-9]{1,3}$"), t)
 
 
 def iso2(c: Column) -> Column:
@@ -111,43 +113,66 @@ def iso2(c: Column) -> Column:
     return F.when(t.rlike("^[A-Z]{2}$"), t)
 
 
-def usable_id(c: Column, min_length: int = 4) -> Column:
-    """A normalised identifier that is neither a placeholder nor too short; else null."""
-    t = normalize_identifier(c)
-    return F.when(~t.isin(*PLACEHOLDER_IDS) & (F.length(t) >= min_length), t)
+def alnum(c: Column) -> Column:
+    """Upper case A to Z and digits only, of the trimmed text; empty is null."""
+    return F.nullif(F.regexp_replace(F.upper(F.trim(c)), "[^A-Z0-9]", ""), F.lit(""))
 
 
 def buyer_key(country: Column, ident: Column, name: Column) -> Column:
-    """``BID||country||id`` where the identifier is usable, else ``BN||country||name``; null without country."""
-    c, i, n = iso2(country), usable_id(ident), normalize_entity(name)
-    return F.when(c.isNotNull() & i.isNotNull(), F.concat(F.lit("BID||"), c, F.lit("||"), i)).when(c.isNotNull() & n.isNotNull(), F.concat(F.lit("BN||"), c, F.lit("||"), n))
+    """``BID||country||id`` where the identifier is usable (four characters at least, no
+    placeholder, not only zeros), else ``BN||country||name``; null without a country of two letters."""
+    c, i, n = upper_clean(country), alnum(ident), alnum(name)
+    c = F.when(F.length(c) == 2, c)
+    usable = (F.length(i) >= 4) & ~i.isin(*BUYER_PLACEHOLDERS) & ~i.rlike("^0+$")
+    return F.when(c.isNotNull() & usable, F.concat(F.lit("BID||"), c, F.lit("||"), i)).when(c.isNotNull() & n.isNotNull(), F.concat(F.lit("BN||"), c, F.lit("||"), n))
+
+
+def award_key(notice: Column, award: Column) -> Column:
+    """``notice||award``; null where either is."""
+    return F.concat(clean_text(notice), F.lit("||"), clean_text(award))
 
 
 def supplier_key(country: Column, ident: Column, name: Column, town: Column) -> Column:
-    """The strongest key there is: ``ID``, then ``NC`` (name and country), then ``NT`` (name and town)."""
-    c, i, n, t = iso2(country), usable_id(ident), normalize_entity(name), normalize_entity(town)
+    """The provisional key: the strongest of identifier and country, name and country, town and name."""
+    return _supplier_ladder(country, ident, name, town).getField("key")
+
+
+def supplier_key_method(country: Column, ident: Column, name: Column, town: Column) -> Column:
+    return _supplier_ladder(country, ident, name, town).getField("method")
+
+
+def _supplier_ladder(country: Column, ident: Column, name: Column, town: Column) -> Column:
+    c, i, n, t = upper_clean(country), normalize_identifier(ident), normalize_entity(name), normalize_entity(town)
+
+    def rung(label: str, method: str, *parts: Column) -> Column:
+        return F.struct(F.concat_ws("||", F.lit(label), *parts).alias("key"), F.lit(method).alias("method"))
+
     return (
-        F.when(c.isNotNull() & i.isNotNull(), F.concat(F.lit("ID||"), c, F.lit("||"), i))
-        .when(c.isNotNull() & n.isNotNull(), F.concat(F.lit("NC||"), c, F.lit("||"), n))
-        .when(n.isNotNull() & t.isNotNull(), F.concat(F.lit("NT||"), n, F.lit("||"), t))
+        F.when(i.isNotNull() & c.isNotNull(), rung("nid_country", "national_id_country", c, i))
+        .when(n.isNotNull() & c.isNotNull(), rung("name_country", "normalized_name_country", c, n))
+        .when(n.isNotNull() & t.isNotNull(), rung("name_town", "normalized_name_town", t, n))
+        .otherwise(F.struct(F.lit(None).cast("string").alias("key"), F.lit("unresolved").alias("method")))
     )
 
 
-def supplier_key_method(country: Column, ident: Column, name: Column, town: Column) -> Column:
-    k = supplier_key(country, ident, name, town)
-    return F.when(k.isNull(), F.lit("NONE")).otherwise(F.substring(k, 1, 2))
+def group_or_list(group: Column, name: Column, ident: Column, country: Column, town: Column) -> Column:
+    """Whether an award names several suppliers: flagged so, or a list in any of its fields."""
+    return F.coalesce(group, F.lit(False)) | is_list_field(name) | is_list_field(ident) | is_list_field(country) | is_list_field(town)
 
 
-def id_hygiene(ident: Column, country: Column, min_length: int = 4) -> Column:
+def id_hygiene(ident: Column, country: Column, group: Column, min_length: int = 4) -> Column:
     """Why an identifier can or cannot anchor an entity, the first reason that applies."""
-    raw, t = clean_text(ident), normalize_identifier(ident)
+    t, k = normalize_identifier(ident), upper_clean(country)
     return (
-        F.when(raw.isNull() | t.isNull(), "missing")
-        .when(F.instr(raw, "---") > 0, "multiple")
-        .when(iso2(country).isNull(), "no_country")
-        .when(t.isin(*PLACEHOLDER_IDS), "placeholder")
-        .when(F.length(t) < min_length, "short")
-        .otherwise("candidate")
+        F.when(t.isNull(), "missing")
+        .when(is_list_field(ident), "multi_value_identifier")
+        .when(group, "group_or_list_record")
+        .when(k.isNull(), "missing_country_context")
+        .when(F.length(k) != 2, "invalid_country_context")
+        .when(t == k, "country_code_placeholder")
+        .when(t.isin(*PLACEHOLDER_IDS), "generic_placeholder")
+        .when(F.length(t) < min_length, "suspicious_short")
+        .otherwise("candidate_valid_anchor")
     )
 
 

@@ -13,12 +13,12 @@ MAX_NAMES = 20
 def identities(rows: DataFrame, name: str, ident: str, country: str, town: str, group: Column | None = None) -> DataFrame:
     """``rows`` with the normalised parts of the supplier's identity: ``nid, name_norm, ctry,
     town_norm, nc_key, nt_key, is_group``. A key is null if one of its parts is."""
-    n, k, t = C.normalize_entity(F.col(name)), C.iso2(F.col(country)), C.normalize_entity(F.col(town))
+    n, k, t = C.normalize_entity(F.col(name)), C.upper_clean(F.col(country)), C.normalize_entity(F.col(town))
     return (
-        rows.withColumn("is_group", C.is_list_field(F.col(name)) | F.coalesce(group if group is not None else F.lit(False), F.lit(False)))
+        rows.withColumn("is_group", C.group_or_list(group if group is not None else F.lit(False), F.col(name), F.col(ident), F.col(country), F.col(town)))
         .withColumn("name_norm", n).withColumn("ctry", k).withColumn("town_norm", t)
-        .withColumn("nid", F.when(C.id_hygiene(F.col(ident), F.col(country)) == "candidate", F.concat(k, F.lit("||"), C.normalize_identifier(F.col(ident)))))
-        .withColumn("nc_key", F.concat(k, F.lit("||"), n)).withColumn("nt_key", F.concat(n, F.lit("||"), t))
+        .withColumn("nid", F.when(C.id_hygiene(F.col(ident), F.col(country), F.col("is_group")) == "candidate_valid_anchor", F.concat(k, F.lit("||"), C.normalize_identifier(F.col(ident)))))
+        .withColumn("nc_key", F.when(F.length(k) == 2, F.concat(k, F.lit("||"), n))).withColumn("nt_key", F.concat(t, F.lit("||"), n))
     )
 
 

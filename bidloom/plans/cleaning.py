@@ -17,7 +17,7 @@ _ENTITY = "nullif(trim(regexp_replace(lower({0}), '[^[:alnum:]]+', ' ', 'g')), '
 _IDENT = "nullif(regexp_replace(upper({0}), '[^[:alnum:]]+', '', 'g'), '')"
 _PLACEHOLDERS = ", ".join(f"'{x}'" for x in C.PLACEHOLDER_IDS)
 _ISO = "CASE WHEN regexp_matches(upper(trim({0})), '^[A-Z]{{2}}$') THEN upper(trim({0})) END"
-_USABLE = f"CASE WHEN {_IDENT} NOT IN ({_PLACEHOLDERS}) AND length({_IDENT}) >= 4 THEN {_IDENT} END"
+_ALNUM = "nullif(regexp_replace(upper(trim({0})), '[^A-Z0-9]', '', 'g'), '')"
 _BOOL = "CASE WHEN upper(trim({0})) IN ('Y','YES','1','TRUE','T') THEN true WHEN upper(trim({0})) IN ('N','NO','0','FALSE','F') THEN false END"
 _NUM = r"CASE WHEN regexp_matches(trim({0}), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$') THEN try_cast(trim({0}) AS DOUBLE) END"
 _DATE = r"""coalesce(
@@ -94,7 +94,7 @@ def scl_11_repair_year(t: Tables) -> DataFrame:
 _CPV = "nullif(regexp_replace(cpv, '[^0-9]', '', 'g'), '')"
 
 
-@BOOK.query(f"SELECT source_row_id, {_CPV} AS digits, CASE WHEN length({_CPV}) >= 8 THEN substr({_CPV}, 1, 8) END AS code, CASE WHEN length({_CPV}) >= 2 THEN substr({_CPV}, 1, 2) END AS cpv2, CASE WHEN length({_CPV}) >= 4 THEN substr({_CPV}, 1, 4) END AS cpv4 FROM cn_2017")
+@BOOK.query(f"SELECT source_row_id, {_CPV} AS digits, CASE WHEN length({_CPV}) = 8 THEN {_CPV} END AS code, CASE WHEN length({_CPV}) >= 2 THEN substr({_CPV}, 1, 2) END AS cpv2, CASE WHEN length({_CPV}) >= 4 THEN substr({_CPV}, 1, 4) END AS cpv4 FROM cn_2017")
 def scl_12_cpv(t: Tables) -> DataFrame:
     return t.cn_2017.select("source_row_id", C.cpv_digits(c("cpv")).alias("digits"), C.cpv_valid(c("cpv")).alias("code"), C.cpv_prefix(c("cpv"), 2).alias("cpv2"), C.cpv_prefix(c("cpv"), 4).alias("cpv4"))
 
@@ -102,7 +102,7 @@ def scl_12_cpv(t: Tables) -> DataFrame:
 _NUTS = r"upper(regexp_replace(trim(tal_location_nuts), '\s+', '', 'g'))"
 
 
-@BOOK.query(f"SELECT source_row_id, CASE WHEN regexp_matches({_NUTS}, '^[A-Z]{{2}}[A-Z0-9]{{0,3}}$') THEN {_NUTS} END AS nuts FROM cn_2017")
+@BOOK.query(f"SELECT source_row_id, CASE WHEN regexp_matches({_NUTS}, '^[A-Z]{{2}}[A-Z0-9]{{1,3}}$') THEN {_NUTS} END AS nuts FROM cn_2017")
 def scl_13_nuts(t: Tables) -> DataFrame:
     return t.cn_2017.select("source_row_id", C.nuts_code(c("tal_location_nuts")).alias("nuts"))
 
@@ -112,11 +112,15 @@ def scl_14_iso2(t: Tables) -> DataFrame:
     return t.can_2017.groupBy(C.iso2(c("win_country_code")).alias("country")).agg(F.count("*").alias("n"))
 
 
-_BUYER = f"""CASE WHEN {_ISO.format('iso_country_code')} IS NOT NULL AND {_USABLE.format('cae_nationalid')} IS NOT NULL THEN 'BID||' || {_ISO.format('iso_country_code')} || '||' || {_USABLE.format('cae_nationalid')}
-  WHEN {_ISO.format('iso_country_code')} IS NOT NULL AND {_ENTITY.format('cae_name')} IS NOT NULL THEN 'BN||' || {_ISO.format('iso_country_code')} || '||' || {_ENTITY.format('cae_name')} END"""
-_SUPPLIER = f"""CASE WHEN {_ISO.format('win_country_code')} IS NOT NULL AND {_USABLE.format('win_nationalid')} IS NOT NULL THEN 'ID||' || {_ISO.format('win_country_code')} || '||' || {_USABLE.format('win_nationalid')}
-  WHEN {_ISO.format('win_country_code')} IS NOT NULL AND {_ENTITY.format('win_name')} IS NOT NULL THEN 'NC||' || {_ISO.format('win_country_code')} || '||' || {_ENTITY.format('win_name')}
-  WHEN {_ENTITY.format('win_name')} IS NOT NULL AND {_ENTITY.format('win_town')} IS NOT NULL THEN 'NT||' || {_ENTITY.format('win_name')} || '||' || {_ENTITY.format('win_town')} END"""
+_CTRY = "upper(" + _CLEAN + ")"
+_BUYER_PLACEHOLDERS = ", ".join(f"'{x}'" for x in C.BUYER_PLACEHOLDERS)
+_BUYER = f"""CASE WHEN length({_CTRY.format('iso_country_code')}) = 2 AND length({_ALNUM.format('cae_nationalid')}) >= 4 AND {_ALNUM.format('cae_nationalid')} NOT IN ({_BUYER_PLACEHOLDERS}) AND NOT regexp_matches({_ALNUM.format('cae_nationalid')}, '^0+$')
+  THEN 'BID||' || {_CTRY.format('iso_country_code')} || '||' || {_ALNUM.format('cae_nationalid')}
+  WHEN length({_CTRY.format('iso_country_code')}) = 2 AND {_ALNUM.format('cae_name')} IS NOT NULL THEN 'BN||' || {_CTRY.format('iso_country_code')} || '||' || {_ALNUM.format('cae_name')} END"""
+_WHOSE = {"i": _IDENT.format("win_nationalid"), "c": _CTRY.format("win_country_code"), "n": _ENTITY.format("win_name"), "t": _ENTITY.format("win_town")}
+_LADDER = (("i", "c", "nid_country", "national_id_country"), ("n", "c", "name_country", "normalized_name_country"), ("n", "t", "name_town", "normalized_name_town"))
+_SUPPLIER = "CASE " + " ".join(f"WHEN {_WHOSE[x]} IS NOT NULL AND {_WHOSE[y]} IS NOT NULL THEN '{label}||' || {_WHOSE[y]} || '||' || {_WHOSE[x]}" for x, y, label, _ in _LADDER) + " END"
+_METHOD = "CASE " + " ".join(f"WHEN {_WHOSE[x]} IS NOT NULL AND {_WHOSE[y]} IS NOT NULL THEN '{m}'" for x, y, _, m in _LADDER) + " ELSE 'unresolved' END"
 
 
 @BOOK.query(f"SELECT {_BUYER} AS buyer_key, count(*) AS n FROM can_2017 GROUP BY 1")
@@ -124,10 +128,10 @@ def scl_15_buyer_key(t: Tables) -> DataFrame:
     return t.can_2017.groupBy(C.buyer_key(c("iso_country_code"), c("cae_nationalid"), c("cae_name")).alias("buyer_key")).agg(F.count("*").alias("n"))
 
 
-@BOOK.query(f"SELECT source_row_id, {_SUPPLIER} AS supplier_key, coalesce(substr({_SUPPLIER}, 1, 2), 'NONE') AS method FROM can_2017")
+@BOOK.query(f"SELECT source_row_id, {_CLEAN.format('id_notice_can')} || '||' || {_CLEAN.format('id_award')} AS award_key, {_SUPPLIER} AS supplier_key, {_METHOD} AS method FROM can_2017")
 def scl_16_supplier_key(t: Tables) -> DataFrame:
     parts = c("win_country_code"), c("win_nationalid"), c("win_name"), c("win_town")
-    return t.can_2017.select("source_row_id", C.supplier_key(*parts).alias("supplier_key"), C.supplier_key_method(*parts).alias("method"))
+    return t.can_2017.select("source_row_id", C.award_key(c("id_notice_can"), c("id_award")).alias("award_key"), C.supplier_key(*parts).alias("supplier_key"), C.supplier_key_method(*parts).alias("method"))
 
 
 @BOOK.query(f"SELECT source_row_id, coalesce({_NUM.format('award_value_euro_fin_1')}, {_NUM.format('award_value_euro')}, {_NUM.format('value_euro')}) AS value FROM can_2017")
@@ -178,13 +182,27 @@ def scl_25_math(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", F.round(F.log1p(p), 6).alias("log_price"), F.round(F.sqrt(p), 6).alias("root"), F.round(F.pow(p / 1000, F.lit(2)), 4).alias("sq"), F.least(F.greatest(p / 100000, F.lit(0.0)), F.lit(1.0)).alias("clipped"), F.round(C.recency(days), 9).alias("recency"))
 
 
-_HYG = f"""CASE WHEN nullif(trim(win_nationalid), '') IS NULL OR {_IDENT.format('win_nationalid')} IS NULL THEN 'missing' WHEN instr(trim(win_nationalid), '---') > 0 THEN 'multiple'
-  WHEN {_ISO.format('win_country_code')} IS NULL THEN 'no_country' WHEN {_IDENT.format('win_nationalid')} IN ({_PLACEHOLDERS}) THEN 'placeholder' WHEN length({_IDENT.format('win_nationalid')}) < 4 THEN 'short' ELSE 'candidate' END"""
+_GROUP = "(" + " OR ".join([f"coalesce({_BOOL.format('b_awarded_to_a_group')}, false)", *(f"instr(coalesce({x}, ''), '---') > 0" for x in ("win_name", "win_nationalid", "win_country_code", "win_town"))]) + ")"
+_HYG = f"""CASE WHEN {_IDENT.format('win_nationalid')} IS NULL THEN 'missing' WHEN instr(win_nationalid, '---') > 0 THEN 'multi_value_identifier' WHEN {_GROUP} THEN 'group_or_list_record'
+  WHEN {_CTRY.format('win_country_code')} IS NULL THEN 'missing_country_context' WHEN length({_CTRY.format('win_country_code')}) <> 2 THEN 'invalid_country_context' WHEN {_IDENT.format('win_nationalid')} = {_CTRY.format('win_country_code')} THEN 'country_code_placeholder'
+  WHEN {_IDENT.format('win_nationalid')} IN ({_PLACEHOLDERS}) THEN 'generic_placeholder' WHEN length({_IDENT.format('win_nationalid')}) < SHORTEST THEN 'suspicious_short' ELSE 'candidate_valid_anchor' END"""
 
 
-@BOOK.query(f"SELECT {_HYG} AS status, count(*) AS n FROM can_2017 GROUP BY 1")
+def _hygiene(min_length: int = 4) -> Column:
+    parts = [c(x) for x in ("win_name", "win_nationalid", "win_country_code", "win_town")]
+    return C.id_hygiene(parts[1], parts[2], C.group_or_list(C.parse_bool(c("b_awarded_to_a_group")), *parts), min_length)
+
+
+@BOOK.query(f"SELECT {_HYG.replace('SHORTEST', '4')} AS status, count(*) AS n FROM can_2017 GROUP BY 1")
 def prj_05_id_hygiene(t: Tables) -> DataFrame:
-    return t.can_2017.groupBy(C.id_hygiene(c("win_nationalid"), c("win_country_code")).alias("status")).agg(F.count("*").alias("n"))
+    return t.can_2017.groupBy(_hygiene().alias("status")).agg(F.count("*").alias("n"))
+
+
+@BOOK.query(" UNION ALL ".join(f"SELECT {k} AS min_id_length, {_HYG.replace('SHORTEST', str(k))} AS status, count(*) AS n FROM can_2017 GROUP BY 2" for k in (4, 6, 8)))
+def prj_05_min_length(t: Tables) -> DataFrame:
+    """The same for several shortest lengths, in one scan."""
+    each = F.array(*[F.struct(F.lit(k).alias("min_id_length"), _hygiene(k).alias("status")) for k in (4, 6, 8)])
+    return t.can_2017.select(F.inline(each)).groupBy("min_id_length", "status").agg(F.count("*").alias("n"))
 
 
 _MISSING = f"""CASE WHEN {_CLEAN.format('id_notice_can')} IS NULL THEN 'no_notice' WHEN {_CLEAN.format('id_award')} IS NULL THEN 'no_award' WHEN {_CLEAN.format('win_name')} IS NULL THEN 'no_winner'

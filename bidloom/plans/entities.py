@@ -18,10 +18,10 @@ BOOK = Book()
 QUERIES, ORACLE = BOOK.QUERIES, BOOK.ORACLE
 c = F.col
 
-_ISO, _ENT, _ID = S._ISO.format("win_country_code"), S._ENTITY.format("win_name"), S._IDENT.format("win_nationalid")
-_BASE = f"""WITH k0 AS (SELECT source_row_id, loaded_at, win_name, instr(coalesce(win_name, ''), '---') > 0 OR coalesce({S._BOOL.format('b_awarded_to_a_group')}, false) AS is_group, {_ENT} AS name_norm, {_ISO} AS ctry, {S._ENTITY.format('win_town')} AS town_norm,
-  CASE WHEN {S._HYG} = 'candidate' THEN {_ISO} || '||' || {_ID} END AS nid, substr(nullif(regexp_replace(cpv, '[^0-9]', '', 'g'), ''), 1, 2) AS cpv2, month(loaded_at) AS m FROM can_2017),
-k AS (SELECT *, ctry || '||' || name_norm AS nc_key, name_norm || '||' || town_norm AS nt_key FROM k0),
+_ISO, _ENT, _ID = S._CTRY.format("win_country_code"), S._ENTITY.format("win_name"), S._IDENT.format("win_nationalid")
+_BASE = f"""WITH k0 AS (SELECT source_row_id, loaded_at, win_name, {S._GROUP} AS is_group, {_ENT} AS name_norm, {_ISO} AS ctry, {S._ENTITY.format('win_town')} AS town_norm,
+  CASE WHEN {S._HYG.replace('SHORTEST', '4')} = 'candidate_valid_anchor' THEN {_ISO} || '||' || {_ID} END AS nid, substr(nullif(regexp_replace(cpv, '[^0-9]', '', 'g'), ''), 1, 2) AS cpv2, month(loaded_at) AS m FROM can_2017),
+k AS (SELECT *, CASE WHEN length(ctry) = 2 THEN ctry || '||' || name_norm END AS nc_key, town_norm || '||' || name_norm AS nt_key FROM k0),
 anc AS (SELECT nid, sum(n) AS n_rows, count(name_norm) AS n_names, count(name_norm) <= 20 AS reliable FROM (SELECT nid, name_norm, count(*) AS n FROM k WHERE nid IS NOT NULL AND NOT is_group GROUP BY 1, 2) GROUP BY 1),
 br AS (SELECT nc_key, count(*) AS n_anchors, CASE WHEN min(nid) = max(nid) THEN min(nid) END AS bridge_nid, CASE WHEN min(nid) = max(nid) THEN 'one' ELSE 'ambiguous' END AS bridge_status FROM (
   SELECT DISTINCT nc_key, nid FROM k JOIN anc USING (nid) WHERE reliable AND nc_key IS NOT NULL AND NOT is_group) GROUP BY 1),

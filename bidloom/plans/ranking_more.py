@@ -39,7 +39,7 @@ def fit_02_category_index(t: Tables) -> DataFrame:
 _NUTS = r"upper(regexp_replace(trim(x), '\s+', '', 'g'))"
 
 
-@BOOK.query(f"""WITH e AS (SELECT id_award, win_name AS supplier, {_NUTS} AS n FROM (SELECT id_award, win_name, unnest(regexp_split_to_array(tal_location_nuts, '[,;|]+')) AS x FROM can_2017 WHERE win_name IS NOT NULL) WHERE regexp_matches({_NUTS}, '^[A-Z]{{2}}[A-Z0-9]{{0,3}}$'))
+@BOOK.query(f"""WITH e AS (SELECT id_award, win_name AS supplier, {_NUTS} AS n FROM (SELECT id_award, win_name, unnest(regexp_split_to_array(tal_location_nuts, '[,;|]+')) AS x FROM can_2017 WHERE win_name IS NOT NULL) WHERE regexp_matches({_NUTS}, '^[A-Z]{{2}}[A-Z0-9]{{1,3}}$'))
 SELECT level, value, supplier, count(*) AS n_matched FROM (SELECT DISTINCT id_award, supplier, level, substr(n, 1, level) AS value FROM e, (SELECT unnest([2, 3, 4, 5]) AS level) WHERE length(n) >= level) GROUP BY 1, 2, 3""")
 def fit_03_region_index(t: Tables) -> DataFrame:
     each = t.can_2017.filter("win_name is not null").select("id_award", c("win_name").alias("supplier"), F.explode(F.split("tal_location_nuts", "[,;|]+")).alias("x")).select("id_award", "supplier", C.nuts_code(c("x")).alias("n"))

@@ -21,11 +21,10 @@ CASES = [
     (C.parse_date, ["23-DEC-14", "22/12/16", "2016-1-2", "22/12/2016", "20161222", "22-12-2016", "01/01/75", "31/02/16", "garbage", "", None], [date(2014, 12, 23), date(2016, 12, 22), date(2016, 1, 2), date(2016, 12, 22), date(2016, 12, 22), date(2016, 12, 22), date(1975, 1, 1), None, None, None, None]),
     (lambda c: F.year(C.parse_date_legacy(c)), ["22/12/16", "23-DEC-14"], [16, None]),
     (lambda c: C.repair_year(C.parse_date_legacy(c)), ["22/12/16"], [date(2016, 12, 22)]),
-    (C.cpv_valid, ["45000000-7", "4500", None], ["45000000", None, None]),
+    (C.cpv_valid, ["45000000-7", "45 000 000", "4500", None], [None, "45000000", None, None]),
     (lambda c: C.cpv_prefix(c, 4), ["45000000-7", "450"], ["4500", None]),
-    (C.nuts_code, [" de 21h", "D", "FR10", None], ["DE21H", None, "FR10", None]),
+    (C.nuts_code, [" de 21h", "D", "FR", "FR10", None], ["DE21H", None, None, "FR10", None]),
     (C.iso2, ["de", "DEU", "", None], ["DE", None, None, None]),
-    (C.usable_id, ["xxxx", "000000000", "12", "DE-9283"], [None, None, None, "DE9283"]),
     (C.list_tokens, ["a---b---c", "a", "", None], [3, 1, 0, 0]),
     (lambda c: C.recency(c.cast("int")), ["0", "3", "-1", None], [1.0, 0.25, None, None]),
 ]
@@ -37,9 +36,17 @@ def test_functions(spark, f, texts, want):
 
 
 def test_keys_and_hygiene(spark):
-    rows = [("DE", "DE12345", "Foo GmbH", "Ort"), ("DE", "xxxx", "Foo GmbH", "Ort"), (None, "DE12345", "Foo GmbH", "Ort"), (None, None, None, None), ("DE", "a---b", "x", None), ("DE", "12", "x", None)]
+    rows = [
+        ("DE", "DE12345", "Foo GmbH", "Ort"), ("DE", "vat-no", "Foo GmbH", "Ort"), (None, "DE12345", "Foo GmbH", "Ort"), (None, None, None, None), ("DE", "a---b", "x", None),
+        ("DE", "12", "x", None), ("DEU", "12345", "x", None), ("DE", "de", "x", None), ("DE", "123456", "x---y", None), (" ", None, "x", "Ort"),
+    ]
     df = spark.createDataFrame(rows, "c string, i string, n string, t string")
-    got = df.select(C.supplier_key(*map(F.col, "cint")), C.buyer_key(*map(F.col, "cin")), C.id_hygiene(F.col("i"), F.col("c")), C.supplier_key_method(*map(F.col, "cint"))).collect()
-    assert [r[0] for r in got] == ["ID||DE||DE12345", "NC||DE||foo gmbh", "NT||foo gmbh||ort", None, "NC||DE||x", "NC||DE||x"]
-    assert [r[2] for r in got] == ["candidate", "placeholder", "no_country", "missing", "multiple", "short"]
-    assert got[0][1].startswith("BID||") and got[1][1].startswith("BN||") and got[3][3] == "NONE"
+    parts = [F.col(x) for x in "nict"]
+    got = df.select(C.supplier_key(*map(F.col, "cint")), C.buyer_key(*map(F.col, "cin")), C.id_hygiene(F.col("i"), F.col("c"), C.group_or_list(F.lit(None).cast("boolean"), *parts)), C.supplier_key_method(*map(F.col, "cint"))).collect()
+    assert [r[0] for r in got[:5]] == ["nid_country||DE||DE12345", "nid_country||DE||VATNO", "name_town||ort||foo gmbh", None, "nid_country||DE||AB"]
+    assert [r[2] for r in got] == [
+        "candidate_valid_anchor", "generic_placeholder", "missing_country_context", "missing", "multi_value_identifier", "suspicious_short", "invalid_country_context", "country_code_placeholder", "group_or_list_record", "missing",
+    ]
+    assert got[0][1] == "BID||DE||DE12345" and got[3][3] == "unresolved" and got[9][3] == "normalized_name_town"
+    more = spark.createDataFrame([("de", "0000000", "Foo & Bar"), ("DE", "NONE", "-"), ("DEU", "12345", "x"), ("DE", "12-345", None)], "c string, i string, n string")
+    assert [r[0] for r in more.select(C.buyer_key(*map(F.col, "cin"))).collect()] == ["BN||DE||FOOBAR", None, None, "BID||DE||12345"]

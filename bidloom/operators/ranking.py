@@ -134,7 +134,7 @@ def grouped_distances(df: DataFrame, case: list[str], groups: list[Group]) -> Da
 
     A criterion is usable in a case if it applies and its norm is not 0. Every model or
     scenario over these groups is then a projection: the windows are computed once."""
-    columns = [x for g in groups for x in g.columns]
+    columns = list(dict.fromkeys(x for g in groups for x in g.columns))
     out = _normed(df, case, columns)
     for g in groups:
         usable = {x: (F.col(f"{x}_n") > 0) & (F.col(g.active[x]) if g.active and x in g.active else F.lit(True)) for x in g.columns}

@@ -100,3 +100,19 @@ def splits(df: DataFrame, date: str, shares: tuple[float, float] = (0.6, 0.8)) -
     at = F.col("_r") / F.col("_n")
     named = ranked.withColumn("split", F.when(at <= shares[0], "train").when(at <= shares[1], "validation").otherwise("test")).select(date, "split")
     return df.join(named, date)
+
+
+def pooled_candidates(cases: DataFrame, context: DataFrame, relation: DataFrame) -> DataFrame:
+    """The pools of all cases, with suppliers that a case cannot tell apart as one row: ``b, c2, n,
+    np, k``, where ``k`` suppliers of context ``c2`` have ``n`` awards in it and ``np`` with buyer ``b``.
+
+    ``cases`` has ``b, c2``, ``context`` ``c2, s, n``, ``relation`` ``b, s, np``. Only the few suppliers
+    a buyer knows differ between cases of one context; all others come from the context's
+    distribution of ``n``, less those. So pairs of cases and suppliers are never formed."""
+    sig = cases.select("b", "c2").distinct()
+    known = sig.join(relation, "b").join(context, ["c2", "s"]).select("b", "c2", "n", "np")
+    few = known.groupBy("b", "c2", "n", "np").agg(F.count("*").alias("k"))
+    taken = few.groupBy("b", "c2", "n").agg(F.sum("k").alias("_t"))
+    spread = context.groupBy("c2", "n").agg(F.count("*").alias("k"))
+    rest = sig.join(spread, "c2").join(taken, ["b", "c2", "n"], "left").withColumn("k", F.col("k") - F.coalesce("_t", F.lit(0))).filter("k > 0")
+    return rest.select("b", "c2", "n", F.lit(0).cast("bigint").alias("np"), "k").unionByName(few)

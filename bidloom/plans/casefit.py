@@ -232,3 +232,57 @@ def evl_10_focus_response(t: Tables) -> DataFrame:
     each = [F.struct(F.lit(m).alias("model"), F.avg(F.when(~c("k_BALANCED") & c(f"k_{m}"), c(f"F_{m}"))).alias("enter"), F.avg(F.when(c("k_BALANCED") & ~c(f"k_{m}"), c(f"F_{m}"))).alias("leave")).alias(m) for m in M.FOCUS]
     per = x.groupBy("sig").agg(*each).select("sig", F.inline(F.array(*M.FOCUS))).filter("enter is not null and leave is not null")
     return targets(t).select("sig").join(per, "sig").groupBy("model").agg(F.count("*").alias("n_cases"), F.round(F.avg("enter"), 6).alias("entering"), F.round(F.avg("leave"), 6).alias("leaving"), F.round(F.avg(c("enter") - c("leave")), 6).alias("response"))
+
+
+_BUYER = M.GROUPS["buyer"]
+
+
+@BOOK.query(_matrix_sql() + "SELECT case_id, s, " + ", ".join(f"round({f}, 9) AS {f}" for f in _BUYER) + " FROM m WHERE prior_buyer_count > 0")
+def rnk_09_buyer_features(t: Tables) -> DataFrame:
+    """The relation of a case's buyer to the suppliers it knows; for all others the three are 0."""
+    known = matrix(t).filter("prior_buyer_count > 0").select("sig", "s", *[F.round(f, 9).alias(f) for f in _BUYER])
+    return targets(t).select("case_id", "sig").join(known, "sig").drop("sig")
+
+
+@BOOK.query(_matrix_sql() + "SELECT case_id, bool_or(on_regime_match_share) AS active, count(*) FILTER (WHERE regime_match_share > 0) AS n_known, round(sum(regime_match_share), 6) AS total, round(max(regime_match_share), 9) AS most FROM m GROUP BY 1")
+def rnk_10_regime_share(t: Tables) -> DataFrame:
+    """How far the suppliers' histories agree with a case's flags, over the flags that it knows."""
+    x = c("regime_match_share")
+    per = matrix(t).groupBy("sig").agg(F.bool_or("on_regime_match_share").alias("active"), F.count_if(x > 0).alias("n_known"), F.round(F.sum(x), 6).alias("total"), F.round(F.max(x), 9).alias("most"))
+    return targets(t).select("case_id", "sig").join(per, "sig").drop("sig")
+
+
+@BOOK.query(_distances_sql() + "SELECT case_id, " + ", ".join(f"bool_or({g}_on) AS {g}_on, round(sum({g}_plus), 8) AS {g}_plus, round(sum({g}_minus), 8) AS {g}_minus" for g in M.GROUPS) + " FROM g GROUP BY 1")
+def rnk_12_masked_distances(t: Tables) -> DataFrame:
+    """The groups' distances with criteria switched off where the case lacks them, summed up per case."""
+    per = distances(t).groupBy("sig").agg(*[e for g in M.GROUPS for e in (F.bool_or(f"{g}_on").alias(f"{g}_on"), F.round(F.sum(f"{g}_plus"), 8).alias(f"{g}_plus"), F.round(F.sum(f"{g}_minus"), 8).alias(f"{g}_minus"))])
+    return targets(t).select("case_id", "sig").join(per, "sig").drop("sig")
+
+
+_SINGLE = {g: {g: 1.0} for g in M.GROUPS}
+
+
+@BOOK.query(_ranks_sql({f"ONLY_{g}": w for g, w in _SINGLE.items()}) + f"SELECT model, {_SUMMARY} FROM rk GROUP BY 1")
+def rnk_14_single_groups(t: Tables) -> DataFrame:
+    """Every group by itself."""
+    return R.summary(winner_records(t, {f"ONLY_{g}": w for g, w in _SINGLE.items()}), ["model"])
+
+
+_CHECKS = ("n_cases", "n_history", "late_history", "repeated_cases", "negative_features", "shares_above_one", "masked_but_positive", "cases_without_pool", "winners_in_pool")
+
+
+@BOOK.query(_matrix_sql() + ", per AS (SELECT t.case_id, count(m.s) AS n, bool_or(m.s = t.winner) AS won FROM t LEFT JOIN m USING (case_id) GROUP BY 1) SELECT unnest(['" + "', '".join(_CHECKS) + "']) AS metric, unnest([(SELECT count(*) FROM t), (SELECT count(*) FROM h), (SELECT count(*) FROM h WHERE d >= (SELECT min(d) FROM t)), (SELECT count(*) - count(DISTINCT case_id) FROM t), (SELECT count(*) FROM m WHERE least(" + ", ".join(M.FEATURES) + ") < 0), (SELECT count(*) FROM m WHERE greatest(context_specialization, buyer_relationship_share, regime_match_share) > 1), (SELECT count(*) FROM m WHERE " + " OR ".join(f"NOT on_{f} AND {f} > 0" for f in M.FEATURES) + "), (SELECT count(*) FROM per WHERE n = 0), (SELECT count(*) FROM per WHERE won)])::DOUBLE AS value")
+def evl_12_checks(t: Tables) -> DataFrame:
+    """A ledger of validations of the whole experiment: each counts what must not be, or what there is."""
+    h, cases, m = history(t), targets(t), matrix(t)
+    bad = m.groupBy("sig").agg(
+        F.count("*").alias("n"), F.count_if(F.least(*M.FEATURES) < 0).alias("negative_features"), F.count_if(F.greatest("context_specialization", "buyer_relationship_share", "regime_match_share") > 1).alias("shares_above_one"),
+        F.count_if(F.greatest(*[F.when(~c(f"on_{f}"), c(f)).otherwise(0.0) for f in M.FEATURES]) > 0).alias("masked_but_positive"))
+    won = m.select("sig", c("s").alias("winner"), F.lit(1).alias("_won"))
+    first = cases.agg(F.min("d")).scalar()
+    per = cases.select("case_id", "sig", "winner").join(bad, "sig", "left").join(won, ["sig", "winner"], "left").agg(
+        F.count("*").cast("double").alias("n_cases"), (F.count("*") - F.count_distinct("case_id")).cast("double").alias("repeated_cases"), *[F.coalesce(F.sum(x), F.lit(0)).cast("double").alias(x) for x in ("negative_features", "shares_above_one", "masked_but_positive")],
+        F.count_if(c("n").isNull()).cast("double").alias("cases_without_pool"), F.count("_won").cast("double").alias("winners_in_pool"))
+    old = h.agg(F.count("*").cast("double").alias("n_history"), F.count_if(c("d") >= first).cast("double").alias("late_history"))
+    long = [x.unpivot([], x.columns, "metric", "value") for x in (per, old)]
+    return long[0].unionByName(long[1])

@@ -267,7 +267,6 @@ def rnk_06_vikor(t: Tables) -> DataFrame:
 
 GROUPS = [R.Group("activity", ("exp", "breadth")), R.Group("recency", ("rec",)), R.Group("special", ("spec",))]
 MODELS = {"m_all": {"activity": 1 / 3, "recency": 1 / 3, "special": 1 / 3}, "m_no_recency": {"activity": 0.5, "special": 0.5}, "m_activity": {"activity": 1.0}}
-SCENARIOS = {"balanced": {"activity": 0.5, "recency": 0.25, "special": 0.25}, "recent": {"activity": 0.35, "recency": 0.45, "special": 0.2}}
 _GD = """, vn AS (SELECT c2, s, """ + ", ".join(f"coalesce({x}_v, 0) AS {x}" for x in BASE) + f""" FROM (SELECT *, {_VN} FROM f)),
 gd AS (SELECT c2, s, (pow(exp - max(exp) OVER w, 2) + pow(breadth - max(breadth) OVER w, 2)) / 4 AS ap, (pow(exp - min(exp) OVER w, 2) + pow(breadth - min(breadth) OVER w, 2)) / 4 AS am,
   pow(rec - max(rec) OVER w, 2) AS rp, pow(rec - min(rec) OVER w, 2) AS rm, pow(spec - max(spec) OVER w, 2) AS sp, pow(spec - min(spec) OVER w, 2) AS sm FROM vn WINDOW w AS (PARTITION BY c2))
@@ -297,18 +296,10 @@ def rnk_16_nested_models(t: Tables) -> DataFrame:
     return out.select("c2", "s", *[F.round(x, 9).alias(x) for x in MODELS])
 
 
-@BOOK.query(_AW + _CTX + _FOUR + _GD + "SELECT c2, s, " + ", ".join((_combined_sql("balanced", 0.5, 0.25, 0.25), _combined_sql("recent", 0.35, 0.45, 0.2))) + " FROM gd")
-def rnk_14_scenarios(t: Tables) -> DataFrame:
-    out = _grouped(t)
-    for name, w in SCENARIOS.items():
-        out = R.combined(out, w, name)
-    return out.select("c2", "s", *[F.round(x, 9).alias(x) for x in SCENARIOS])
-
-
 # cases with buyer features: a pool per case
 
-_CASE = _AW + """, ct AS (SELECT c4, s, count(*) AS n FROM hist GROUP BY 1, 2), rel AS (SELECT b, s, count(*) AS np FROM hist GROUP BY 1, 2),
-cf AS (SELECT case_id, ct.s, winner, ct.n, ln(1 + ct.n) AS exp, ln(1 + coalesce(np, 0)) AS prior FROM tgt JOIN ct USING (c4) LEFT JOIN rel ON rel.b = tgt.b AND rel.s = ct.s),
+_CASE = _AW + """, ct AS (SELECT c2, s, count(*) AS n FROM hist GROUP BY 1, 2), rel AS (SELECT b, s, count(*) AS np FROM hist GROUP BY 1, 2),
+cf AS (SELECT case_id, ct.s, winner, ct.n, ln(1 + ct.n) AS exp, ln(1 + coalesce(np, 0)) AS prior FROM tgt JOIN ct USING (c2) LEFT JOIN rel ON rel.b = tgt.b AND rel.s = ct.s),
 cv AS (SELECT *, coalesce(exp / nullif(sqrt(sum(exp * exp) OVER (PARTITION BY case_id)), 0), 0) AS ev, coalesce(prior / nullif(sqrt(sum(prior * prior) OVER (PARTITION BY case_id)), 0), 0) AS pv FROM cf),
 cd AS (SELECT case_id, s, winner, pow(0.5 * (ev - max(ev) OVER w), 2) + pow(0.5 * (pv - max(pv) OVER w), 2) AS p2, pow(0.5 * (ev - min(ev) OVER w), 2) + pow(0.5 * (pv - min(pv) OVER w), 2) AS m2 FROM cv WINDOW w AS (PARTITION BY case_id)),
 cs AS (SELECT case_id, s, winner, round_even(CASE WHEN sqrt(p2) + sqrt(m2) > 0 THEN sqrt(m2) / (sqrt(p2) + sqrt(m2)) ELSE 0.5 END, 9) AS score FROM cd),
@@ -317,23 +308,24 @@ rec AS (SELECT *, (best + best + ties - 1) / 2.0 AS mid FROM (SELECT case_id, co
 """
 
 
-def case_features(t: Tables) -> DataFrame:
-    """Target cases with the suppliers of their narrowest context, experience and prior relation to the buyer."""
-    h = history(t)
-    known = h.groupBy("c4", "s").agg(F.count("*").alias("n"))
-    rel = X.relationships(h, "b", "s", "d").select(c("buyer").alias("b"), c("supplier").alias("s"), "n_prior")
-    pairs = targets(t).select("case_id", "winner", "b", "c4").join(known, "c4").join(rel, ["b", "s"], "left")
-    return pairs.select("case_id", "s", "winner", F.log1p("n").alias("exp"), F.log1p(F.coalesce("n_prior", F.lit(0))).alias("prior"))
-
-
 def _case_records(t: Tables) -> DataFrame:
-    scored = R.topsis(case_features(t), ["case_id"], {"exp": 0.5, "prior": 0.5}, name="raw").withColumn("score", F.bround("raw", 9))
-    return R.winner_ranks(scored, ["case_id"], "score", c("s") == c("winner"))
-
-
-@BOOK.query(_CASE + "SELECT case_id, s, round(exp, 9) AS exp, round(prior, 9) AS prior FROM cf")
-def rnk_09_buyer_features(t: Tables) -> DataFrame:
-    return case_features(t).select("case_id", "s", F.round("exp", 9).alias("exp"), F.round("prior", 9).alias("prior"))
+    """Every target case's record in its primary pool by TOPSIS over experience and prior relation."""
+    h = history(t)
+    context = h.groupBy("c2", "s").agg(F.count("*").alias("n"))
+    relation = h.groupBy("b", "s").agg(F.count("*").alias("np"))
+    x = X.pooled_candidates(targets(t), context, relation).withColumn("exp", F.log1p("n")).withColumn("prior", F.log1p("np"))
+    w = W.partitionBy("b", "c2")
+    plus = minus = F.lit(0.0)
+    for f in ("exp", "prior"):
+        x = x.withColumn("_n", F.sqrt(F.sum(c("k") * c(f) * c(f)).over(w))).withColumn(f, F.when(c("_n") > 0, c(f) / c("_n")).otherwise(0.0))
+    for f in ("exp", "prior"):
+        plus = plus + F.pow(0.5 * (c(f) - F.max(f).over(w)), F.lit(2))
+        minus = minus + F.pow(0.5 * (c(f) - F.min(f).over(w)), F.lit(2))
+    pools = x.withColumn("score", F.bround(R.closeness(plus, minus), 9)).groupBy("b", "c2").agg(F.sum("k").alias("pool_size"), F.collect_list(F.struct("n", "np", "score", "k")).alias("rows"))  # one row per kind of supplier
+    own = targets(t).select("case_id", "b", "c2", "winner").join(context.withColumnRenamed("s", "winner"), ["c2", "winner"]).join(relation.withColumnRenamed("s", "winner"), ["b", "winner"], "left").withColumn("np", F.coalesce("np", F.lit(0)))
+    at = own.join(pools, ["b", "c2"]).withColumn("own", F.filter("rows", lambda r: (r["n"] == c("n")) & (r["np"] == c("np")))[0]["score"])
+    count = lambda rule: F.aggregate(F.filter("rows", rule), F.lit(0).cast("bigint"), lambda a, r: a + r["k"])
+    return R.case_record(at.select("case_id", "pool_size", (count(lambda r: r["score"] > c("own")) + 1).alias("best"), count(lambda r: r["score"] == c("own")).alias("ties")))
 
 
 @BOOK.query(_CASE + "SELECT case_id, pool_size, best, ties, mid FROM rec")
@@ -357,6 +349,16 @@ def evl_03_random_expectation(t: Tables) -> DataFrame:
     return R.random_expectation(_case_records(t).withColumn("method", F.lit("topsis")), ["method"])
 
 
+@BOOK.query(_CASE + """, h AS (SELECT pool_size, count(*) AS m FROM rec GROUP BY 1), hh AS (SELECT pool_size, m, list_sum([1.0 / i FOR i IN range(1, pool_size + 1)]) / pool_size AS h FROM h),
+a AS (SELECT """ + ", ".join(f"100 * avg((mid <= {k})::INT) AS w{k}" for k in R.CUTS) + ", avg(1.0 / mid) AS mrr FROM rec), b AS (SELECT " + ", ".join(f"100 * sum(m * least(1.0, {k} / pool_size)) / sum(m) AS r{k}" for k in R.CUTS) + ", sum(m * h) / sum(m) AS rr FROM hh) SELECT 'topsis' AS method, " + ", ".join(f"round(w{k} - r{k}, 4) AS gain_at_{k}, round(w{k} / nullif(r{k}, 0), 5) AS lift_at_{k}" for k in R.CUTS) + ", round(mrr - rr, 7) AS gain_mrr, round(mrr / rr, 5) AS lift_mrr FROM a, b")
+def evl_03_lift(t: Tables) -> DataFrame:
+    """What the ranking gains over a random order, as difference and as ratio."""
+    records = _case_records(t).withColumn("method", F.lit("topsis"))
+    x = R.summary(records, ["method"]).join(R.random_expectation(records, ["method"]).drop("n_cases"), "method")
+    gains = [e for k in R.CUTS for e in (F.round(c(f"w_at_{k}") - c(f"random_at_{k}"), 4).alias(f"gain_at_{k}"), F.round(F.try_divide(f"w_at_{k}", f"random_at_{k}"), 5).alias(f"lift_at_{k}"))]
+    return x.select("method", *gains, F.round(c("mrr") - c("random_mrr"), 7).alias("gain_mrr"), F.round(c("mrr") / c("random_mrr"), 5).alias("lift_mrr"))
+
+
 @BOOK.query(_AW + _CTX + _FOUR + _TOP + f""", a AS ({_RANKS.format('n', 'ctx')}), b AS ({_RANKS.format('topsis', '(SELECT c2, s, round_even(topsis, 9) AS topsis FROM tp)')}), m AS (SELECT b.mid - a.mid AS d, 1.0 / a.mid AS ra, 1.0 / b.mid AS rb FROM a JOIN b USING (case_id))
 SELECT count(*) AS n_cases, round(avg(d), 6) AS mean_move, median(d) AS median_move, round(avg(abs(d)), 6) AS mean_abs_move, round(100.0 * count(*) FILTER (WHERE d < 0) / count(*), 6) AS pct_up, round(100.0 * count(*) FILTER (WHERE d = 0) / count(*), 6) AS pct_same,
   round(100.0 * count(*) FILTER (WHERE d > 0) / count(*), 6) AS pct_down, round(avg(rb) - avg(ra), 9) AS delta_mrr FROM m""")
@@ -383,11 +385,21 @@ def evl_07_pool_bins(t: Tables) -> DataFrame:
     return X.bins(_case_records(t), "pool_size").groupBy("bin").agg(F.count("*").alias("n_cases"), F.round(F.avg("reciprocal_rank"), 9).alias("mrr"))
 
 
-@BOOK.query(_CASE + """, g AS (SELECT case_id, EXISTS (SELECT 1 FROM rel WHERE rel.b = tgt.b AND rel.s = tgt.winner) AS prior_buyer FROM tgt) SELECT prior_buyer, count(*) AS n_cases, round(avg(1.0 / mid), 9) AS mrr, median(mid) AS median_rank FROM rec JOIN g USING (case_id) GROUP BY 1""")
+@BOOK.query(_CASE + """, seen AS (SELECT s, count(*) AS n FROM hist GROUP BY 1), g0 AS (SELECT case_id, EXISTS (SELECT 1 FROM rel WHERE rel.b = tgt.b AND rel.s = tgt.winner) AS prior_buyer, seen.n AS seen, s_nationkey <> c_nationkey AS cross_border
+  FROM tgt JOIN seen ON seen.s = tgt.winner JOIN supplier ON s_suppkey = tgt.winner JOIN customer ON c_custkey = tgt.b), g AS (SELECT *, seen <= (SELECT median(seen) FROM g0) AS little_seen FROM g0)
+""" + " UNION ALL ".join(f"SELECT '{x}' AS subgroup, {x} AS member, count(*) AS n_cases, round(avg(1.0 / mid), 9) AS mrr, median(mid) AS median_rank FROM rec JOIN g USING (case_id) GROUP BY 2" for x in ("prior_buyer", "little_seen", "cross_border")))
 def evl_08_subgroups(t: Tables) -> DataFrame:
-    rel = history(t).select("b", c("s").alias("winner"), F.lit(True).alias("_p")).distinct()
-    known = targets(t).join(rel, ["b", "winner"], "left").select("case_id", F.coalesce("_p", F.lit(False)).alias("prior_buyer"))
-    return _case_records(t).join(known, "case_id").groupBy("prior_buyer").agg(F.count("*").alias("n_cases"), F.round(F.avg("reciprocal_rank"), 9).alias("mrr"), F.median("mid").alias("median_rank"))
+    """By three properties of a case: the buyer knew the winner, the winner was seldom seen (at most
+    the median), buyer and winner are of different countries."""
+    h = history(t)
+    rel = h.select("b", c("s").alias("winner"), F.lit(True).alias("_p")).distinct()
+    seen = h.groupBy(c("s").alias("winner")).agg(F.count("*").alias("seen"))
+    x = targets(t).join(seen, "winner").join(rel, ["b", "winner"], "left")
+    x = x.join(t.supplier.select(c("s_suppkey").alias("winner"), "s_nationkey"), "winner").join(t.customer.select(c("c_custkey").alias("b"), "c_nationkey"), "b")
+    x = x.select("case_id", "seen", F.coalesce("_p", F.lit(False)).alias("prior_buyer"), (c("s_nationkey") != c("c_nationkey")).alias("cross_border"))
+    x = x.withColumn("little_seen", c("seen") <= x.agg(F.median("seen")).scalar()).drop("seen")
+    long = x.unpivot(["case_id"], ["prior_buyer", "little_seen", "cross_border"], "subgroup", "member")
+    return _case_records(t).join(long, "case_id").groupBy("subgroup", "member").agg(F.count("*").alias("n_cases"), F.round(F.avg("reciprocal_rank"), 9).alias("mrr"), F.median("mid").alias("median_rank"))
 
 
 @BOOK.query(_AW + _CTX + _FOUR + """, a AS (SELECT c2, s FROM (SELECT c2, s, row_number() OVER (PARTITION BY c2 ORDER BY exp DESC, s) AS k FROM f) WHERE k <= 10), b AS (SELECT c2, s FROM (SELECT c2, s, row_number() OVER (PARTITION BY c2 ORDER BY spec DESC, s) AS k FROM f) WHERE k <= 10)

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from bidloom.functions import cleaning as C
 from bidloom.operators import evaluation as V
+from bidloom.operators import casefit as N
 from bidloom.operators import features as X
 from bidloom.operators import learning as M
 from bidloom.operators import ranking as R
-from bidloom.operators import tables as T
 from bidloom.operators.aggregates import unanimous
+from bidloom.plans import casefit as P
 from bidloom.plans import cleaning as S
 from bidloom.plans import ranking as K
 from bidloom.plans.book import Book, Tables
@@ -103,19 +104,6 @@ def rnk_18_signatures(t: Tables) -> DataFrame:
     return K.targets(t).groupBy("c2", "d").agg(F.count("*").alias("n_cases"), F.count_distinct("winner").alias("n_winners"))
 
 
-_REG = ", ".join(f"avg(({e})::INT) AS {n}" for n, e in (("r", "rf = 'R'"), ("o", "ls = 'O'"), ("u", "pr LIKE '1%'")))
-
-
-@BOOK.query(K._AW + f", p AS (SELECT s, {_REG} FROM hist GROUP BY 1) SELECT case_id, round((CASE WHEN rf = 'R' THEN r ELSE 1 - r END + CASE WHEN ls = 'O' THEN o ELSE 1 - o END + CASE WHEN pr LIKE '1%' THEN u ELSE 1 - u END) / 3, 9) AS regime_share FROM tgt JOIN p ON p.s = tgt.winner")
-def rnk_10_regime_share(t: Tables) -> DataFrame:
-    """How often the winner's history agrees with the case on each flag, averaged."""
-    flags = {"r": c("rf") == "R", "o": c("ls") == "O", "u": c("pr").like("1%")}
-    known = K.history(t).groupBy(c("s").alias("winner")).agg(*[F.avg(e.cast("double")).alias(n) for n, e in flags.items()])
-    x = K.targets(t).join(known, "winner")
-    parts = [F.when(e, c(n)).otherwise(1 - c(n)) for n, e in flags.items()]
-    return x.select("case_id", F.round(sum(parts[1:], parts[0]) / 3, 9).alias("regime_share"))
-
-
 @BOOK.query(K._AW + ", p AS (SELECT c2, median(q) AS m FROM hist GROUP BY 1) SELECT case_id, round(1 - least(abs(m - q) / 100, 1), 9) AS similarity FROM tgt LEFT JOIN p USING (c2)")
 def rnk_11_weight_similarity(t: Tables) -> DataFrame:
     mid = K.history(t).groupBy("c2").agg(F.median("q").alias("m"))
@@ -163,80 +151,68 @@ def srt_04_exact_k(t: Tables) -> DataFrame:
     return per.withColumn("k", F.row_number().over(W.partitionBy("c2").orderBy(F.desc("n"), "s"))).filter("k <= 50").select("c2", "s")
 
 
-# evaluation
-
-@BOOK.query(K._AW + K._CTX + K._FOUR + """, a AS (SELECT c2, s FROM (SELECT c2, s, row_number() OVER (PARTITION BY c2 ORDER BY exp DESC, s) AS k FROM f) WHERE k <= 10), b AS (SELECT c2, s FROM (SELECT c2, s, row_number() OVER (PARTITION BY c2 ORDER BY spec DESC, s) AS k FROM f) WHERE k <= 10),
-x AS (SELECT c2, avg(spec) AS entering FROM (SELECT * FROM b EXCEPT SELECT * FROM a) JOIN f USING (c2, s) GROUP BY 1), y AS (SELECT c2, avg(spec) AS leaving FROM (SELECT * FROM a EXCEPT SELECT * FROM b) JOIN f USING (c2, s) GROUP BY 1) SELECT c2, round(entering - leaving, 9) AS response FROM x JOIN y USING (c2)""")
-def evl_10_responsiveness(t: Tables) -> DataFrame:
-    """Whether the items that enter a top list have more of what the scenario favours than those that leave."""
-    f = K.context_features(t).select("c2", "s", "exp", "spec")
-
-    def top(x: str) -> DataFrame:
-        return f.withColumn("k", F.row_number().over(W.partitionBy("c2").orderBy(F.desc(x), "s"))).filter("k <= 10").select("c2", "s", "spec")
-
-    a, b = top("exp"), top("spec")
-    enter = b.join(a, ["c2", "s"], "left_anti").groupBy("c2").agg(F.avg("spec").alias("e"))
-    leave = a.join(b, ["c2", "s"], "left_anti").groupBy("c2").agg(F.avg("spec").alias("l"))
-    return enter.join(leave, "c2").select("c2", F.round(c("e") - c("l"), 9).alias("response"))
-
-
-def _ablated(t: Tables) -> DataFrame:
-    d = K._grouped(t)
-    for name, w in K.MODELS.items():
-        d = R.combined(d, w, name)
-    return d.withColumns({m: F.bround(m, 9) for m in K.MODELS})
-
+# learned rankers
 
-@BOOK.query(K._AW + K._CTX + K._FOUR + K._GD + ", sc AS (SELECT c2, s, " + ", ".join((K._combined_sql("m_all", 1 / 3, 1 / 3, 1 / 3), K._combined_sql("m_no_recency", 0.5, 0.0, 0.5), K._combined_sql("m_activity", 1.0, 0.0, 0.0))).replace("round(", "round_even(") + " FROM gd) " + " UNION ALL ".join(
-    f"SELECT '{m}' AS model, count(*) AS n_cases, round(avg(1.0 / mid), 7) AS mrr FROM ({K._RANKS.format(m, 'sc')})" for m in ("m_all", "m_no_recency", "m_activity")))
-def evl_11_ablation(t: Tables) -> DataFrame:
-    """All models ranked and evaluated from one computation of the distances, in long form."""
-    long = _ablated(t).unpivot(["c2", "s"], list(K.MODELS), "model", "score")
-    ranked = R.tied_ranks(long, ["model", "c2"], "score").select("model", "c2", c("s").alias("winner"), "mid")
-    return K.targets(t).select("c2", "winner").join(ranked, ["c2", "winner"]).groupBy("model").agg(F.count("*").alias("n_cases"), F.round(F.avg(1.0 / c("mid")), 7).alias("mrr"))
+#: Fixed value: the features of the full model without regime and criteria, fourteen with as many masks.
+FOURTEEN = tuple(dict.fromkeys(x for g in N.MODELS["M3_GEO_BUYER"] for x in N.GROUPS[g]))
+FEATURES = [*FOURTEEN, *(f"{x}_known" for x in FOURTEEN)]
+#: Boosting rounds of the survey (ML-05) and the reference.
+ROUNDS = 180
 
 
-@BOOK.query(K._AW + "SELECT unnest(['n_history', 'n_targets', 'n_overlap_dates', 'n_null_keys']) AS metric, unnest([(SELECT count(*) FROM hist), (SELECT count(*) FROM tgt), (SELECT count(*) FROM hist WHERE d >= DATE '2000-01-01'), (SELECT count(*) FROM aw WHERE case_id IS NULL)])::DOUBLE AS value")
-def evl_12_checks(t: Tables) -> DataFrame:
-    """A ledger of validations from one scan."""
-    early = c("d") < K.CUTOFF
-    return T.ledger(K.awards(t), {"n_history": F.count_if(early), "n_targets": F.count_if(~early), "n_overlap_dates": F.count_if(early & ~early), "n_null_keys": F.count_if(c("case_id").isNull())})
+def _projected(t: Tables) -> DataFrame:
+    """Cases with their full pools: features where they apply, else 0, and whether they do."""
+    masks = {f"{x}_known": c(f"on_{x}").cast("double") for x in FOURTEEN}
+    x = P.matrix(t).select("sig", "s", *[F.when(c(f"on_{x}"), c(x)).otherwise(0.0).alias(x) for x in FOURTEEN], *[e.alias(k) for k, e in masks.items()])
+    return P.targets(t).select("case_id", "sig", "winner", "d").join(x, "sig").drop("sig")
 
 
-# learned rankers
+def _split(t: Tables) -> tuple[DataFrame, DataFrame]:
+    dated = X.splits(_projected(t), "d")
+    held = dated.filter("split = 'train'").withColumn("_won", F.max((c("s") == c("winner")).cast("int")).over(W.partitionBy("case_id"))).filter("_won = 1").drop("_won")
+    return M.training_rows(held, "case_id", "s", "winner", "cpv2_experience"), dated
 
-def _training(t: Tables) -> tuple[DataFrame, DataFrame]:
-    x = M.with_masks(K.case_features(t), ["exp", "prior"])
-    dated = X.splits(x.join(K.targets(t).select("case_id", "d"), "case_id"), "d")
-    train = M.training_rows(dated.filter("split = 'train'"), "case_id", "s", "winner", "exp")
-    return train, dated.filter("split = 'test'")
 
-
-FEATURES = ["exp", "prior", "exp_known", "prior_known"]
-#: Boosting rounds of the survey (ML-05) and the reference.
-ROUNDS = 180
+@BOOK.query(P._matrix_sql() + "SELECT case_id, count(*) AS n, " + ", ".join(f"round(sum(CASE WHEN on_{x} THEN {x} ELSE 0 END), 6) AS {x}, sum(on_{x}::INT)::DOUBLE AS {x}_known" for x in FOURTEEN) + " FROM m GROUP BY 1")
+def ml_03_projection(t: Tables) -> DataFrame:
+    return _projected(t).groupBy("case_id").agg(F.count("*").alias("n"), *[F.round(F.sum(x), 6).alias(x) for x in FEATURES])
 
 
 @BOOK.query()
 def ml_02_training_rows(t: Tables) -> DataFrame:
     """Winners, hard negatives and random negatives of the training cases."""
-    return _training(t)[0].select("case_id", "s", "label", "weight")
+    return _split(t)[0].select("case_id", "s", "label", "weight")
+
+
+def _evaluated(model, dated: DataFrame, method: str) -> DataFrame:
+    """Full pools of the validation and test cases, scored and ranked."""
+    s = M.scored(model, dated.filter("split <> 'train'"))
+    ranks = R.winner_ranks(s, ["split", "case_id"], "score", c("s") == c("winner"))
+    return R.summary(ranks.withColumn("method", F.lit(method)), ["method", "split"])
 
 
 @BOOK.query()
 def ml_04_logistic(t: Tables) -> DataFrame:
-    """A logistic ranker fitted on the training dates, evaluated on the test dates' full pools."""
-    train, test = _training(t)
-    s = M.scored(M.fit_logistic(train, FEATURES), test)
-    return R.summary(R.winner_ranks(s, ["case_id"], "score", c("s") == c("winner")).withColumn("method", F.lit("logistic")), ["method"])
+    """A logistic ranker fitted on the training dates, evaluated on the later dates' full pools."""
+    train, dated = _split(t)
+    return _evaluated(M.fit_logistic(train, FEATURES), dated, "logistic")
 
 
 @BOOK.query()
 def ml_05_boosted(t: Tables) -> DataFrame:
     """The same with boosted trees."""
-    train, test = _training(t)
-    s = M.scored(M.fit_boosted(train, FEATURES, rounds=ROUNDS, depth=5), test)
-    return R.summary(R.winner_ranks(s, ["case_id"], "score", c("s") == c("winner")).withColumn("method", F.lit("boosted")), ["method"])
+    train, dated = _split(t)
+    return _evaluated(M.fit_boosted(train, FEATURES, rounds=ROUNDS, depth=5), dated, "boosted")
+
+
+@BOOK.query(P._matrix_sql() + """, ds AS (SELECT d, row_number() OVER (ORDER BY d) / count(*) OVER () AS p FROM (SELECT DISTINCT d FROM t)), x AS (SELECT CASE WHEN p <= 0.6 THEN 'train' WHEN p <= 0.8 THEN 'validation' ELSE 'test' END AS split, case_id, m.s, m.winner, round_even(m.cpv2_experience, 9) AS score FROM m JOIN t USING (case_id) JOIN ds USING (d)),
+o AS (SELECT *, max(score) FILTER (WHERE s = winner) OVER (PARTITION BY case_id) AS own FROM x WHERE split <> 'train'), rec AS (SELECT *, (best + best + ties - 1) / 2.0 AS mid FROM (SELECT split, case_id, count(*) AS pool_size, count(*) FILTER (WHERE score > own) + 1 AS best, count(*) FILTER (WHERE score = own) AS ties FROM o WHERE own IS NOT NULL GROUP BY 1, 2))
+SELECT 'experience' AS method, split, """ + P._SUMMARY + " FROM rec GROUP BY split")
+def ml_06_full_pools(t: Tables) -> DataFrame:
+    """The evaluation of the learned rankers on full pools, for a score that needs no fit."""
+    dated = X.splits(_projected(t), "d").filter("split <> 'train'").withColumn("score", F.bround("cpv2_experience", 9))
+    ranks = R.winner_ranks(dated, ["split", "case_id"], "score", c("s") == c("winner"))
+    return R.summary(ranks.withColumn("method", F.lit("experience")), ["method", "split"])
 
 
 # scoring of extractions

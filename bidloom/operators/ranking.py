@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -194,27 +197,23 @@ def rank_correlation(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 
 
 def bootstrap(records: DataFrame, by: list[str], resamples: int = 300, seed: int = 42) -> DataFrame:
-    """Percentile intervals of hits at ten and mean reciprocal rank by the Poisson bootstrap.
-
-    Every case draws a Poisson(1) weight per resample from its key, so a resample is one
-    weighted aggregate with map-side combining and no case is ever moved. Records are first
-    reduced to (by, mid): equal ranks share one row, whose weight is a Poisson of its count,
-    approximated by a normal above 50 (the sum of that many Poisson(1) draws)."""
-    hist = records.groupBy(*by, "mid").agg(F.count("*").alias("_m"), F.max("reciprocal_rank").alias("_rr"), F.max(F.col("at_10").cast("int")).alias("_hit"))
-    draws = hist.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-
-    def uniform(salt: int) -> Column:
-        return (F.pmod(F.xxhash64(*[F.col(x).cast("string") for x in by], F.col("mid"), F.col("_b"), F.lit(seed + salt)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-
-    u = uniform(0)
-    lam = F.col("_m").cast("double")
-    normal = F.sqrt(-2 * F.log(u)) * F.cos(2 * F.lit(3.141592653589793) * uniform(1))
-    small = F.aggregate(F.sequence(F.lit(0), F.lit(120)), F.struct(F.exp(-lam).alias("p"), F.exp(-lam).alias("cum"), F.lit(0.0).alias("k")),
-                        lambda a, i: F.struct((a["p"] * lam / (i + 1)).alias("p"), (a["cum"] + a["p"] * lam / (i + 1)).alias("cum"), (a["k"] + F.when(a["cum"] < u, 1.0).otherwise(0.0)).alias("k")), lambda a: a["k"])
-    w = F.when(F.col("_m") <= 50, small).otherwise(F.greatest(F.lit(0.0), F.round(lam + F.sqrt(lam) * normal)))
-    per = draws.withColumn("_w", w).groupBy(*by, "_b").agg((100 * F.sum(F.col("_w") * F.col("_hit")) / F.nullif(F.sum("_w"), F.lit(0.0))).alias("hit"), (F.sum(F.col("_w") * F.col("_rr")) / F.nullif(F.sum("_w"), F.lit(0.0))).alias("mrr"))
-    bounds = [F.percentile(m, q).alias(f"{m}_{label}") for m in ("hit", "mrr") for q, label in ((0.025, "lo"), (0.975, "hi"))]
-    return per.groupBy(*by).agg(F.count("*").alias("resamples"), *bounds)
+    """Percentile intervals of hits at ten and mean reciprocal rank over ``resamples`` resamples.
+
+    Records of one rank are alike, so they are first counted per (``by``, ``mid``); drawing the
+    cases anew, with replacement, is then one multinomial draw over these counts, exactly. What
+    a task holds of a group is its distinct ranks, at most twice its largest pool, not its cases."""
+    ranks = records.groupBy(*by, "mid").agg(F.count("*").alias("_m"), F.max("reciprocal_rank").alias("_rr"), F.max(F.col("at_10").cast("int")).alias("_hit"))
+
+    def drawn(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("mid")
+        m, rr, hit = (pdf[x].to_numpy(dtype=float) for x in ("_m", "_rr", "_hit"))
+        n, rng = int(m.sum()), np.random.default_rng([seed, zlib.crc32("|".join(str(pdf[x].iloc[0]) for x in by).encode())])
+        got = np.array([(100 * w @ hit / n, w @ rr / n) for w in (rng.multinomial(n, m / n) for _ in range(resamples))])
+        lo, hi = np.quantile(got, [0.025, 0.975], axis=0)
+        return pd.DataFrame([[*(pdf[x].iloc[0] for x in by), resamples, lo[0], hi[0], lo[1], hi[1]]], columns=[*by, "resamples", "hit_lo", "hit_hi", "mrr_lo", "mrr_hi"])
+
+    kinds = ", ".join(f"`{x}` {records.schema[x].dataType.simpleString()}" for x in by)
+    return ranks.groupBy(*by).applyInPandas(drawn, f"{kinds}, resamples bigint, hit_lo double, hit_hi double, mrr_lo double, mrr_hi double")
 
 
 def overlap_at(a: DataFrame, b: DataFrame, case: list[str], item: str, score: str, k: int) -> DataFrame:

@@ -109,19 +109,13 @@ def pool_07_firewall(t: Tables) -> DataFrame:
     return X.temporal_firewall(history(t), targets(t), "d")
 
 
-@BOOK.query(_ACT + "SELECT a.case_id, count(*) AS n_pairs, sum(e.n_awards) AS n_awards FROM asg a JOIN elig e USING (pool, context) WHERE pool = 'C4_MIN1' GROUP BY 1")
-def jon_11_case_pool(t: Tables) -> DataFrame:
-    """The pairs of cases and eligible suppliers, aggregated as they are formed."""
-    four = [p for p in POOLS if p.name == "C4_MIN1"]
-    pairs = X.assignments(targets(t), "case_id", LEVELS, four).join(X.eligibility(activity(t), four), ["pool", "context"])
-    return pairs.groupBy("case_id").agg(F.count("*").alias("n_pairs"), F.sum("n_awards").alias("n_awards"))
-
-
 @BOOK.query(_ACT + "SELECT a.case_id, pool, count(*) AS n_pairs, sum(e.n_awards) AS n_awards FROM asg a JOIN elig e USING (pool, context) GROUP BY 1, 2")
-def jon_11_all_pools(t: Tables) -> DataFrame:
-    """The same over all pools, the primary one among them: every pair is formed."""
-    pairs = X.assignments(targets(t), "case_id", LEVELS, POOLS).join(X.eligibility(activity(t), POOLS), ["pool", "context"])
-    return pairs.groupBy("case_id", "pool").agg(F.count("*").alias("n_pairs"), F.sum("n_awards").alias("n_awards"))
+def jon_11_case_pool(t: Tables) -> DataFrame:
+    """The pairs of cases and eligible suppliers over all pools, aggregated. What is asked of a
+    pool depends on its context only, so it is aggregated per context and joined to the cases:
+    the pairs themselves are never formed."""
+    per = X.eligibility(activity(t), POOLS).groupBy("pool", "context").agg(F.count("*").alias("n_pairs"), F.sum("n_awards").alias("n_awards"))
+    return X.assignments(targets(t), "case_id", LEVELS, POOLS).join(per, ["pool", "context"]).select("case_id", "pool", "n_pairs", "n_awards")
 
 
 # features

@@ -35,23 +35,22 @@ def read_header(spark: SparkSession, path: str, sep: str) -> list[str]:
 
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None, columns: list[str] | None = None) -> DataFrame:
     """A delimited file with every column a string. Short rows are padded with null; a row
-    with too many fields makes the read fail (``reject_corrupt``) or can be looked at in
-    ``_corrupt_record``. ``columns`` demands these names in this order."""
+    with too many fields stands in ``_corrupt_record`` as it is, to be looked at or to make the
+    read fail (``reject_corrupt``). ``columns`` demands these names in this order."""
     sep = sep or sniff_delimiter(spark, path)
     header = read_header(spark, path, sep)
     if columns is not None and header != list(columns):
         raise ContractError("the header differs from the schema in name or order")
     schema = T.StructType([*(T.StructField(c, T.StringType()) for c in header), T.StructField(CORRUPT, T.StringType())])
-    return spark.read.csv(path, schema=schema, sep=sep, header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, encoding="UTF-8")
+    rows = spark.read.csv(path, schema=schema, sep=sep, header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, encoding="UTF-8")
+    bare = F.regexp_replace(CORRUPT, '"([^"]|"")*"', "")  # fields are counted by the delimiters outside quotes
+    many = (F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit("")))) / len(sep) + 1 > len(header)
+    return rows.withColumn(CORRUPT, F.when(many, F.col(CORRUPT)))
 
 
 def reject_corrupt(df: DataFrame) -> DataFrame:
-    """``df`` without the corrupt column, failing while it runs if a row has too many fields.
-
-    Short rows are corrupt to the reader too; they are told from overlong ones by their last
-    column, which the reader leaves null."""
-    last = [c for c in df.columns if c != CORRUPT][-1]
-    bad = F.col(CORRUPT).isNotNull() & F.col(last).isNotNull()
+    """``df`` without the corrupt column, failing while it runs if a row has too many fields."""
+    bad = F.col(CORRUPT).isNotNull()
     return df.filter(F.when(bad, F.raise_error(F.concat(F.lit("a row has too many fields: "), F.substring(CORRUPT, 1, 200))).cast("boolean")).otherwise(True)).drop(CORRUPT)
 
 
@@ -93,8 +92,24 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
 
 
 def write_csv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
-    """A report as one CSV file with a header; for summaries of bounded size."""
-    (df.orderBy(*order) if order else df).coalesce(1).write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+    """A report as CSV files with headers, replacing what is there; in order over the files where ``order`` is given."""
+    (df.orderBy(*order) if order else df).write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+
+
+def write_or_degrade(df: DataFrame, path: str) -> str:
+    """Parquet where every type can be written so, else CSV with what cannot as text; the format it became."""
+    plain = {f.name for f in df.schema if f.dataType.typeName() in ("daytimeinterval", "yearmonthinterval", "interval", "void", "variant")}
+    if not plain:
+        write_parquet(df, path)
+        return "parquet"
+    nested = {f.name for f in df.schema if f.dataType.typeName() in ("array", "map", "struct")}
+    write_csv(df.select(*[(F.to_json(c) if c in nested else F.col(c).cast("string")).alias(c) if c in plain | nested else F.col(c) for c in df.columns]), path)
+    return "csv"
+
+
+def append_log(df: DataFrame, path: str) -> None:
+    """Adds the rows to a log of JSON lines; what it holds is never rewritten."""
+    df.write.mode("append").json(path)
 
 
 def sha256(path: str) -> str:
@@ -105,14 +120,19 @@ def sha256(path: str) -> str:
     return h.hexdigest()
 
 
-def write_report(path: str, title: str, sections: dict[str, DataFrame], facts: dict | None = None, most: int = 50) -> None:
-    """A Markdown report of small tables, with its facts as JSON beside it."""
+def report_text(title: str, sections: dict[str, DataFrame], most: int = 1000) -> str:
+    """A Markdown report of small tables. A table of more than ``most`` rows is no summary: it is refused, not cut."""
     out = [f"# {title}", ""]
     for name, df in sections.items():
-        rows = df.limit(most).collect()
+        rows = df.limit(most + 1).collect()
+        if len(rows) > most:
+            raise ContractError(f"{name} has more than {most} rows")
         out += [f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *("| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in r) + " |" for r in rows), ""]
-    Path(path).write_text("\n".join(out), encoding="utf-8")
-    if facts is not None:
-        Path(path).with_suffix(".json").write_text(json.dumps(facts, indent=2, sort_keys=True, default=str), encoding="utf-8")
+    return "\n".join(out)
 
 
+def write_report(path: str, title: str, sections: dict[str, DataFrame], facts: dict | None = None, most: int = 1000) -> None:
+    """``report_text`` as a file of the driver, with its facts as JSON beside it."""
+    Path(path).write_text(report_text(title, sections, most), encoding="utf-8")
+    if facts is not None:
+        Path(path).with_suffix(".json").write_text(json.dumps(facts, indent=2, sort_keys=True, default=str), encoding="utf-8")

@@ -31,10 +31,34 @@ def working_folder(spark: SparkSession) -> str:
     return folder
 
 
+def own_folder(spark: SparkSession) -> str:
+    """Where this application keeps its tables: a folder of its own in the working folder."""
+    return f"{working_folder(spark).rstrip('/')}/bidloom/{spark.sparkContext.applicationId}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back: later stages neither
     recompute it nor depend on the executors that made it."""
     spark = df.sparkSession
-    path = f"{working_folder(spark).rstrip('/')}/bidloom/{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{uuid.uuid4().hex}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the tables of ``cut`` frames of which what was made is itself written: nothing reads them again."""
+    for df in frames:
+        if path := getattr(df, "cut_path", None):
+            _delete(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all working tables of this application; results not yet written elsewhere are lost with them."""
+    _delete(spark, own_folder(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -14,7 +14,7 @@ def test_rounds_of_the_survey(monkeypatch):
         asked.update(rounds=rounds, step=step, depth=depth)
         raise Fitted
 
-    monkeypatch.setattr(ranking_more, "_training", lambda t: (None, None))
+    monkeypatch.setattr(ranking_more, "_split", lambda t: (None, None))
     monkeypatch.setattr(ranking_more.M, "fit_boosted", fit)
     with pytest.raises(Fitted):
         ranking_more.QUERIES["ml_05_boosted"](None, "")

@@ -15,5 +15,5 @@ def test_pairs_of_all_pools(spark, tmp_path):
         ("lineitem", lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_discount double, l_quantity double, l_returnflag string, l_linestatus string"),
     ):
         spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
-    got = {(r.case_id, r.pool): (r.n_pairs, r.n_awards) for r in entry.queries()["jon_11_all_pools"](spark, str(tmp_path)).collect()}
+    got = {(r.case_id, r.pool): (r.n_pairs, r.n_awards) for r in entry.queries()["jon_11_case_pool"](spark, str(tmp_path)).collect()}
     assert got == {("9||1", "C2_MIN1"): (3, 4), ("9||1", "C3_MIN1"): (2, 3), ("9||1", "C4_MIN1"): (1, 2), ("9||1", "C2_MIN2"): (1, 2)}

@@ -17,9 +17,10 @@ def test_delimited(spark, tmp_path):
     with pytest.raises(ContractError):
         files.read_delimited(spark, str(p), ";", ["NAME", "K", "LAST"])
     long = tmp_path / "long.csv"
-    long.write_text("a,b\n1,2,3\n")
-    with pytest.raises(Exception, match="too many fields"):
-        files.reject_corrupt(files.read_delimited(spark, str(long), ",")).collect()
+    for row in ("1,2,3", "1,,3", "1,,", '"x,y",,""'):
+        long.write_text(f"a,b\n1,2\n{row}\n")
+        with pytest.raises(Exception, match="too many fields"):
+            files.reject_corrupt(files.read_delimited(spark, str(long), ",")).collect()
     empty = tmp_path / "empty.txt"
     empty.write_text("")
     assert files.sniff_delimiter(spark, str(empty)) == "\t" and files.read_header(spark, str(empty), "\t") == []
@@ -35,12 +36,15 @@ def test_round_trips(spark, tmp_path):
     files.write_csv(df, str(tmp_path / "r"), ["k"])
     back = spark.read.csv(str(tmp_path / "r"), header=True, quote='"', escape='"').collect()
     assert [r.s for r in back] == ["a,b", 'q"x']
-    part = next((tmp_path / "r").glob("*.csv"))
-    part.rename(tmp_path / "r.csv")
+    (tmp_path / "r.csv").write_text("".join(x.read_text() if i == 0 else "".join(x.read_text().splitlines(True)[1:]) for i, x in enumerate(sorted((tmp_path / "r").glob("*.csv")))))
     kinds = {r.column_name: r.agree for r in files.inferred_types(spark, {"one": str(tmp_path / "r.csv"), "two": str(tmp_path / "r.csv")}).collect()}
     assert kinds == {"k": True, "s": True, "d": True}
     assert len(files.sha256(str(tmp_path / "r.csv"))) == 64
     files.write_report(str(tmp_path / "r.md"), "T", {"rows": df}, {"n": 2})
+    with pytest.raises(ContractError):
+        files.write_report(str(tmp_path / "s.md"), "T", {"rows": df}, most=1)
+    assert files.write_or_degrade(df, str(tmp_path / "d1")) == "parquet"
+    assert files.write_or_degrade(df.selectExpr("k", "interval 1 day as i", "array(s) as a"), str(tmp_path / "d2")) == "csv" and spark.read.csv(str(tmp_path / "d2"), header=True).count() == 2
     assert "| 1 | a,b |  |" in (tmp_path / "r.md").read_text() and json.loads((tmp_path / "r.json").read_text()) == {"n": 2}
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from bidloom.llm.names import Name, block_keys, deletions
 from bidloom.llm.text import fold, mend
 from bidloom.llm.variants import LIST, parsed_names
-from bidloom.sources.tables import cut
+from bidloom.sources.tables import cut, discard
 
 #: Notations of countries, and words beside a town's name.
 COUNTRIES = {
@@ -150,6 +150,7 @@ def match_entities(left: DataFrame, right: DataFrame, left_id: str, right_id: st
     open_ = left.select(F.col(left_id).alias("l_id"), "n", *PASSED, "form", "name").withColumn("truth", F.lit(None).cast(right.schema[right_id].dataType)).withColumn("done", F.lit(False))
     found: list[DataFrame] = []
     links: DataFrame | None = None
+    held: DataFrame | None = None
     for k, rule in enumerate(rules):
         kind = next((x for x in rule.keys if x in KINDS), None)
         plain = [x for x in rule.keys if x not in KINDS]
@@ -183,7 +184,10 @@ def match_entities(left: DataFrame, right: DataFrame, left_id: str, right_id: st
         elif k + 1 < len(rules):
             open_ = open_.join(one.filter("r_id is not null").select("l_id").hint("merge"), "l_id", "left_anti")
         if k + 1 < len(rules):
-            open_ = cut(open_)
+            before, held = held, cut(open_)
+            open_ = held
+            if before is not None:
+                discard(before)
     every = reduce(DataFrame.unionByName, found)
     report, confidence = _report(spark, every, rules)
     matched = every.filter("r_id is not null and not done").withColumn("rule", F.element_at(F.array(*[F.lit(x.name) for x in rules]), F.col("rule_no") + 1))

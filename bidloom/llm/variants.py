@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
 from bidloom.llm.names import COST, LINKS, Name, Vocabulary, block_keys, channel, parse, split_name
-from bidloom.sources.tables import cut
+from bidloom.sources.tables import cut, discard
 
 #: A word is established if this share of the distinct names hold it, and in so many of these a rarer word stands beside it.
 SHARE, MOST = 0.001, 0.8
@@ -150,12 +150,15 @@ def variant_classes(names: DataFrame, count_links: bool = False) -> DataFrame:
 def _ends(links: DataFrame) -> DataFrame:
     """Each form's last in its chain: the chains are followed twice as far each round, so
     rounds grow with the logarithm of the longest."""
+    held = None
     while True:
         onward = links.select(F.col("form").alias("of"), F.col("of").alias("further"))
-        links = cut(links.join(onward.hint("merge"), "of", "left").select("form", F.coalesce("further", "of").alias("of"), F.col("further").isNotNull().alias("moved")))
-        if links.filter("moved").isEmpty():
-            return links.select("form", "of")
-        links = links.select("form", "of")
+        moved = cut(links.join(onward.hint("merge"), "of", "left").select("form", F.coalesce("further", "of").alias("of"), F.col("further").isNotNull().alias("moved")))
+        if held is not None:
+            discard(held)
+        held, links = moved, moved.select("form", "of")
+        if moved.filter("moved").isEmpty():
+            return links
 
 
 def variant_pairs(classes: DataFrame) -> DataFrame:

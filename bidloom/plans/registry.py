@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from bidloom.plans import casefit, cleaning, data_problems, entities, ranking, ranking_more, relational, storage
+from bidloom.plans import casefit, cleaning, data_problems, entities, notices, ranking, ranking_more, relational, storage
 
-MODULES = (data_problems, cleaning, relational, ranking, ranking_more, casefit, entities, storage)
+MODULES = (data_problems, cleaning, relational, ranking, ranking_more, casefit, entities, notices, storage)
 FLAGSHIP = ranking.QUERIES["rnk_02_frequency"]
 
 

@@ -56,31 +56,41 @@ def summary(records: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def min_max(df: DataFrame, case: list[str], columns: list[str]) -> DataFrame:
-    """Each column scaled to 0..1 within its case as ``<c>_mm``; a constant column is 0."""
+def _with_stats(df: DataFrame, case: list[str], stats: dict[str, Column], spread: bool) -> DataFrame:
+    """``df`` with aggregates over each case as columns: by one window, or, where a case may hold
+    a large share of all rows (``spread``), aggregated map-side and joined back."""
+    if spread:
+        return df.join(df.groupBy(*case).agg(*[e.alias(k) for k, e in stats.items()]), case)
     w = Window.partitionBy(*case)
-    for x in columns:
-        lo, hi = F.min(x).over(w), F.max(x).over(w)
-        df = df.withColumn(f"{x}_mm", F.when(hi > lo, (F.col(x) - lo) / (hi - lo)).otherwise(0.0))
-    return df
+    return df.withColumns({k: e.over(w) for k, e in stats.items()})
+
 
+def min_max(df: DataFrame, case: list[str], columns: list[str], spread: bool = False) -> DataFrame:
+    """Each column scaled to 0..1 within its case as ``<c>_mm``; a constant column is 0."""
+    out = _with_stats(df, case, {k: e for x in columns for k, e in ((f"_lo_{x}", F.min(x)), (f"_hi_{x}", F.max(x)))}, spread)
+    lo, hi = (lambda x: F.col(f"_lo_{x}")), (lambda x: F.col(f"_hi_{x}"))
+    scaled = {f"{x}_mm": F.when(hi(x) > lo(x), (F.col(x) - lo(x)) / (hi(x) - lo(x))).otherwise(0.0) for x in columns}
+    return out.withColumns(scaled).drop(*[f"{k}_{x}" for x in columns for k in ("_lo", "_hi")])
 
-def weighted_sum(df: DataFrame, case: list[str], columns: list[str], name: str = "wsm") -> DataFrame:
+
+def weighted_sum(df: DataFrame, case: list[str], columns: list[str], name: str = "wsm", spread: bool = False) -> DataFrame:
     """The mean of the min-max scaled columns."""
-    out = min_max(df, case, columns)
+    out = min_max(df, case, columns, spread)
     return out.withColumn(name, sum((F.col(f"{x}_mm") for x in columns), F.lit(0.0)) / len(columns)).drop(*[f"{x}_mm" for x in columns])
 
 
-def _normed(df: DataFrame, case: list[str], columns: list[str]) -> DataFrame:
-    """Vector-normalised columns ``<c>_v`` (0 where the norm is 0), their norm, greatest and least."""
-    w = Window.partitionBy(*case)
-    for x in columns:
-        df = df.withColumn(f"{x}_n", F.sqrt(F.sum(F.col(x) * F.col(x)).over(w)))
-    for x in columns:
-        df = df.withColumn(f"{x}_v", F.when(F.col(f"{x}_n") > 0, F.col(x) / F.col(f"{x}_n")).otherwise(0.0))
-    for x in columns:
-        df = df.withColumn(f"{x}_hi", F.max(f"{x}_v").over(w)).withColumn(f"{x}_lo", F.min(f"{x}_v").over(w))
-    return df
+def _normed(df: DataFrame, case: list[str], columns: list[str], spread: bool = False) -> DataFrame:
+    """Vector-normalised columns ``<c>_v`` (0 where the norm is 0), their norm, greatest and least.
+
+    Dividing by a norm keeps the order, so all statistics come from one pass over the case."""
+    stats = {k: e for x in columns for k, e in ((f"{x}_n", F.sqrt(F.sum(F.col(x) * F.col(x)))), (f"{x}_hi", F.max(x)), (f"{x}_lo", F.min(x)))}
+    if not spread:  # a window takes plain aggregates only
+        stats |= {f"{x}_n": F.sum(F.col(x) * F.col(x)) for x in columns}
+    out = _with_stats(df, case, stats, spread)
+    if not spread:
+        out = out.withColumns({f"{x}_n": F.sqrt(f"{x}_n") for x in columns})
+    by = lambda x, c: F.when(F.col(f"{x}_n") > 0, F.col(c) / F.col(f"{x}_n")).otherwise(0.0)
+    return out.withColumns({k: by(x, c) for x in columns for k, c in ((f"{x}_v", x), (f"{x}_hi", f"{x}_hi"), (f"{x}_lo", f"{x}_lo"))})
 
 
 def _helpers(columns: list[str]) -> list[str]:
@@ -93,10 +103,10 @@ def closeness(plus2: Column, minus2: Column) -> Column:
     return F.when(p + m > 0, m / (p + m)).otherwise(0.5)
 
 
-def topsis(df: DataFrame, case: list[str], weights: dict[str, float], costs: tuple[str, ...] = (), name: str = "topsis") -> DataFrame:
+def topsis(df: DataFrame, case: list[str], weights: dict[str, float], costs: tuple[str, ...] = (), name: str = "topsis", spread: bool = False) -> DataFrame:
     """TOPSIS closeness within each case; columns in ``costs`` are better when less."""
     columns = list(weights)
-    out = _normed(df, case, columns)
+    out = _normed(df, case, columns, spread)
     plus = minus = F.lit(0.0)
     for x, w in weights.items():
         best, worst = (f"{x}_lo", f"{x}_hi") if x in costs else (f"{x}_hi", f"{x}_lo")
@@ -105,21 +115,15 @@ def topsis(df: DataFrame, case: list[str], weights: dict[str, float], costs: tup
     return out.withColumn(name, closeness(plus, minus)).drop(*_helpers(columns))
 
 
-def vikor(df: DataFrame, case: list[str], weights: dict[str, float], v: float = 0.5, name: str = "vikor") -> DataFrame:
+def vikor(df: DataFrame, case: list[str], weights: dict[str, float], v: float = 0.5, name: str = "vikor", spread: bool = False) -> DataFrame:
     """VIKOR's Q within each case, less is better; degenerate spans count 0."""
-    w = Window.partitionBy(*case)
-    regrets = []
-    for x, wt in weights.items():
-        hi, lo = F.max(x).over(w), F.min(x).over(w)
-        df = df.withColumn(f"{x}_r", F.when(hi > lo, wt * (hi - F.col(x)) / (hi - lo)).otherwise(0.0))
-        regrets.append(F.col(f"{x}_r"))
-    df = df.withColumn("_s", sum(regrets, F.lit(0.0))).withColumn("_r", F.greatest(*regrets) if len(regrets) > 1 else regrets[0])
-
-    def scaled(c: str) -> Column:
-        lo, hi = F.min(c).over(w), F.max(c).over(w)
-        return F.when(hi > lo, (F.col(c) - lo) / (hi - lo)).otherwise(0.0)
-
-    return df.withColumn(name, v * scaled("_s") + (1 - v) * scaled("_r")).drop("_s", "_r", *[f"{x}_r" for x in weights])
+    columns = list(weights)
+    scaled = min_max(df, case, columns, spread)  # the regret is what is missing to the best; none where all are the same
+    span = _with_stats(scaled, case, {f"_top_{x}": F.max(f"{x}_mm") for x in columns}, spread)
+    regrets = [F.when(F.col(f"_top_{x}") > 0, w * (1 - F.col(f"{x}_mm"))).otherwise(0.0) for x, w in weights.items()]
+    out = span.withColumn("_s", sum(regrets, F.lit(0.0))).withColumn("_r", F.greatest(*regrets) if len(regrets) > 1 else regrets[0])
+    out = min_max(out.drop(*[f"_top_{x}" for x in columns], *[f"{x}_mm" for x in columns]), case, ["_s", "_r"], spread)
+    return out.withColumn(name, v * F.col("_s_mm") + (1 - v) * F.col("_r_mm")).drop("_s", "_r", "_s_mm", "_r_mm")
 
 
 @dataclass(frozen=True)
@@ -131,14 +135,14 @@ class Group:
     active: dict[str, str] | None = None
 
 
-def grouped_distances(df: DataFrame, case: list[str], groups: list[Group]) -> DataFrame:
+def grouped_distances(df: DataFrame, case: list[str], groups: list[Group], spread: bool = False) -> DataFrame:
     """Per group its squared distances to the ideal and anti-ideal, ``<g>_plus`` and ``<g>_minus``
     (divided by the square of its usable criteria), and ``<g>_on``: whether it has any.
 
     A criterion is usable in a case if it applies and its norm is not 0. Every model or
     scenario over these groups is then a projection: the windows are computed once."""
     columns = list(dict.fromkeys(x for g in groups for x in g.columns))
-    out = _normed(df, case, columns)
+    out = _normed(df, case, columns, spread)
     for g in groups:
         usable = {x: (F.col(f"{x}_n") > 0) & (F.col(g.active[x]) if g.active and x in g.active else F.lit(True)) for x in g.columns}
         m = sum((u.cast("int") for u in usable.values()), F.lit(0))

@@ -197,7 +197,7 @@ _STABLE = _ranks_sql(M.SCENARIOS) + ", mr AS (SELECT case_id, " + ", ".join(f"(2
 _CORR = "CASE WHEN stddev_pop({0}) > 0 AND stddev_pop({1}) > 0 THEN corr({0}, {1}) WHEN stddev_pop({0}) > 0 OR stddev_pop({1}) > 0 THEN 0 ELSE 1 END"
 
 
-@BOOK.query(_STABLE + " SELECT model, round(avg(pearson), 6) AS pearson, round(avg(spearman), 6) AS spearman, round(avg(o10), 6) AS overlap_10, round(avg(o50), 6) AS overlap_50, count(*) AS n_cases FROM (" + " UNION ALL ".join(
+@BOOK.query(_STABLE + " SELECT model, round(avg(pearson), 5) AS pearson, round(avg(spearman), 5) AS spearman, round(avg(o10), 5) AS overlap_10, round(avg(o50), 5) AS overlap_50, count(*) AS n_cases FROM (" + " UNION ALL ".join(
     f"""SELECT * FROM (SELECT case_id, '{m}' AS model, {_CORR.format('BALANCED', m)} AS pearson, {_CORR.format('r_BALANCED', 'r_' + m)} AS spearman FROM mr GROUP BY 1)
     JOIN (SELECT case_id, count(b.s) / count(*) AS o10 FROM {_TOP.format('BALANCED', 10)} a LEFT JOIN {_TOP.format(m, 10)} b USING (case_id, s) GROUP BY 1) USING (case_id)
     JOIN (SELECT case_id, count(b.s) / count(*) AS o50 FROM {_TOP.format('BALANCED', 50)} a LEFT JOIN {_TOP.format(m, 50)} b USING (case_id, s) GROUP BY 1) USING (case_id)""" for m in M.SCENARIOS if m != "BALANCED") + ") GROUP BY 1")
@@ -216,7 +216,7 @@ def evl_09_scenario_stability(t: Tables) -> DataFrame:
     each = [F.struct(F.lit(m).alias("model"), safe(base, m).alias("pearson"), safe(f"r_{base}", f"r_{m}").alias("spearman"), *[(F.count_if((c(f"k_{base}") <= n) & (c(f"k_{m}") <= n)) / F.count_if(c(f"k_{base}") <= n)).alias(f"o{n}") for n in (10, 50)]).alias(m) for m in names[1:]]
     per = x.groupBy("sig").agg(*each).select("sig", F.inline(F.array(*names[1:])))
     return targets(t).select("sig").join(per, "sig").groupBy("model").agg(
-        F.round(F.avg("pearson"), 6).alias("pearson"), F.round(F.avg("spearman"), 6).alias("spearman"), F.round(F.avg("o10"), 6).alias("overlap_10"), F.round(F.avg("o50"), 6).alias("overlap_50"), F.count("*").alias("n_cases"))
+        F.round(F.avg("pearson"), 5).alias("pearson"), F.round(F.avg("spearman"), 5).alias("spearman"), F.round(F.avg("o10"), 5).alias("overlap_10"), F.round(F.avg("o50"), 5).alias("overlap_50"), F.count("*").alias("n_cases"))
 
 
 _FOCUS = {m: {g: 1.0} for m, g in M.FOCUS.items()}

@@ -229,12 +229,12 @@ _MM = ", ".join(f"CASE WHEN max({x}) OVER w > min({x}) OVER w THEN ({x} - min({x
 
 @BOOK.query(_AW + _CTX + _FOUR + "SELECT c2, s, " + ", ".join(f"round({x}_mm, 9) AS {x}_mm" for x in BASE) + f" FROM (SELECT *, {_MM} FROM f WINDOW w AS (PARTITION BY c2))")
 def rnk_03_min_max(t: Tables) -> DataFrame:
-    return R.min_max(context_features(t), ["c2"], BASE).select("c2", "s", *[F.round(f"{x}_mm", 9).alias(f"{x}_mm") for x in BASE])
+    return R.min_max(context_features(t), ["c2"], BASE, spread=True).select("c2", "s", *[F.round(f"{x}_mm", 9).alias(f"{x}_mm") for x in BASE])
 
 
 @BOOK.query(_AW + _CTX + _FOUR + f"SELECT c2, s, round(({' + '.join(x + '_mm' for x in BASE)}) / 4, 9) AS wsm FROM (SELECT *, {_MM} FROM f WINDOW w AS (PARTITION BY c2))")
 def rnk_04_weighted_sum(t: Tables) -> DataFrame:
-    return R.weighted_sum(context_features(t), ["c2"], BASE).select("c2", "s", F.round("wsm", 9).alias("wsm"))
+    return R.weighted_sum(context_features(t), ["c2"], BASE, spread=True).select("c2", "s", F.round("wsm", 9).alias("wsm"))
 
 
 _VN = ", ".join(f"{x} / nullif(sqrt(sum({x} * {x}) OVER (PARTITION BY c2)), 0) AS {x}_v" for x in BASE)
@@ -246,7 +246,7 @@ tp AS (SELECT c2, s, CASE WHEN sqrt(p2) + sqrt(m2) > 0 THEN sqrt(m2) / (sqrt(p2)
 
 @BOOK.query(_AW + _CTX + _FOUR + _TOP + "SELECT c2, s, round(topsis, 9) AS topsis FROM tp")
 def rnk_05_topsis(t: Tables) -> DataFrame:
-    return R.topsis(context_features(t), ["c2"], EQUAL).select("c2", "s", F.round("topsis", 9).alias("topsis"))
+    return R.topsis(context_features(t), ["c2"], EQUAL, spread=True).select("c2", "s", F.round("topsis", 9).alias("topsis"))
 
 
 _VIK = f""", rg AS (SELECT c2, s, {', '.join(f'CASE WHEN max({x}) OVER w > min({x}) OVER w THEN 0.25 * (max({x}) OVER w - {x}) / (max({x}) OVER w - min({x}) OVER w) ELSE 0 END AS {x}' for x in BASE)} FROM f WINDOW w AS (PARTITION BY c2)),
@@ -256,7 +256,7 @@ SELECT c2, s, round(0.5 * CASE WHEN max(sv) OVER w > min(sv) OVER w THEN (sv - m
 
 @BOOK.query(_AW + _CTX + _FOUR + _VIK)
 def rnk_06_vikor(t: Tables) -> DataFrame:
-    return R.vikor(context_features(t), ["c2"], EQUAL).select("c2", "s", F.round("vikor", 9).alias("vikor"))
+    return R.vikor(context_features(t), ["c2"], EQUAL, spread=True).select("c2", "s", F.round("vikor", 9).alias("vikor"))
 
 
 GROUPS = [R.Group("activity", ("exp", "breadth")), R.Group("recency", ("rec",)), R.Group("special", ("spec",))]
@@ -273,7 +273,7 @@ def _combined_sql(name: str, a: float, r: float, s: float) -> str:
 
 
 def _grouped(t: Tables) -> DataFrame:
-    return R.grouped_distances(context_features(t), ["c2"], GROUPS)
+    return R.grouped_distances(context_features(t), ["c2"], GROUPS, spread=True)
 
 
 @BOOK.query(_AW + _CTX + _FOUR + _GD + "SELECT c2, s, round(ap, 12) AS activity_plus, round(am, 12) AS activity_minus, round(rp, 12) AS recency_plus, round(sm, 12) AS special_minus FROM gd")
@@ -358,7 +358,7 @@ SELECT count(*) AS n_cases, round(avg(d), 6) AS mean_move, median(d) AS median_m
   round(100.0 * count(*) FILTER (WHERE d > 0) / count(*), 6) AS pct_down, round(avg(rb) - avg(ra), 9) AS delta_mrr FROM m""")
 def evl_04_movement(t: Tables) -> DataFrame:
     f = context_features(t)
-    scored = R.topsis(f, ["c2"], EQUAL).withColumn("topsis", F.bround("topsis", 9))
+    scored = R.topsis(f, ["c2"], EQUAL, spread=True).withColumn("topsis", F.bround("topsis", 9))
     return R.movement(_records(t, f.select("c2", "s", "n"), "n"), _records(t, scored.select("c2", "s", "topsis"), "topsis"), ["case_id"])
 
 

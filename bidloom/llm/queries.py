@@ -106,6 +106,8 @@ def _trust() -> list[Column]:
     return [~F.coalesce(F.col("has_core_notice_conflict"), F.lit(False)), F.col("trust_rank"), F.col("received_at")]
 
 
+#: What a buyer's identifier fixes.
+FIXED_BY_BUYER = ("cae_town_clean", "iso_country_code_clean")
 P4_FIELDS = ("dt_dispatch_clean", "cae_name_clean", "cae_nationalid_clean", "cae_town_clean", "cpv_clean", "value_euro_max")
 
 
@@ -139,7 +141,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record per notice from consistent bundles: buyer and place are each taken whole, and
-    a buyer's identifier and the place's country must agree where the records show a rule."""
+    the place's town and country must be those of the buyer's identifier where the records show a rule."""
     valid = _valid()
     notices = _notices(spark, sf_dir)
     bundles = [
@@ -148,8 +150,8 @@ def p4_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
         Bundle("place", ("cae_town_clean", "iso_country_code_clean"), valid),
         Bundle("object", ("cpv_clean", "value_euro_max"), valid),
     ]
-    rule = learned_dependency(notices, "cae_nationalid_clean", "iso_country_code_clean", valid["cae_nationalid_clean"])
-    return surviving_records(notices, "notice", "record_id", _trust(), bundles, (rule,)).withColumnRenamed("notice", "id_notice_cn_clean")
+    rules = tuple(learned_dependency(notices, "cae_nationalid_clean", f, valid["cae_nationalid_clean"] & valid[f]) for f in FIXED_BY_BUYER)
+    return surviving_records(notices, "notice", "record_id", _trust(), bundles, rules).withColumnRenamed("notice", "id_notice_cn_clean")
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_classes, p4_found, p4_golden, p6_found, p6_matches, p6_rules, p7_found, p7_report, p8_mix, p8_shares, p9_segments, p9_found)}
@@ -198,18 +200,21 @@ def _golden_sql() -> str:
         order = ", ".join(f"{prefix}_{t} DESC" for t in ("n", *trust))
         return f"{prefix}_best AS (SELECT * FROM {prefix} QUALIFY row_number() OVER (PARTITION BY notice ORDER BY {order}, {prefix}_rec DESC NULLS LAST) = 1)"
 
+    def fixed(f: str) -> str:
+        shown = f"SELECT cae_nationalid_clean AS k, {f} AS v, count(*) AS c FROM m WHERE {_VALID_SQL['cae_nationalid_clean']} AND {_VALID_SQL[f]} GROUP BY 1, 2"
+        return f", fixed_{f} AS (SELECT k, v FROM (SELECT *, sum(c) OVER (PARTITION BY k) AS total, row_number() OVER (PARTITION BY k ORDER BY c DESC, v DESC) AS r FROM ({shown})) WHERE r = 1 AND c >= 0.8 * total AND c >= 2)\n"
+
     values = ", ".join(f"CASE WHEN {_VALID_SQL[f]} THEN {f} END AS {f}" for f in _VALID_SQL)
     sums = ", ".join(f"b_{t} + p_{t} DESC" for t in ("n", *trust))
     return _NOTICES_SQL + f"""
 , t AS (SELECT notice, record_id, n_records, 1 AS one, (NOT conflict)::INT AS free, (trust_rank IS NOT NULL)::INT AS ranked, coalesce(trust_rank, 0) AS rank, (received_at IS NOT NULL)::INT AS timed,
    coalesce(epoch_us(received_at), 0)::HUGEINT AS seen, {values} FROM m)
-, shown AS (SELECT cae_nationalid_clean AS k, iso_country_code_clean AS v, count(*) AS c FROM m WHERE cae_nationalid_clean IS NOT NULL AND iso_country_code_clean IS NOT NULL AND {_VALID_SQL["cae_nationalid_clean"]} GROUP BY 1, 2)
-, fixed AS (SELECT k, v FROM (SELECT *, sum(c) OVER (PARTITION BY k) AS total, row_number() OVER (PARTITION BY k ORDER BY c DESC, v DESC) AS r FROM shown) WHERE r = 1 AND c >= 0.8 * total AND c >= 2)
+{"".join(fixed(f) for f in FIXED_BY_BUYER)}
 , {candidates("b", "cae_name_clean", "cae_nationalid_clean")}, {candidates("p", "cae_town_clean", "iso_country_code_clean")}
 , {candidates("d", "dt_dispatch_clean")}, {candidates("o", "cpv_clean", "value_euro_max")}, {best("d")}, {best("o")}
 , pick AS (
-  SELECT * FROM b JOIN p USING (notice) LEFT JOIN fixed ON k = cae_nationalid_clean
-  WHERE v IS NULL OR iso_country_code_clean IS NULL OR v = iso_country_code_clean
+  SELECT * FROM b JOIN p USING (notice) {" ".join(f"LEFT JOIN fixed_{f} ON fixed_{f}.k = cae_nationalid_clean" for f in FIXED_BY_BUYER)}
+  WHERE {" AND ".join(f"(fixed_{f}.v IS NULL OR {f} IS NULL OR fixed_{f}.v = {f})" for f in FIXED_BY_BUYER)}
   QUALIFY row_number() OVER (PARTITION BY notice ORDER BY {sums}, b_rec DESC NULLS LAST, p_rec DESC NULLS LAST) = 1)
 SELECT notice AS id_notice_cn_clean, n_records, d_rec AS dispatch__record, dt_dispatch_clean, b_rec AS buyer__record, cae_name_clean, cae_nationalid_clean,
   p_rec AS place__record, cae_town_clean, iso_country_code_clean, o_rec AS object__record, cpv_clean, value_euro_max

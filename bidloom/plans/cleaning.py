@@ -241,10 +241,11 @@ def prj_04_temporal_quality(t: Tables) -> DataFrame:
     return t.can_2017.groupBy(label.alias("quality")).agg(F.count("*").alias("n"))
 
 
-@BOOK.query()
+@BOOK.query("SELECT count(*) AS n_rows, count(*) AS n_ids, count(DISTINCT source_row_id) AS n_sources FROM can_2017")
 def prj_06_surrogate_ids(t: Tables) -> DataFrame:
-    """Unique row numbers without a shuffle (not dense)."""
-    return t.can_2017.select(F.monotonically_increasing_id().alias("row_id"), "source_row_id")
+    """Row numbers without a shuffle (not dense), and that they are unique."""
+    numbered = t.can_2017.select(F.monotonically_increasing_id().alias("row_id"), "source_row_id")
+    return numbered.agg(F.count("*").alias("n_rows"), F.count_distinct("row_id").alias("n_ids"), F.count_distinct("source_row_id").alias("n_sources"))
 
 
 @BOOK.query("SELECT source_row_id, CASE WHEN instr(coalesce(win_name, ''), '---') > 0 THEN 'list' WHEN upper(trim(b_awarded_to_a_group)) IN ('Y','YES','1','TRUE','T') THEN 'group' ELSE 'single' END AS structure FROM can_2017")

@@ -203,7 +203,7 @@ def aud_02_null_rates(t: Tables) -> DataFrame:
     return T.coverage(t.documents, ["doc_id", "text", "lang", "source", "n_chars"])
 
 
-@BOOK.query()
+@BOOK.query("SELECT row_number() OVER ()::INT AS position, column_name, CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(column_type) END AS column_type FROM (DESCRIBE can_2017)")
 def src_07_schema(t: Tables) -> DataFrame:
     return T.schema_table(t.can_2017)
 

@@ -78,6 +78,21 @@ def fs_03_levels(t: Tables) -> DataFrame:
     )
 
 
+_BASE = ("k", "s", "c2", "c3", "c4", "d", "ad", "b", "country", "wc", "v", "offers")
+
+
+@BOOK.query(_A + f"SELECT {', '.join(_BASE)}, country <> wc AS cross_border FROM a")
+def fs_01_award_base(t: Tables) -> DataFrame:
+    """The history as analysed: one row per award with supplier, categories, dates, buyer, preferred value, offers."""
+    return awards(t).select(*_BASE, (c("country") != c("wc")).alias("cross_border"))
+
+
+@BOOK.query(_A + " SELECT level, count(*) AS n_contexts, sum(n) AS n_awards, max(n) AS most_awards, round(avg(m), 6) AS mean_suppliers, median(m) AS median_suppliers FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS level, {v} AS x, count(*) AS n, count(DISTINCT s) AS m FROM a WHERE {v} IS NOT NULL GROUP BY {v}" for k, v in LEVELS.items()) + ") GROUP BY 1")
+def fs_06_context_summary(t: Tables) -> DataFrame:
+    per = X.contexts(awards(t), LEVELS).groupBy("level", "context").agg(F.count("*").alias("n"), F.count_distinct("s").alias("m"))
+    return per.groupBy("level").agg(F.count("*").alias("n_contexts"), F.sum("n").alias("n_awards"), F.max("n").alias("most_awards"), F.round(F.avg("m"), 6).alias("mean_suppliers"), F.median("m").alias("median_suppliers"))
+
+
 _DIMS = {"cpv3": "c3", "cpv4": "c4", "buyer": "b", "country": "country", **{n: n for n in TEXTS}}
 
 

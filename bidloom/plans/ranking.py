@@ -104,6 +104,25 @@ def pool_06_coverage(t: Tables) -> DataFrame:
     return _pools(t).groupBy("pool").agg(F.count("*").alias("n_cases"), F.round(100 * F.avg(c("winner_in").cast("double")), 6).alias("coverage"), F.round(F.avg("pool_size"), 6).alias("mean_size"), F.median("pool_size").alias("median_size"), F.count_if("empty").alias("n_empty"))
 
 
+_COVER = "count(*) AS n_cases, round(100 * avg(winner_in::INT), 6) AS coverage, round(100 * avg(winner_in::INT) FILTER (WHERE NOT empty), 6) AS coverage_if_any, count(*) FILTER (WHERE empty) AS n_empty, round(avg(pool_size), 6) AS mean_size, max(pool_size) AS max_size"
+
+
+@BOOK.query(_ACT + ", px AS (SELECT ps.*, c2, c_nationkey FROM ps JOIN tgt USING (case_id) JOIN customer ON c_custkey = b) " + " UNION ALL ".join(f"SELECT '{k}' AS report, pool, CAST({v} AS VARCHAR) AS value, {_COVER} FROM px GROUP BY pool, {v}" for k, v in (("country", "c_nationkey"), ("category", "c2"), ("all", "'all'"))))
+def pool_06_reports(t: Tables) -> DataFrame:
+    """Coverage of all cases and of those with a pool, and sizes: by country, by category and over all."""
+    where = targets(t).select("case_id", "c2", c("b").alias("c_custkey")).join(t.customer.select("c_custkey", "c_nationkey"), "c_custkey")
+    each = F.array(*[F.struct(F.lit(k).alias("report"), v.alias("value")) for k, v in (("country", c("c_nationkey").cast("string")), ("category", c("c2")), ("all", F.lit("all")))])
+    x = _pools(t).join(where, "case_id").select("pool", "winner_in", "empty", "pool_size", F.inline(each))
+    hit = c("winner_in").cast("double")
+    return x.groupBy("report", "pool", "value").agg(
+        F.count("*").alias("n_cases"), F.round(100 * F.avg(hit), 6).alias("coverage"), F.round(100 * F.avg(F.when(~c("empty"), hit)), 6).alias("coverage_if_any"), F.count_if("empty").alias("n_empty"), F.round(F.avg("pool_size"), 6).alias("mean_size"), F.max("pool_size").alias("max_size"))
+
+
+@BOOK.query(_ACT + "SELECT pool, count(*) AS n_pairs, count(DISTINCT context) AS n_contexts, count(DISTINCT supplier) AS n_suppliers, round(avg(n_awards), 6) AS mean_awards, max(last_date) AS last_date FROM elig GROUP BY 1")
+def pool_06_eligibility(t: Tables) -> DataFrame:
+    return X.eligibility(activity(t), POOLS).groupBy("pool").agg(F.count("*").alias("n_pairs"), F.count_distinct("context").alias("n_contexts"), F.count_distinct("supplier").alias("n_suppliers"), F.round(F.avg("n_awards"), 6).alias("mean_awards"), F.max("last_date").alias("last_date"))
+
+
 @BOOK.query(_AW + "SELECT (SELECT max(d) FROM hist) AS last_history, (SELECT min(d) FROM tgt) AS first_target, (SELECT max(d) FROM hist) < (SELECT min(d) FROM tgt) AS strict")
 def pool_07_firewall(t: Tables) -> DataFrame:
     return X.temporal_firewall(history(t), targets(t), "d")
@@ -157,9 +176,18 @@ def fs_03_context_features(t: Tables) -> DataFrame:
     return per.select("c2", "s", "n", "nb", "vs", F.round(share(c("n"), F.sum("n").over(W.partitionBy("s"))), 9).alias("share_of_supplier"), F.round(share(c("n"), F.sum("n").over(W.partitionBy("c2"))), 9).alias("share_of_context"))
 
 
-@BOOK.query(_AW + "SELECT case_id, winner, c2, c3, c4, b AS buyer, d AS dispatch FROM tgt")
+@BOOK.query(_AW + """, w AS (SELECT s, count(*) AS n, count(DISTINCT b) AS nb, max(d) AS last FROM hist GROUP BY 1), x AS (SELECT s, c2, count(*) AS n FROM hist GROUP BY 1, 2), r AS (SELECT s, b, count(*) AS n FROM hist GROUP BY 1, 2)
+SELECT case_id, winner, tgt.c2, c3, c4, tgt.b AS buyer, tgt.d AS dispatch, coalesce(w.n, 0) AS winner_awards, coalesce(w.nb, 0) AS winner_buyers, date_diff('day', w.last, tgt.d) AS winner_days, coalesce(x.n, 0) AS winner_in_context, coalesce(r.n, 0) AS winner_with_buyer
+FROM tgt LEFT JOIN w ON w.s = winner LEFT JOIN x ON x.s = winner AND x.c2 = tgt.c2 LEFT JOIN r ON r.s = winner AND r.b = tgt.b""")
 def fs_04_target_features(t: Tables) -> DataFrame:
-    return targets(t).select("case_id", "winner", "c2", "c3", "c4", c("b").alias("buyer"), c("d").alias("dispatch"))
+    """The target cases with what the history knows of their winner."""
+    h = history(t).withColumnRenamed("s", "winner")
+    all_ = h.groupBy("winner").agg(F.count("*").alias("winner_awards"), F.count_distinct("b").alias("winner_buyers"), F.max("d").alias("last"))
+    here = h.groupBy("winner", "c2").agg(F.count("*").alias("winner_in_context"))
+    with_ = h.groupBy("winner", "b").agg(F.count("*").alias("winner_with_buyer"))
+    x = targets(t).join(all_, "winner", "left").join(here, ["winner", "c2"], "left").join(with_, ["winner", "b"], "left").withColumn("winner_days", F.datediff("d", "last"))
+    counts = ("winner_awards", "winner_buyers", "winner_in_context", "winner_with_buyer")
+    return x.select("case_id", "winner", "c2", "c3", "c4", c("b").alias("buyer"), c("d").alias("dispatch"), "winner_days", *[F.coalesce(n, F.lit(0)).alias(n) for n in counts])
 
 
 @BOOK.query(_AW + "SELECT case_id, s_nationkey <> c_nationkey AS cross_border FROM aw JOIN supplier ON s = s_suppkey JOIN customer ON b = c_custkey")

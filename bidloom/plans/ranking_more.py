@@ -178,7 +178,12 @@ def ml_03_projection(t: Tables) -> DataFrame:
     return _projected(t).groupBy("case_id").agg(F.count("*").alias("n"), *[F.round(F.sum(x), 6).alias(x) for x in FEATURES])
 
 
-@BOOK.query()
+_DAYS = ", ds AS (SELECT d, row_number() OVER (ORDER BY d) / count(*) OVER () AS p FROM (SELECT DISTINCT d FROM t))"
+
+
+@BOOK.query(P._matrix_sql() + _DAYS + """, x AS (SELECT case_id, m.s, (m.s = m.winner)::INT::DOUBLE AS label, cpv2_experience AS e, bool_or(m.s = m.winner) OVER (PARTITION BY case_id) AS won FROM m JOIN t USING (case_id) JOIN ds USING (d) WHERE p <= 0.6),
+y AS (SELECT *, row_number() OVER (PARTITION BY case_id, label ORDER BY e DESC, s) AS hard FROM x WHERE won), z AS (SELECT *, row_number() OVER (PARTITION BY case_id, label, hard <= 5 ORDER BY md5(case_id || '|' || s || '|7'), s) AS any_ FROM y)
+, k AS (SELECT case_id, s, label FROM z WHERE label = 1 OR hard <= 5 OR any_ <= 20) SELECT case_id, s, label, count(*) OVER () / (2.0 * count(*) OVER (PARTITION BY label)) AS weight FROM k""")
 def ml_02_training_rows(t: Tables) -> DataFrame:
     """Winners, hard negatives and random negatives of the training cases."""
     return _split(t)[0].select("case_id", "s", "label", "weight")

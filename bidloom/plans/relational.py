@@ -327,10 +327,10 @@ def srt_05_hard_negatives(t: Tables) -> DataFrame:
     return per.withColumn("r", F.row_number().over(W.partitionBy("p_type").orderBy(F.desc("n"), "l_suppkey"))).filter("r <= 5").drop("r")
 
 
-@BOOK.query()
+@BOOK.query("SELECT o_orderkey FROM orders ORDER BY md5(o_orderkey || '|42'), o_orderkey LIMIT 500")
 def srt_06_sample(t: Tables) -> DataFrame:
     """A sample of 500 orders that depends on nothing but their keys and a seed."""
-    return t.orders.orderBy(F.xxhash64("o_orderkey", F.lit(42)), "o_orderkey").limit(500).select("o_orderkey")
+    return t.orders.orderBy(F.md5(F.concat_ws("|", "o_orderkey", F.lit(42))), "o_orderkey").limit(500).select("o_orderkey")
 
 
 # set operations

@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import SparkSession
 
+from bidloom.sources.tables import release
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -10,4 +12,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release(session)
     session.stop()

@@ -1,6 +1,6 @@
 import numpy as np
 
-from bidloom.llm.language import fit, grams, language_code, languages, letters, sentences, train
+from bidloom.llm.language import fit, grams, language_code, languages, letters, posteriors, sentences, train
 
 TEXT = {
     "en": "the board will decide on the offers next week and publish the result for every part of the contract",
@@ -44,6 +44,20 @@ def test_held_out_accuracy():
     assert right >= 0.98
 
 
+def test_confidence_is_calibrated_on_held_out_sentences():
+    """Short pieces that two languages share: the mean probability of the best guess is near its accuracy."""
+    rng = np.random.default_rng(4)
+    rows = [(code, letters(" ".join(rng.permutation(t.split())[:n]))) for code, t in TEXT.items() for n in (3, 4, 6, 9) for _ in range(80)]
+    rng.shuffle(rows)
+    rows = [(c, t) for c, t in rows if len(t) >= 20]
+    half = len(rows) // 2
+    model = fit([t for _, t in rows[:half]], [c for c, _ in rows[:half]])
+    scores, sizes = model.scores([t for _, t in rows[half:]])
+    p = np.exp(posteriors(scores, sizes, model.sharpness * model.temperature))
+    right = np.mean([model.languages[k] == c for (c, _), k in zip(rows[half:], scores.argmax(axis=1))])
+    assert model.temperature != 1.0 and abs(p.max(axis=1).mean() - right) < 0.05
+
+
 def test_documents_and_segments(spark):
     rows = corpus() + [(9000, TEXT["de"].capitalize() + ". " + TEXT["fr"].capitalize() + ". " + TEXT["de"].capitalize() + ". " + TEXT["de"].capitalize() + ".", "de"), (9001, None, "de"), (9002, "", None), (9003, "12345 / 99", "fr"), (9004, (TEXT["es"].capitalize() + ". ") * 3000, "und"), (9005, TEXT["pl"], "en"), (9005, TEXT["pl"], "en")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, seg_no int")

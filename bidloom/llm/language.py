@@ -46,6 +46,7 @@ GAP = re.compile(r"[.!?…][\"'»”)\]]*(\s+)|\s*\n\s*")
 #: Abbreviations after which no sentence ends; initials such as "S.A." likewise.
 ABBREVIATION = re.compile(r"(?:^|[\s(&])(?:(?:[^\W\d_]\.)+|co\.|sp\.|nr\.|no\.|dr\.|ing\.|st\.|ref\.|tel\.|art\.|inh\.|fa\.)$", re.I)
 REFERENCE = set("cpv ref nuts ted id lot nr no art".split())
+MARK = re.compile(r"[\d@]|://|www\.")
 MARKED = re.compile(r"(?<!\S)[^\s\d@]*+[\d@]\S*|https?://\S+|www\.\S+")
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -61,7 +62,7 @@ def language_code(label: str | None) -> str | None:
 def sentences(text: str) -> list[str]:
     """The sentences and heading lines of a text, in order."""
     text = plain(text)
-    cased = any(c.isupper() for c in text)
+    cased = text != text.lower()
     out: list[str] = []
     for block in PARAGRAPH.split(text):
         begun = 0
@@ -79,7 +80,8 @@ def sentences(text: str) -> list[str]:
 
 def letters(sentence: str) -> str:
     """What of a sentence can show its language: its words, lower case, without numbers and references."""
-    return " ".join([w for w in WORD.findall(MARKED.sub(" ", sentence.lower())) if w not in REFERENCE])
+    text = sentence.lower()
+    return " ".join([w for w in WORD.findall(MARKED.sub(" ", text) if MARK.search(text) else text) if w not in REFERENCE])
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

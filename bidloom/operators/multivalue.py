@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 OPEN, CLOSE = "([{", ")]}"
 #: Where the automaton can change its state; all between is copied at once.
 EVENT = re.compile(r'["\\()\[\]{};|,\n\r\t/ ]|---+')
-NEXT_QUOTE = re.compile(r'\s*"')
-PURE = re.compile(r"\d+(?:,\d+)+")
+#: A comma between two digits of a list of weights, of which the automaton cannot tell alone whether it is decimal.
+SOFT = "\0"
 
 
 @dataclass(frozen=True)
@@ -34,9 +34,10 @@ class Packed:
     partner: str | None = None
 
 
-def tokenize(text: str | None, kind: str = "labels", commas: bool = True, quoted_slots: set[int] | None = None) -> list[str]:
+def tokenize(text: str | None, kind: str = "labels", soft: bool = False) -> list[str]:
     """The slots of ``text`` in order, empty ones too, as values without quotes and brackets.
 
+    With ``soft`` a comma outside quotes with a digit on either side ends no slot but stands in it as ``SOFT``.
     Null gives no slot. A trailing delimiter opens no further slot. An unclosed quote or
     bracket is text, so nothing is lost.
     """
@@ -45,15 +46,15 @@ def tokenize(text: str | None, kind: str = "labels", commas: bool = True, quoted
     text = text.strip()
     if not text:
         return []
-    slots = _walk(text, kind, commas, quoted_slots=quoted_slots)
+    slots = _walk(text, kind, soft)
     if slots is None:  # unclosed quotes or brackets: they are ordinary characters
-        slots = _walk(text, kind, commas, literal=True)
+        slots = _walk(text, kind, soft, literal=True)
     if len(slots) > 1 and slots[-1] == "":
         slots.pop()
     return slots
 
 
-def _walk(text: str, kind: str, commas: bool, literal: bool = False, quoted_slots: set[int] | None = None) -> list[str] | None:
+def _walk(text: str, kind: str, soft: bool, literal: bool = False) -> list[str] | None:
     codes = kind == "codes"
     base = 0
     if not literal and text[0] == "[" and text[-1] == "]":
@@ -67,8 +68,6 @@ def _walk(text: str, kind: str, commas: bool, literal: bool = False, quoted_slot
         value = "".join(buf).strip()
         if not was_quoted and len(value) > 1 and value[0] in OPEN and value[-1] == CLOSE[OPEN.index(value[0])]:
             value = value[1:-1].strip()
-        if was_quoted and quoted_slots is not None:
-            quoted_slots.add(len(slots))
         slots.append(value)
         buf.clear()
         was_quoted = filled = False
@@ -114,6 +113,9 @@ def _walk(text: str, kind: str, commas: bool, literal: bool = False, quoted_slot
             depth = max(0, depth - 1)
             buf.append(c)
             filled = True
+        elif c == "," and soft and not base and not was_quoted and text[m.start() - 1 : m.start()].isdigit() and text[at : at + 1].isdigit():
+            buf.append(SOFT)
+            filled = True
         elif depth:
             buf.append(c)
         elif c[0] == "-":
@@ -127,7 +129,7 @@ def _walk(text: str, kind: str, commas: bool, literal: bool = False, quoted_slot
                 at += 1
             end()
         elif c == ",":
-            end() if commas or base or was_quoted or NEXT_QUOTE.match(text, at) else buf.append(c)
+            end()
         elif c == "/" and codes:
             end()
         elif c == " " and codes:
@@ -152,28 +154,21 @@ def tokenize_weights(text: str | None, n_values: int) -> list[str]:
     number of criteria in the row), and among several such the one whose sum is nearest
     to 100. Where none gives that number, a lone comma between digits is decimal.
     """
-    quoted: set[int] = set()
-    rough = tokenize(text, "weights", commas=False, quoted_slots=quoted)
-    if not rough or not any("," in x for x in rough):
-        return rough
-    pieces: list[str] = []
-    whole_at: set[int] = set()
-    for k, x in enumerate(rough):
-        if k in quoted:  # a comma inside quotes is text
-            whole_at.add(len(pieces))
-            pieces.append(x)
-            continue
-        # a comma beside a blank, a percent sign or a number with a point separates
-        parts = re.split(r",(?=\s)|(?<=\s),|(?<=%),", x) if not PURE.fullmatch(x) else [x]
-        for p in parts:
-            p = p.strip()
-            pieces += [y.strip() for y in p.split(",")] if "," in p and not PURE.fullmatch(p) and not re.fullmatch(r"\d+,\d+\s*%?", p) else [p]
-    if len(pieces) > 1 and pieces[-1] == "":
-        pieces.pop()
-    groups = [p.split(",") if PURE.fullmatch(p) and k not in whole_at else [p] for k, p in enumerate(pieces)]
+    slots = tokenize(text, "weights", soft=True)
+    if not any(SOFT in x for x in slots):
+        return slots
+    groups: list[list[str]] = []
+    for x in slots:
+        parts = [p.strip() for p in x.split(SOFT)]
+        if len(parts) == 1 or all(p.isdigit() for p in parts):
+            groups.append(parts)
+        elif len(parts) == 2 and parts[0].isdigit() and parts[1].rstrip("% ").isdigit():  # a percentage of its own
+            groups.append([x.replace(SOFT, ",")])
+        else:  # numbers with points or blanks beside: commas separate
+            groups += [[p] for p in parts]
     marks = [(g, k) for g, x in enumerate(groups) for k in range(len(x) - 1)]
     if not marks:
-        return pieces
+        return [x for g in groups for x in g]
     whole = sum(bool(x) for g in groups for x in g)
     need = whole - n_values  # so many of the marks are decimal
     chosen: set[tuple[int, int]] | None = None

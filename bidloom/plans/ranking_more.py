@@ -16,6 +16,7 @@ from bidloom.plans import casefit as P
 from bidloom.plans import cleaning as S
 from bidloom.plans import ranking as K
 from bidloom.plans.book import Book, Tables
+from bidloom.sources.tables import cut
 
 BOOK = Book()
 QUERIES, ORACLE = BOOK.QUERIES, BOOK.ORACLE
@@ -200,14 +201,14 @@ def _evaluated(model, dated: DataFrame, method: str) -> DataFrame:
 def ml_04_logistic(t: Tables) -> DataFrame:
     """A logistic ranker fitted on the training dates, evaluated on the later dates' full pools."""
     train, dated = _split(t)
-    return _evaluated(M.fit_logistic(train, FEATURES), dated, "logistic")
+    return _evaluated(M.fit_logistic(cut(train), FEATURES), dated, "logistic")  # written once: fitting reads it again and again
 
 
 @BOOK.query()
 def ml_05_boosted(t: Tables) -> DataFrame:
     """The same with boosted trees."""
     train, dated = _split(t)
-    return _evaluated(M.fit_boosted(train, FEATURES, rounds=ROUNDS, depth=5), dated, "boosted")
+    return _evaluated(M.fit_boosted(cut(train), FEATURES, rounds=ROUNDS, depth=5), dated, "boosted")
 
 
 @BOOK.query(P._matrix_sql() + """, ds AS (SELECT d, row_number() OVER (ORDER BY d) / count(*) OVER () AS p FROM (SELECT DISTINCT d FROM t)), x AS (SELECT CASE WHEN p <= 0.6 THEN 'train' WHEN p <= 0.8 THEN 'validation' ELSE 'test' END AS split, case_id, m.s, m.winner, round_even(m.cpv2_experience, 9) AS score FROM m JOIN t USING (case_id) JOIN ds USING (d)),

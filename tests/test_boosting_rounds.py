@@ -15,6 +15,7 @@ def test_rounds_of_the_survey(monkeypatch):
         raise Fitted
 
     monkeypatch.setattr(ranking_more, "_split", lambda t: (None, None))
+    monkeypatch.setattr(ranking_more, "cut", lambda df: df)
     monkeypatch.setattr(ranking_more.M, "fit_boosted", fit)
     with pytest.raises(Fitted):
         ranking_more.QUERIES["ml_05_boosted"](None, "")

@@ -157,8 +157,12 @@ def fit(texts: list[str], labels: list[str], landmarks: int = 512, ridge: float
     """
     y = np.array([LANGUAGES.index(x) for x in labels])
     rng = np.random.default_rng(seed)
-    ids, starts = grams(texts)
-    n = np.diff(starts)
+    # little at a time: the driver is small
+    parts = [(i.astype(np.int32), np.diff(s)) for i, s in (grams(texts[k : k + 4000]) for k in range(0, len(texts), 4000))]
+    ids = np.concatenate([np.zeros(0, dtype=np.int32), *(i for i, _ in parts)])
+    n = np.concatenate([np.zeros(0, dtype=np.int64), *(s for _, s in parts)])
+    starts = np.append(0, np.cumsum(n))
+    del parts
     keep = n >= 20
     model = Model(np.zeros((BUCKETS, len(LANGUAGES)), dtype=np.float32), LANGUAGES)
     if not keep.any():
@@ -179,7 +183,9 @@ def fit(texts: list[str], labels: list[str], landmarks: int = 512, ridge: float
         use = np.flatnonzero(keep & ~aside)
         if not len(use):
             return model
-        kernel = np.vstack([marks[row[ids[starts[i] : starts[i + 1]]]].sum(axis=0) / np.sqrt(n[i]) for i in use])
+        kernel = np.empty((len(use), len(chosen)), dtype=np.float32)
+        for k, i in enumerate(use):
+            kernel[k] = marks[row[ids[starts[i] : starts[i + 1]]]].sum(axis=0) / np.sqrt(n[i])
         place = {i: k for k, i in enumerate(use)}
         among = kernel[[place[i] for i in chosen]]
         values, vectors = np.linalg.eigh((among + among.T) / 2)

@@ -241,9 +241,24 @@ def llm_07_grounding(t: Tables) -> DataFrame:
     return t.eval_items.select("item_id", V.grounded(c("item_text"), F.upper(F.trim(F.element_at(F.split("item_text", r"\."), 1)))).alias("grounded"))
 
 
-@BOOK.query("SELECT case_id, count(*) AS n_variants FROM eval_items GROUP BY 1")
-def llm_01_variants(t: Tables) -> DataFrame:
-    return t.eval_items.groupBy("case_id").agg(F.count("*").alias("n_variants"))
+#: The benchmarks an item may belong to.
+BENCHMARKS = ("e3_intent", "e3b_advisory", "e4_evidence", "e5_explanation")
+
+
+@BOOK.query(f"""SELECT unnest(['n_items', 'missing_ids', 'repeated_ids', 'missing_texts', 'unknown_benchmarks', 'repeated_variants', 'incomplete_cases', 'short_texts', 'ungrounded_openings']) AS metric, unnest([(SELECT count(*) FROM eval_items), (SELECT count(*) FROM eval_items WHERE item_id IS NULL), (SELECT count(item_id) - count(DISTINCT item_id) FROM eval_items),
+  (SELECT count(*) FROM eval_items WHERE nullif(trim(item_text), '') IS NULL), (SELECT count(*) FROM eval_items WHERE coalesce(benchmark_name, '') NOT IN ({', '.join(f"'{b}'" for b in BENCHMARKS)})), (SELECT count(*) FROM (SELECT 1 FROM eval_items GROUP BY benchmark_name, case_id HAVING count(*) > 1)),
+  (SELECT count(*) FROM (SELECT case_id FROM eval_items GROUP BY 1 HAVING count(DISTINCT benchmark_name) < {len(BENCHMARKS)})), (SELECT count(*) FROM eval_items WHERE len(string_split_regex(trim(item_text), '\\s+')) < 15), (SELECT count(*) FROM eval_items WHERE NOT contains(lower(item_text), lower(string_split(item_text, '.')[1])))])::DOUBLE AS value""")
+def llm_01_validation(t: Tables) -> DataFrame:
+    """What a benchmark must be: ids and variants unique, benchmarks known, cases complete, texts long enough, quotes grounded in their text."""
+    one = T.ledger(t.eval_items, {
+        "n_items": F.count("*"), "missing_ids": F.count_if(c("item_id").isNull()), "repeated_ids": F.count("item_id") - F.count_distinct("item_id"), "missing_texts": F.count_if(C.clean_text(c("item_text")).isNull()),
+        "unknown_benchmarks": F.count_if(~F.coalesce("benchmark_name", F.lit("")).isin(*BENCHMARKS)), "short_texts": F.count_if(F.size(F.split(F.trim("item_text"), r"\s+")) < 15),
+        "ungrounded_openings": F.count_if(~V.grounded(c("item_text"), F.element_at(F.split("item_text", r"\."), 1))),
+    })
+    variants = t.eval_items.groupBy("benchmark_name", "case_id").agg(F.count("*").alias("n"))
+    cases = variants.groupBy("case_id").agg(F.count("benchmark_name").alias("b"), F.count_if(c("n") > 1).alias("r"))
+    two = T.ledger(cases, {"repeated_variants": F.coalesce(F.sum("r"), F.lit(0)), "incomplete_cases": F.count_if(c("b") < len(BENCHMARKS))})
+    return one.unionByName(two)
 
 
 _TOK = "list_distinct(list_filter(string_split(trim(regexp_replace(lower(item_text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> ''))"

@@ -132,6 +132,34 @@ def rnk_19_controlled(t: Tables) -> DataFrame:
     return s.withColumn("place", F.row_number().over(W.partitionBy("k").orderBy(F.desc("score"), "i")))
 
 
+#: The scenarios' weights of gain, lead and record, and whether a record of 0 excludes.
+CONTROLLED = {"ECONOMIC": (0.55, 0.35, 0.10, False), "BALANCED": (0.40, 0.30, 0.30, False), "RECORD": (0.25, 0.25, 0.50, False), "CONSTRAINED": (0.45, 0.35, 0.20, True)}
+RECORDS = (1.0, 0.5, 0.25, 0.0)
+
+
+def _controlled_sql(name: str, weights: tuple[float, float, float, bool]) -> str:
+    g, l, r, strict = weights
+    kept = "WHERE record > 0" if strict else ""
+    normed = ", ".join(f"coalesce({x} / nullif(sqrt(sum({x} * {x}) OVER w), 0), 0) AS {x}" for x in ("gain", "lead", "record"))
+    plus = f"pow({g} * (gain - max(gain) OVER w), 2) + pow({l} * (lead - min(lead) OVER w), 2) + pow({r} * (record - max(record) OVER w), 2)"
+    minus = f"pow({g} * (gain - min(gain) OVER w), 2) + pow({l} * (lead - max(lead) OVER w), 2) + pow({r} * (record - min(record) OVER w), 2)"
+    return f"""SELECT '{name}' AS scenario, k, i, score, row_number() OVER (PARTITION BY k ORDER BY score DESC, i) AS place FROM (SELECT k, i, round_even(CASE WHEN sqrt(p2) + sqrt(m2) > 0 THEN sqrt(m2) / (sqrt(p2) + sqrt(m2)) ELSE 0.5 END, 9) AS score FROM (
+  SELECT k, i, {plus} AS p2, {minus} AS m2 FROM (SELECT k, i, {normed} FROM c {kept} WINDOW w AS (PARTITION BY k)) WINDOW w AS (PARTITION BY k)))"""
+
+
+@BOOK.query(f"WITH c AS (SELECT p_type AS k, p_partkey AS i, p_retailprice AS gain, p_size::DOUBLE AS lead, [{', '.join(map(str, RECORDS))}][p_partkey % 4 + 1]::DOUBLE AS record FROM part) " + " UNION ALL ".join(_controlled_sql(n, w) for n, w in CONTROLLED.items()))
+def rnk_19_scenarios(t: Tables) -> DataFrame:
+    """Two benefits and a cost under four scenarios, one of which excludes before scoring; ties by id."""
+    record = F.element_at(F.array(*[F.lit(x) for x in RECORDS]), (c("p_partkey") % 4 + 1).cast("int"))
+    base = t.part.select(c("p_type").alias("k"), c("p_partkey").alias("i"), c("p_retailprice").alias("gain"), c("p_size").cast("double").alias("lead"), record.alias("record"))
+    out = None
+    for name, (g, l, r, strict) in CONTROLLED.items():
+        s = R.topsis(base.filter("record > 0") if strict else base, ["k"], {"gain": g, "lead": l, "record": r}, costs=("lead",), name="raw", spread=True)
+        s = s.select(F.lit(name).alias("scenario"), "k", "i", F.bround("raw", 9).alias("score"))
+        out = s if out is None else out.unionByName(s)
+    return out.withColumn("place", F.row_number().over(W.partitionBy("scenario", "k").orderBy(F.desc("score"), "i")))
+
+
 @BOOK.query(K._AW + K._CTX + "SELECT case_id, count(*) AS pool_size, count(*) FILTER (WHERE ctx.n > o.n) + 1 AS best, count(*) FILTER (WHERE ctx.n = o.n) AS ties FROM tgt JOIN ctx USING (c2) JOIN ctx o ON o.c2 = tgt.c2 AND o.s = tgt.winner GROUP BY 1")
 def win_05_winner_rank(t: Tables) -> DataFrame:
     """Each winner's rank by two counts. They depend only on the context and the winner, so they are made once per pair."""

@@ -53,3 +53,13 @@ def test_single_groups_need_no_weighing(monkeypatch):
     for case in cases():
         scorer.ranks(case)
     assert made.count("activity") == 3 and "buyer" not in made
+
+
+def test_buyers_have_no_row_for_each_supplier(monkeypatch):
+    made = []
+    own = pools.Pool._group
+    monkeypatch.setattr(pools.Pool, "_group", lambda self, name, case: made.append(name) or own(self, name, case))
+    scorer = pools.Scorer(pool(), NESTED)
+    for case in cases():
+        scorer.ranks(case)
+    assert made and "buyer" not in made
